@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, minhash, packing, suffix, toxicity
+from . import bpe, licenses, media, minhash, packing, pii, suffix, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(read(spark, sf_dir, "documents"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return out.select("doc_id", "text", "n_entities", kinds.alias("kinds"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(read(spark, sf_dir, "documents"))
 
@@ -42,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op6_media, op7_suffix, op9_minhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op6_media, op7_suffix, op9_minhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
