@@ -202,7 +202,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(anchor, whole, k1, k2, lo, hi): the ranges of window starts by anchor; `whole` is the hash of their bytes."""
+    """(anchor, whole, k1, k2, span): the ranges of window starts by anchor, span being the last
+    start times 2^32 plus the first; `whole` is the hash of their bytes."""
     w = length - anchor + 1
 
     def each(batch):
@@ -232,9 +233,9 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
             lo, hi = starts[first], starts[np.append(first[1:], len(starts)) - 1]
             whole = tv.span_hash(sums, lo, hi + length)
             d = d[first]
-            yield pa.record_batch([pa.array(v[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + d]), pa.array(k2[a + d]), pa.array(lo - offs[d]), pa.array(hi - offs[d])], ["anchor", "whole", "k1", "k2", "lo", "hi"])
+            yield pa.record_batch([pa.array(v[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + d]), pa.array(k2[a + d]), pa.array(lo - offs[d] + ((hi - offs[d]) << 32))], ["anchor", "whole", "k1", "k2", "span"])
 
-    return arrow_stage(_keyed(docs), each, "anchor long, whole long, k1 long, k2 long, lo long, hi long")
+    return arrow_stage(_keyed(docs), each, "anchor long, whole long, k1 long, k2 long, span long")
 
 
 def _shards(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -291,14 +292,17 @@ def _shards(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(k1, k2, spans array<struct<start, end>>): the repeats of each text, not yet merged."""
     ranges = cut(window_ranges(docs, length, anchor))
-    classes = ranges.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
-    classes = cut(classes)
-    shape = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    many = ranges.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("z")).where("n > 1")
+    ranges = ranges.join(many.select("anchor", (F.col("a") != F.col("z")).alias("mixed")), "anchor")
+    ranges = cut(ranges.withColumn("hi", F.shiftright("span", 32)).withColumn("lo", F.col("span").bitwiseAND(0xFFFFFFFF)).drop("span"))
+    classes = cut(ranges.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")))
+    shape = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1")
     shape = shape.select("anchor", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("g"))
     open_ = classes.join(shape, "anchor").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("g")).cast("int"))
     open_ = open_.select("anchor", "own", "one.*", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))).alias("p"))
     part = _shards(docs, open_.select("anchor", "p.i", "p.j", "own", "k1", "k2", "lo", "hi"), length)
-    whole = ranges.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    whole = ranges.where("mixed").join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").unionByName(ranges.where("not mixed"))
+    whole = whole.select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     return part.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
