@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lm, media, minhash, packing, pii, suffix, toxicity
+from . import bm25, bpe, licenses, lm, media, minhash, packing, pii, suffix, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(read(spark, sf_dir, "documents")).drop("kept", "removed")
 
 
+def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op9_minhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op8_bm25, op9_minhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
