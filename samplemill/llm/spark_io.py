@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: texts of some 4 MB at a few KB each.
 BATCH_ROWS = 1000
@@ -42,7 +43,15 @@ def documents(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "tex
     return docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), *(docs[c] for c in more))
 
 
-def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
+def carry(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with every column but doc_id and text under a name that no operator uses, and
+    {that name: the column's own}."""
+    names = {f"carried_{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    own = {c: n for n, c in names.items()}
+    return docs.toDF(*(own.get(c, c) for c in docs.columns)), names
+
+
+def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def each(it):

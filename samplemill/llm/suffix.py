@@ -196,9 +196,9 @@ def repeated_starts(s: np.ndarray, length: int) -> np.ndarray:
 # -- Spark steps ------------------------------------------------------------------
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and two join keys without nulls; only rows equal in id and text share them."""
-    return documents(docs).withColumns({"k1": F.xxhash64("text"), "k2": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    return documents(docs, *more).withColumns({"k1": F.xxhash64("text"), "k2": F.coalesce("doc_id", F.lit(-(1 << 63)))})
 
 
 def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -316,15 +316,15 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], top[np.append(np.flatnonzero(new)[1:], len(spans)) - 1]], axis=1)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed array<struct<start, end>>)
+def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed array<struct<start, end>>, *keep)
     of every document.
 
     Each byte under a string of `length` bytes that also starts anywhere else, in this
     text or another, is removed; texts are judged as given, and rows equal in id and text are
     repeats of each other. Null and empty texts lose nothing, neither do texts under `length`
-    bytes. An empty table gives an empty result; further columns are ignored."""
-    rows = _keyed(docs).join(spans(docs, length, anchor), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    bytes. An empty table gives an empty result; further columns are passed on only if named in `keep`."""
+    rows = _keyed(docs, *keep).join(spans(docs, length, anchor), ["k1", "k2"], "left").select("doc_id", "text", "spans", *keep)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def each(batch):
@@ -339,14 +339,16 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
             text = data[offs[i] : offs[i + 1]]
             gone = _merged(both[at[i] : at[i + 1]])
             if len(gone):
-                keep = np.ones(len(text), dtype=bool)
+                stays = np.ones(len(text), dtype=bool)
                 for a, b in gone.tolist():
-                    keep[a:b] = False
-                kept = text[keep].tobytes()
+                    stays[a:b] = False
+                kept = text[stays].tobytes()
             else:
                 kept = text.tobytes()
             out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in gone.tolist()]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), kind]
-        yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
+        yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)), *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed", *keep])
 
-    return arrow_stage(rows, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>")
+    types = dict(docs.dtypes)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>"
+    return arrow_stage(rows, each, ", ".join([schema, *(f"`{c}` {types[c]}" for c in keep)]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spark_io import arrow_stage, cut, documents
+from .spark_io import arrow_stage, cut, documents, small_batches
 
 #: Labelled documents learned from, at most: those of the smallest hashed ids.
 SAMPLE_DOCS = 30_000
@@ -257,6 +257,23 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_stage(documents(docs), each, "doc_id long, n_tokens long, score double, passages array<struct<start:long,end:long,score:double,significance:double>>")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text scores under `threshold`, with all their columns.
+
+    Null and empty texts stay unless the model scores every text high; a row's other columns
+    play no part, so repeated rows go or stay together. An empty table gives an empty result."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    small_batches(docs.sparkSession)
+
+    def each(batch):
+        for a, b, data, offs in tv.batches(batch.column(at)):
+            rows = list(passages(shared.value, data, offs))
+            score = shared.value.probability(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+            yield batch.slice(a, b - a).filter(pa.array(score < threshold))
+
+    return arrow_stage(docs, each, docs.schema)
+
+
 def held_out(doc_id):
     """The rows that are not learned from: crc32 of the id as text divides by 5."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
