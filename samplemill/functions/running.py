@@ -40,11 +40,11 @@ def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] =
     rows = rows.withColumns({f"{s}_before": F.coalesce(F.sum(col(s)).over(inside), zero[s]) for s in sums})
     ahead = Window.partitionBy(*map(col, by)).orderBy(down("__range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = rows.groupBy(*map(col, by), "__range").agg(*(F.sum(col(s)).alias(f"__{s}") for s in sums))
-    whole = whole.select(*map(col, by), "__range", *(F.coalesce(F.sum(f"__{s}").over(ahead), zero[s]).alias(f"__{s}") for s in sums))
-    cond = rows["__range"] == whole["__range"]
-    for b in by:
-        cond &= rows[f"`{b}`"].eqNullSafe(whole[f"`{b}`"])
-    return rows.join(whole, cond).select(*(rows[f"`{c}`"] for c in [*by, order, *sums]), *((rows[f"`{s}_before`"] + whole[f"__{s}"]).alias(f"{s}_before") for s in sums))
+    whole = whole.select(*(col(b).alias(f"__by_{i}") for i, b in enumerate(by)), F.col("__range").alias("__at"), *(F.coalesce(F.sum(f"__{s}").over(ahead), zero[s]).alias(f"__{s}") for s in sums))
+    cond = F.col("__range") == F.col("__at")
+    for i, b in enumerate(by):
+        cond &= col(b).eqNullSafe(F.col(f"__by_{i}"))
+    return rows.join(whole, cond).select(*map(col, [*by, order, *sums]), *((col(f"{s}_before") + F.col(f"__{s}")).alias(f"{s}_before") for s in sums))
 
 
 def numbered(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:

@@ -32,7 +32,7 @@ def pair_scores(ranked: DataFrame) -> DataFrame:
     a, b = ranked.alias("a"), ranked.alias("b")
     said = a.join(b, (F.col("a.batch") == F.col("b.batch")) & (F.col("a.rank") < F.col("b.rank"))).select(F.col("a.item").alias("low"), F.col("b.item").alias("high")).distinct()
     both = said.select(F.explode(F.array(F.struct(F.col("high").alias("item"), F.lit(1).alias("s")), F.struct(F.col("low").alias("item"), F.lit(-1).alias("s")))).alias("x"))
-    return both.groupBy("x.item").agg(F.sum("s").alias("score"))
+    return both.groupBy("x.item").agg(F.sum("x.s").alias("score"))
 
 
 def bradley_terry(wins: DataFrame, alpha: float = 0.001, rounds: int = 100, tolerance: float = 1e-9, cut: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
@@ -41,7 +41,7 @@ def bradley_terry(wins: DataFrame, alpha: float = 0.001, rounds: int = 100, tole
     games = cut(wins.groupBy("winner", "loser").agg(F.sum("n").cast("double").alias("n")))
     won = games.groupBy(F.col("winner").alias("item")).agg(F.sum("n").alias("w"))
     every = games.select(F.explode(F.array("winner", "loser")).alias("item")).distinct()
-    met = games.select(F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), "n"), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), "n"))).alias("x")).groupBy("x.item", "x.other").agg(F.sum("n").alias("n"))
+    met = games.select(F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), "n"), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), "n"))).alias("x")).groupBy("x.item", "x.other").agg(F.sum("x.n").alias("n"))
     met, base = cut(met), cut(every.join(won, "item", "left").select("item", (F.coalesce("w", F.lit(0.0)) + alpha).alias("w")))
     now = base.select("item", F.lit(1.0).alias("strength"))
     for _ in range(rounds):

@@ -18,7 +18,7 @@ def collate(df: DataFrame, batch: str, order: str, keys: Sequence[str] | None =
     need(df, batch, order, *keys)
     rows = F.array_sort(F.collect_list(F.struct(col(order).alias("__o"), *(col(k).alias(f"k{i}") for i, k in enumerate(keys))))).alias("__r")
     out = df.groupBy(col(batch).alias(batch)).agg(rows)
-    return out.select(col(batch), *(F.transform("__r", lambda r, i=i: r[f"k{i}"]).alias(k) for i, k in enumerate(keys)))
+    return out.select(col(batch), *(col("__r").getField(f"k{i}").alias(k) for i, k in enumerate(keys)))
 
 
 @op
