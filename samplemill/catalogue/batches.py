@@ -42,19 +42,19 @@ def batch_approx(read):
     return sp.drawn_batches(rows, "vec_id", "label", {0: 1.0, 1: 2.0, 2: 1.0}, 8, 40).groupBy("batch").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey AS b, list(l_partkey ORDER BY l_linenumber) AS l_partkey, list(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END ORDER BY l_linenumber) AS q FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey AS b, list(l_partkey ORDER BY l_linenumber, l_partkey) AS l_partkey, list(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY 1")
 def collate(read):
     rows = read("lineitem").select(F.col("l_orderkey").alias("b"), "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("q"))
     return ob.collate("b", "l_linenumber", ["l_partkey", "q"])(rows)
 
 
-@query("SELECT l_orderkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS place, l_partkey FROM lineitem")
+@query("SELECT l_orderkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS place, l_partkey FROM lineitem")
 def uncollate(read):
     rows = ob.collate("b", "l_linenumber", ["l_partkey"])(read("lineitem").select(F.col("l_orderkey").alias("b"), "l_linenumber", "l_partkey"))
     return ob.uncollate(["l_partkey"])(rows)
 
 
-@query("""WITH l AS (SELECT l_orderkey AS o, list(l_partkey ORDER BY l_linenumber) AS v FROM lineitem GROUP BY 1), b AS (SELECT o // 8 AS b, max(len(v)) AS m FROM l GROUP BY 1)
+@query("""WITH l AS (SELECT l_orderkey AS o, list(l_partkey ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY 1), b AS (SELECT o // 8 AS b, max(len(v)) AS m FROM l GROUP BY 1)
 SELECT CAST(b AS BIGINT) AS b, list(list_concat(v, list_transform(range(m - len(v)), lambda i: 0)) ORDER BY o) AS v FROM l JOIN b ON b.b = l.o // 8 GROUP BY 1""")
 def pad_batch(read):
     rows = ob.collate("o", "l_linenumber", ["v"])(read("lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", F.col("l_partkey").cast("long").alias("v")))
@@ -65,7 +65,7 @@ def pad_batch(read):
 
 @query("SELECT l_orderkey // 8 AS b, max(n) AS n FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1")
 def crop_padding(read):
-    rows = ob.collate("o", "l_linenumber", ["v"])(read("lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", F.col("l_partkey").cast("long").alias("v")))
+    rows = ob.collate("o", "l_linenumber", ["v"])(read("lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", (F.col("l_partkey") + 1).cast("long").alias("v")))
     rows = rows.withColumns({"b": F.floor(F.col("o") / 8).cast("long"), "v": F.concat("v", F.array_repeat(F.lit(0).cast("long"), 12))})
     cropped = ob.crop_padding("v", fill=0)(ob.collate("b", "o", ["v"])(rows))
     return cropped.select("b", F.size(F.get("v", F.lit(0))).cast("long").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, softmax
+from ..functions.storage import cut
 from ..metrics import classification as mc
 from ..metrics import masks as mm
 from ..metrics import ranking as mk
@@ -13,7 +14,6 @@ from ..metrics import regression as mr
 from ..metrics.base import interval, leaving_out, one_vs_rest, paired, per_group
 from ..operators.samples import matrix
 from ..plans.evaluator import evaluate, resolve
-from ..plans.storage import cut
 from .base import E, S, auc_sql, class_probabilities, predictions, query, rounded, rounded_vector, uniform_sql
 
 GROUPS = f"""{S}, a AS ({auc_sql("s", "p", "quality", "lang")})
@@ -336,9 +336,8 @@ def bradley_terry(read):
     e = read("embeddings").select("label", F.element_at("embedding", 1).alias("a"), F.element_at("embedding", 2).alias("b"))
     other = (F.col("label") + 1 + F.pmod(F.floor(F.abs("b") * 1000), F.lit(8))) % 10
     wins = e.select(F.when(F.col("a") > 0, F.col("label")).otherwise(other).alias("winner"), F.when(F.col("a") > 0, other).otherwise(F.col("label")).alias("loser"), F.lit(1).alias("n"))
-    from ..plans.storage import cut
-
-    return rounded(mk.bradley_terry(wins, rounds=30, cut=cut))
+    
+    return rounded(mk.bradley_terry(wins, rounds=8, cut=cut))
 
 
 @query(f"{S} SELECT doc_id, round(p, 6) AS p FROM s WHERE p > 0.9e0")

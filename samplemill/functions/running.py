@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import col
+from .storage import cut
 
 #: Ranges of a running sum: each holds about 1 / RANGES of the distinct values.
 RANGES = 256
@@ -31,6 +32,8 @@ def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] =
     One row per distinct value. Nulls of the order are left out."""
     by = list(by)
     rows = df.where(col(order).isNotNull()).groupBy(*map(col, [*by, order])).agg(*(F.sum(col(s)).alias(s) for s in sums))
+    # used three times below
+    rows = cut(rows)
     borders = cuts(rows, order, ranges)
     at = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < col(order).cast("double"))) if borders else F.lit(0)
     rows = rows.withColumn("__range", at)

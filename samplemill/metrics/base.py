@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.columns import col, uniform
 from ..functions.running import numbered
+from ..functions.storage import cut
 
 Metric = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -82,6 +83,7 @@ def resampled(df: DataFrame, replicates: int, key: str, strata: Sequence[str], b
     Draw i of a stratum takes the row in place floor(n * u(seed, replicate, i)), places being by the key."""
     groups = list(dict.fromkeys([*by, *strata]))
     places = numbered(df, key, groups)
+    places = cut(places)
     rows = join_groups(df, places, [*groups, key]).withColumnRenamed("place", "__place")
     sizes = places.groupBy(*map(col, groups)).agg(F.count("*").alias("__n"))
     draws = join_groups(places, sizes, groups).select(*map(col, groups), "__n", "place", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
@@ -100,6 +102,7 @@ def interval(metric: Metric, key: str, strata: Sequence[str] = (), replicates: i
     r = (1 - percent / 100) / 2
 
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        df = cut(df)
         org = long(metric(df, by), by).withColumnRenamed("value", "org")
         many = long(metric(resampled(df, replicates, key, strata, by, seed), [*by, "replicate"]), [*by, "replicate"])
         rows = many.groupBy(*map(col, by), "name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.array_sort(F.collect_list("value")).alias("v"))
@@ -118,6 +121,7 @@ def paired(test: Metric, reference: Metric, key: str, strata: Sequence[str] = ()
     the share of replicates in which the difference is over the margin, over its negative, or within it."""
 
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        df = cut(df)
         rows, keys = resampled(df, replicates, key, strata, by, seed), [*by, "replicate"]
         a, b = long(test(rows, keys), keys), long(reference(rows, keys), keys).withColumnRenamed("value", "other")
         both = join_groups(a, b, [*keys, "name"])

@@ -12,6 +12,7 @@ from ..functions import columns as fc
 from ..functions import stats
 from ..functions.columns import col, ratio
 from ..functions.running import mid_ranks, running
+from ..functions.storage import cut
 from .base import Metric, grouped, join_groups
 
 
@@ -266,7 +267,7 @@ def delong(pred1: str, pred2: str, target: str) -> Metric:
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows = df.select(*map(col, by), (col(target) == 1).cast("int").alias("t"), *(col(p).cast("double").alias(f"s{i}") for i, p in enumerate((pred1, pred2), 1)))
         size = grouped(rows, by).agg(F.sum("t").cast("double").alias("m"), (F.count("*") - F.sum("t")).cast("double").alias("n"))
-        rows = join_groups(rows, size, by)
+        rows = cut(join_groups(rows, size, by))
         for i in (1, 2):
             every = mid_ranks(rows, f"s{i}", by).withColumnRenamed("rank", "r_all")
             own = mid_ranks(rows, f"s{i}", [*by, "t"]).withColumnRenamed("rank", "r_own")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
 from ..functions.running import mid_ranks, numbered, running
+from ..functions.storage import cut
 from .base import Metric, grouped, join_groups
 
 
@@ -42,7 +43,7 @@ def pearson(pred: str, target: str, mask: str | None = None) -> Metric:
 
 def spearman(pred: str, target: str, mask: str | None = None) -> Metric:
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-        rows = pairs(df, pred, target, by, mask).dropna(subset=["pred", "target"])
+        rows = cut(pairs(df, pred, target, by, mask).dropna(subset=["pred", "target"]))
         for c in ("pred", "target"):
             rows = join_groups(rows, mid_ranks(rows, c, by).withColumnRenamed("rank", f"r_{c}"), [*by, c])
         return grouped(rows, by).agg(F.corr("r_pred", "r_target").alias("rho"), F.count("*").alias("n"))
@@ -75,6 +76,7 @@ def c_index(risk: str, time: str, observed: str | None = None, unit: int = 1, fo
         sign = 1 if higher_is_earlier else -1
         rows = df.select(*map(col, by), (F.lit(sign) * col(risk).cast("double")).alias("risk"), F.floor(col(time) / F.lit(float(unit))).cast("long").alias("time"), seen.alias("seen")).dropna(subset=["risk", "time"])
         rows = rows.groupBy(*map(col, by), "risk", "time", "seen").agg(F.count("*").alias("n"))
+        rows = cut(rows)
         places = numbered(rows, "time", by)
         rows = join_groups(rows, places, [*by, "time"])
         digits = max(1, (places.agg(F.max("place")).first()[0] or 0).bit_length())
