@@ -106,7 +106,9 @@ def block_links(ids: np.ndarray, texts: pa.Array, left: np.ndarray, right: np.nd
     """Links that join components among the pairs (one text of `left`, one of `right`).
 
     All pairs across components are covered: a text is compared with the whole
-    block unless it lies in the largest component by then."""
+    block, or put off while it lies in the largest component. As another component may
+    become the largest, those put off outside the one that is largest at the end
+    are compared then; two texts never compared lie in that one."""
     column, offs = tv.byte_arrays(texts)
     _, _, first, hashes = tv.word_hashes(column, offs, tv.NOT_SPACE)
     sets, at = tv.shingle_sets(hashes, first)
@@ -117,19 +119,19 @@ def block_links(ids: np.ndarray, texts: pa.Array, left: np.ndarray, right: np.nd
     order = np.argsort(codes, kind="stable")
     posting = owner[order]
     where = np.searchsorted(codes[order], np.arange(codes.max() + 2 if len(codes) else 1))
-    union, out = _Union(n), []
+    union, out, later = _Union(n), [], []
     root, largest = np.arange(n), -1
     mode = np.bitwise_or.reduce(packed & packed[0], axis=0) if n else packed
     central = np.argsort(-estimate(mode, packed), kind="stable") if n else []
-    for x in central:
-        if size[x] == 0 or (largest >= 0 and root[x] == largest and union.size[largest] > 1):
-            continue
+
+    def compare(x: int) -> None:
+        nonlocal root, largest
         other = right if left[x] else left
         other = other | (right & left[x]) | (left & right[x])
         able = other & (root != root[x]) & (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x]))
         able[able] = estimate(packed[x], packed[able]) >= percent / 100 - margin
         if not able.any():
-            continue
+            return
         mine = codes[at[x] : at[x + 1]]
         lengths = where[mine + 1] - where[mine]
         picks = np.repeat(where[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
@@ -141,6 +143,16 @@ def block_links(ids: np.ndarray, texts: pa.Array, left: np.ndarray, right: np.nd
         if len(near):
             root = np.array([union.find(i) for i in range(n)])
             largest = int(np.argmax(np.bincount(root)))
+
+    for x in central:
+        if size[x] and largest >= 0 and root[x] == largest:
+            later.append(x)
+        elif size[x]:
+            compare(x)
+    hub = largest
+    for x in later:
+        if root[x] != root[hub]:
+            compare(x)
     return out
 
 

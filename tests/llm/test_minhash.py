@@ -84,3 +84,39 @@ def test_estimate_is_close_to_the_true_similarity():
     _, _, first, hashes = tv.word_hashes(data, offs, tv.NOT_SPACE)
     packed = minhash.pack(minhash.minima(*tv.shingle_sets(hashes, first)))
     assert abs(minhash.estimate(packed[0], packed[1:])[0] - 896 / 1096) < 0.15
+
+
+def _edited(*places):
+    words = [f"w{i}" for i in range(600)]
+    for p in places:
+        words[p] = f"n{p}"
+    return " ".join(words)
+
+
+def _classes(n, links):
+    union = minhash._Union(n)
+    for a, b in links:
+        union.join(a, b)
+    return [min(j for j in range(n) if union.find(j) == union.find(i)) for i in range(n)]
+
+
+def test_a_bridge_between_two_skipped_texts_is_found():
+    """Text 1 is put off in one component and text 2 in another that outgrew it; only they link the two."""
+    at = range(5, 600, 10)
+    a, b, c = at[:5], at[5:13], at[13:15]
+    texts = [_edited(), _edited(*a), _edited(*a, *b), _edited(*b, *c), _edited(*a, *b, 205)]
+    every = np.ones(5, dtype=bool)
+    assert _classes(5, minhash.block_links(np.arange(5), pa.array(texts), every, every, 85, 0.24)) == [0] * 5
+
+
+def test_block_links_match_brute_force_on_overlapping_clusters():
+    at, wrong = range(5, 600, 10), []
+    for seed in range(120):
+        rng = np.random.default_rng(seed)
+        n, k = int(rng.integers(5, 25)), int(rng.integers(2, 5))
+        edits = [set(rng.choice(60, int(rng.integers(0, 9)), replace=False)) for _ in range(k)]
+        texts = [_edited(*(at[q] for q in set().union(*[x for x in edits if rng.random() < 0.5]) ^ set(rng.choice(60, int(rng.integers(0, 3)), replace=False)))) for _ in range(n)]
+        every = np.ones(n, dtype=bool)
+        if _classes(n, minhash.block_links(np.arange(n), pa.array(texts), every, every, 85, 0.24)) != [c for _, c in brute(list(enumerate(texts))).values()]:
+            wrong.append(seed)
+    assert wrong == []
