@@ -16,6 +16,9 @@ found exactly, in four steps:
    common prefixes then tell which windows start elsewhere too. An anchor hash with
    very many ranges is dealt over a grid of block pairs.
 4. What repeats is gathered per document and cut out.
+
+Runs of words are found by the same ranges, on texts whose words are replaced by codes of
+CODE bytes each; a shard then compares the hashes of all windows of whole words.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .spark_io import arrow_stage, cut, documents
 
 #: Bytes of the strings that repeat, and of an anchor.
 LENGTH, ANCHOR = 400, 128
+#: Bytes of a word's code; words of a run that repeats (more than 50); words of an anchor then.
+CODE, RUN_WORDS, ANCHOR_WORDS = 6, 51, 16
 #: Ranges of one anchor hash that a shard takes whole; bytes of a shard beyond which it takes no further hash.
 BLOCK, SHARD_BYTES = 4096, 1 << 21
 #: A byte that no UTF-8 text holds stands between a shard's ranges.
@@ -193,6 +198,17 @@ def repeated_starts(s: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def repeated_codes(s: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the words' codes (first bytes of 64 or more) where s[i:i + length] holds no GAP and
+    starts elsewhere in s too, by the hashes of these strings."""
+    at = np.flatnonzero((s >= 64) & (s != GAP))
+    gaps = np.append(0, np.cumsum(s == GAP))
+    at = at[at + length <= len(s)]
+    at = at[gaps[at + length] == gaps[at]]
+    _, same, count = np.unique(tv.span_hash(tv.prefix_hash(s), at, at + length), return_inverse=True, return_counts=True)
+    return at[count[same] > 1]
+
+
 # -- Spark steps ------------------------------------------------------------------
 
 
@@ -201,10 +217,11 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return documents(docs, *more).withColumns({"k1": F.xxhash64("text"), "k2": F.coalesce("doc_id", F.lit(-(1 << 63)))})
 
 
-def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, unit: int = 1) -> DataFrame:
     """(anchor, whole, k1, k2, span): the ranges of window starts by anchor, span being the last
-    start times 2^32 plus the first; `whole` is the hash of their bytes."""
-    w = length - anchor + 1
+    start times 2^32 plus the first; `whole` is the hash of their bytes. Windows and anchors start at
+    multiples of `unit` bytes, which all lengths are too."""
+    w = (length - anchor) // unit + 1
 
     def each(batch):
         k1, k2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -213,7 +230,7 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
             if n < length:
                 continue
             sums = tv.prefix_hash(data)
-            at = np.arange(n - anchor + 1)
+            at = np.arange(0, n - anchor + 1, unit)
             h = tv.span_hash(sums, at, at + anchor)
             padded = np.full(-(-len(h) // w) * w, ~np.uint64(0))
             padded[: len(h)] = h
@@ -221,8 +238,8 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
             to = np.minimum.accumulate(block, axis=1).ravel()
             back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
             least = np.minimum(back[: len(h) - w + 1], to[w - 1 : len(h)])
-            owner = np.repeat(np.arange(b - a), np.diff(offs))[: n - length + 1]
-            starts = np.flatnonzero(np.arange(n - length + 1) + length <= offs[owner + 1])
+            owner = np.repeat(np.arange(b - a), np.diff(offs) // unit)[: (n - length) // unit + 1]
+            starts = np.flatnonzero(np.arange(len(owner)) * unit + length <= offs[owner + 1])
             if not len(starts):
                 continue
             v, d = least[starts], owner[starts]
@@ -230,7 +247,7 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
             # a window names the leftmost occurrence of its least hash: once that is passed, another range begins
             new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1]) | (h[starts[1:] - 1] == v[1:])
             first = np.flatnonzero(new)
-            lo, hi = starts[first], starts[np.append(first[1:], len(starts)) - 1]
+            lo, hi = starts[first] * unit, starts[np.append(first[1:], len(starts)) - 1] * unit
             whole = tv.span_hash(sums, lo, hi + length)
             d = d[first]
             yield pa.record_batch([pa.array(v[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + d]), pa.array(k2[a + d]), pa.array(lo - offs[d] + ((hi - offs[d]) << 32))], ["anchor", "whole", "k1", "k2", "span"])
@@ -238,7 +255,7 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     return arrow_stage(_keyed(docs), each, "anchor long, whole long, k1 long, k2 long, span long")
 
 
-def _shards(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _shards(docs: DataFrame, wanted: DataFrame, length: int, unit: int = 1) -> DataFrame:
     """(k1, k2, start, end) of repeats among the ranges `wanted` (anchor, i, j, own, k1, k2, lo, hi)."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "i", "j", "own", "lo", "hi")).alias("ranges"))
     rows = _keyed(docs).dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"]).select("k1", "k2", F.col("text").cast("binary").alias("text"), "ranges")
@@ -255,10 +272,10 @@ def _shards(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             s = np.full(len(data) + len(n), GAP, dtype=np.uint8)
             head = offs[:-1] + np.arange(len(n))
             s[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
-            hit = np.flatnonzero(repeated_starts(s, length))
+            hit = np.flatnonzero(repeated_starts(s, length)) if unit == 1 else repeated_codes(s, length)
             own = np.searchsorted(head, hit, side="right") - 1
             new = np.ones(len(hit), dtype=bool)
-            new[1:] = (np.diff(hit) != 1) | (np.diff(own) != 0)
+            new[1:] = (np.diff(hit) != unit) | (np.diff(own) != 0)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(hit))[: len(first)] - 1
             o = own[first]
@@ -289,9 +306,9 @@ def _shards(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(each, "k1 long, k2 long, start long, end long")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, unit: int = 1) -> DataFrame:
     """(k1, k2, spans array<struct<start, end>>): the repeats of each text, not yet merged."""
-    ranges = cut(window_ranges(docs, length, anchor))
+    ranges = cut(window_ranges(docs, length, anchor, unit))
     many = ranges.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("z")).where("n > 1")
     ranges = ranges.join(many.select("anchor", (F.col("a") != F.col("z")).alias("mixed")), "anchor")
     ranges = cut(ranges.withColumn("hi", F.shiftright("span", 32)).withColumn("lo", F.col("span").bitwiseAND(0xFFFFFFFF)).drop("span"))
@@ -300,7 +317,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     shape = shape.select("anchor", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("g"))
     open_ = classes.join(shape, "anchor").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("g")).cast("int"))
     open_ = open_.select("anchor", "own", "one.*", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))).alias("p"))
-    part = _shards(docs, open_.select("anchor", "p.i", "p.j", "own", "k1", "k2", "lo", "hi"), length)
+    part = _shards(docs, open_.select("anchor", "p.i", "p.j", "own", "k1", "k2", "lo", "hi"), length, unit)
     whole = ranges.where("mixed").join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").unionByName(ranges.where("not mixed"))
     whole = whole.select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     return part.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -352,3 +369,77 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, kee
     types = dict(docs.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>"
     return arrow_stage(rows, each, ", ".join([schema, *(f"`{c}` {types[c]}" for c in keep)]))
+
+
+# -- runs of words ------------------------------------------------------------------
+
+
+def word_places(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) of the words: runs without white space; as scripts without spaces
+    have none, every kana, ideograph and Thai or Lao letter is a word too."""
+    if not len(data):
+        return tv.words(data, offs, tv.NOT_SPACE)
+    inside = tv.NOT_SPACE[data]
+    alone = (data >= 0xE3) & (data <= 0xE9)
+    alone[:-1] |= (data[:-1] == 0xE0) & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    new = alone.copy()
+    new[0] = new[offs[offs < len(data)]] = True
+    new[1:] |= ~inside[:-1]
+    new[3:] |= alone[:-3]
+    starts = np.flatnonzero(inside & new)
+    stop = ~inside | new
+    ends = np.append(np.flatnonzero(stop), len(data))
+    return starts, ends[np.searchsorted(ends, starts, side="right")], np.searchsorted(starts, offs)
+
+
+def word_codes(column: pa.Array) -> pa.Array:
+    """Each text as its words' codes: 36 bits of a word's hash, six to a byte; only a code's first byte is 64 or more."""
+    out = []
+    for a, b, data, offs in tv.batches(column):
+        starts, ends, first = word_places(data, offs)
+        h = tv.span_hash(tv.prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        codes = ((h[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)).astype(np.uint8)
+        codes[:, 0] += 64
+        out.append(pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer((first * CODE).astype(np.int64)), pa.py_buffer(codes.tobytes())]))
+    return pa.concat_arrays(out).cast(pa.string()) if out else pa.array([], pa.string())
+
+
+def deduplicate_words(docs: DataFrame, words: int = RUN_WORDS, anchor: int = ANCHOR_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept binary, *keep) of every document.
+
+    Each word in a run of `words` words that also starts anywhere else, in this text or another,
+    is removed with the white space up to the next word; words compare byte by byte, white
+    space between them does not count. Rows equal in id and words are repeats of each other. Null
+    and empty texts lose nothing."""
+    types = dict(docs.dtypes)
+    more = [f"`{c}` {types[c]}" for c in keep]
+
+    def code(batch):
+        yield pa.record_batch([batch.column(0), batch.column(1), word_codes(batch.column(1)), *batch.columns[2:]], ["doc_id", "raw", "text", *keep])
+
+    coded = arrow_stage(documents(docs, *keep), code, ", ".join(["doc_id long, raw string, text string", *more]))
+    found = spans(coded.select("doc_id", "text"), words * CODE, anchor * CODE, CODE)
+    rows = _keyed(coded, "raw", *keep).drop("text").join(found, ["k1", "k2"], "left").select("doc_id", "raw", "spans", *keep)
+
+    def each(batch):
+        lists = batch.column(2)
+        flat = lists.flatten()
+        both = np.stack([flat.field("start").to_numpy(zero_copy_only=False), flat.field("end").to_numpy(zero_copy_only=False)], axis=1) if len(flat) else np.zeros((0, 2), np.int64)
+        at = np.append(0, np.cumsum([x or 0 for x in lists.value_lengths().to_pylist()])).astype(np.int64)
+        both = both // CODE
+        out: list[tuple] = []
+        for a, b, data, offs in tv.batches(batch.column(1)):
+            starts, _, first = word_places(data, offs)
+            for i in range(b - a):
+                text, place = data[offs[i] : offs[i + 1]], starts[first[i] : first[i + 1]] - offs[i]
+                gone = _merged(both[at[a + i] : at[a + i + 1]])
+                if len(gone):
+                    place = np.append(place, len(text))
+                    stays = np.ones(len(text), dtype=bool)
+                    for x, y in gone.tolist():
+                        stays[place[x] : place[y]] = False
+                    text = text[stays]
+                out.append((int(first[i + 1] - first[i]), int((gone[:, 1] - gone[:, 0]).sum()) if len(gone) else 0, text.tobytes()))
+        yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept", *keep])
+
+    return arrow_stage(rows, each, ", ".join(["doc_id long, n_words long, n_removed long, kept binary", *more]))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -71,3 +72,43 @@ def test_many_edited_copies(spark, monkeypatch, block):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, k1 int").repartition(3)
     assert got(suffix.deduplicate(docs, length=60, anchor=24)) == brute(rows, 60)
     assert suffix.deduplicate(docs.limit(0)).count() == 0
+
+
+def brute_words(rows, n):
+    split = {i: [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for i, (_, t) in enumerate(rows)}
+    count = Counter(tuple(m[0] for m in w[k : k + n]) for w in split.values() for k in range(len(w) - n + 1))
+    out = []
+    for i, (d, t) in enumerate(rows):
+        b, w = (t or "").encode(), split[i]
+        gone = [any(count[tuple(m[0] for m in w[x : x + n])] > 1 for x in range(max(0, k - n + 1), min(k, len(w) - n) + 1)) for k in range(len(w))]
+        edges = [m.start() for m in w] + [len(b)]
+        out.append((d, len(w), sum(gone), b[: edges[0]] + b"".join(b[edges[k] : edges[k + 1]] for k in range(len(w)) if not gone[k])))
+    return sorted(out, key=str)
+
+
+def got_words(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in df.collect()), key=str)
+
+
+def test_runs_of_words_in_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert got_words(suffix.deduplicate_words(docs)) == brute_words([(r.doc_id, r.text) for r in docs.collect()], 51)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_runs_of_words_in_edited_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    base = [f"{'äb'[x % 2]}{x}" for x in rng.integers(0, 6, 150)]
+    joints = [" ", "\n", "  ", "\t "]
+    rows = [(i, "".join(w + joints[rng.integers(0, 4)] for w in [*base[: rng.integers(0, 150)], f"X{i % 9}", *base[rng.integers(0, 150) :]])) for i in range(40)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, "a " * 30), (None, " ".join(base)), (None, " ".join(base)), (7, " " + " ".join(base[5:]))]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, k1 int").repartition(3)
+    assert got_words(suffix.deduplicate_words(docs, words=12, anchor=5)) == brute_words(rows, 12)
+    assert suffix.deduplicate_words(docs.limit(0)).count() == 0
+
+
+def test_letters_of_scripts_without_spaces_are_words():
+    data = np.frombuffer("ab 日本c\nไท é".encode(), np.uint8)
+    starts, ends, _ = suffix.word_places(data, np.array([0, len(data)]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == ["ab", "日", "本", "c", "ไ", "ท", "é"]
