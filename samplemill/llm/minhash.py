@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spark_io import arrow_stage, components, cut, documents
+from .spark_io import arrow_stage, components, cut, documents, released
 
 MINIMA, BANDS, ROWS, BITS = 128, 25, 5, 2
 #: A block of a candidate group: documents and shingles.
@@ -190,7 +190,7 @@ def links(docs: DataFrame, groups: DataFrame, percent: int = 85, margin: float =
         if held:
             yield finish()
 
-    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(each, "a long, b long")
+    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(released(each), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

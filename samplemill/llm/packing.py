@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import bpe
 from . import textvec as tv
-from .spark_io import documents
+from .spark_io import documents, released
 
 #: Window lengths, longest first.
 WINDOWS = (4096, 2048, 1024, 512, 256)
@@ -158,4 +158,4 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, windows: tup
         packer.pack(last=True)
         yield packer.take()
 
-    return documents(docs).mapInArrow(each, SCHEMA)
+    return documents(docs).mapInArrow(released(each), SCHEMA)

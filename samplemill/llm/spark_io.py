@@ -3,6 +3,7 @@ names, Arrow stages and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -51,6 +52,27 @@ def carry(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*(own.get(c, c) for c in docs.columns)), names
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(func: Callable) -> Callable:
+    """func for mapInArrow, after whose end its worker gives memory back."""
+
+    def each(it):
+        try:
+            yield from func(it)
+        finally:
+            _give_back()
+
+    return each
+
+
 def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -63,7 +85,7 @@ def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.Reco
                 elif out is not None:
                     yield from out
 
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(released(each), schema)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

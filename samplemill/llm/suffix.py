@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spark_io import arrow_stage, cut, documents
+from .spark_io import arrow_stage, cut, documents, released
 
 #: Bytes of the strings that repeat, and of an anchor.
 LENGTH, ANCHOR = 400, 128
@@ -303,7 +303,7 @@ def _shards(docs: DataFrame, wanted: DataFrame, length: int, unit: int = 1) -> D
             yield finish()
 
     ordered = ranges.select("k1", "k2", "anchor", "i", "j", "lo", "bytes").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    return ordered.mapInArrow(each, "k1 long, k2 long, start long, end long")
+    return ordered.mapInArrow(released(each), "k1 long, k2 long, start long, end long")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, unit: int = 1) -> DataFrame:
