@@ -41,7 +41,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.deduplicate(read(spark, sf_dir, "documents")).drop("kept", "removed")
+    return suffix.deduplicate_both(read(spark, sf_dir, "documents"))
 
 
 def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

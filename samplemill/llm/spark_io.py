@@ -7,11 +7,18 @@ import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Bits of a block of a key filter; bits for each key, and of a filter at most (32 MB).
+FILTER_BLOCK, FILTER_SHARE, FILTER_BITS = 1 << 16, 16, 1 << 28
+#: Rows of a key from which a join deals it out, and over how many places.
+HEAVY, DEAL = 2048, 64
 #: Rows of an Arrow batch: texts of some 4 MB at a few KB each.
 BATCH_ROWS = 1000
 
@@ -88,6 +95,77 @@ def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(released(each), schema)
 
 
+class KeyFilter:
+    """A Bloom filter of 64-bit keys in blocks: False is certain, True may be chance."""
+
+    def __init__(self, blocks: int) -> None:
+        self.bits = np.zeros((blocks, FILTER_BLOCK // 8), dtype=np.uint8)
+
+    def probes(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(32)).astype(np.int64) % len(self.bits), [((h >> np.uint64(s)) & np.uint64(FILTER_BLOCK - 1)).astype(np.int64) for s in (0, 16)]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        block, places = self.probes(keys)
+        out = np.ones(len(keys), dtype=bool)
+        for p in places:
+            out &= (self.bits[block, p >> 3] >> (p & 7) & 1).astype(bool)
+        return out
+
+
+def key_filter(keys: DataFrame) -> Broadcast:
+    """A filter of the one column of longs in `keys` (a table that is cheap to read again), of bounded size. It only
+    saves work: with more keys than it has room for, more rows pass."""
+    blocks = 1
+    while blocks * FILTER_BLOCK < min(keys.count() * FILTER_SHARE, FILTER_BITS):
+        blocks *= 2
+    out = KeyFilter(blocks)
+    shape = KeyFilter(0)
+    shape.bits = np.zeros((blocks, 0), dtype=np.uint8)
+
+    def place(batch):
+        k = batch.column(0).drop_null().to_numpy()
+        yield pa.record_batch([pa.array(shape.probes(k)[0]), pa.array(k)], ["block", "key"])
+
+    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, block = np.zeros(FILTER_BLOCK, dtype=bool), None
+        for batch in it:
+            block = batch.column(0)[0].as_py() if block is None else block
+            for p in shape.probes(batch.column(1).to_numpy())[1]:
+                bits[p] = True
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    rows = arrow_stage(keys, place, "block long, key long").groupBy("block").applyInArrow(fill, "block long, bits binary").toArrow()
+    for block, bits in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+        out.bits[block] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def within(shared: Broadcast, key: Column) -> Column:
+    """Whether a filter may hold a column of longs; null keys are not held."""
+
+    def has(k: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(k.to_numpy(np.int64)))
+
+    return F.pandas_udf(has, "boolean")(F.coalesce(key, F.lit(0))) & key.isNotNull()
+
+
+def join_heavy(many: DataFrame, one: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of `many` with `one`, which has one row a key and the number of its rows in `weight`
+    (dropped): a key of more than HEAVY rows is dealt over DEAL places instead of one task."""
+    key = F.xxhash64(*keys)
+    heavy = key_filter(one.where(F.col(weight) > HEAVY).select(key.alias("key")))
+    hot = within(heavy, key)
+    many, one = many.withColumn("__hot", hot), one.drop(weight).withColumn("__hot", hot)
+    plain = many.where("not __hot").drop("__hot").join(one.where("not __hot").drop("__hot"), keys)
+    place = F.pmod(F.xxhash64(*[c for c in many.columns if c != "__hot"]), F.lit(DEAL)).cast("int")
+    copies = one.where("__hot").drop("__hot").withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    dealt = many.where("__hot").drop("__hot").withColumn("__place", place).join(copies, [*keys, "__place"]).drop("__place")
+    return plain.unionByName(dealt)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) reaches.
 

@@ -24,14 +24,17 @@ CODE bytes each; a shard then compares the hashes of all windows of whole words.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spark_io import arrow_stage, cut, documents, released
+from .spark_io import arrow_stage, cut, documents, join_heavy, key_filter, released, within
 
 #: Bytes of the strings that repeat, and of an anchor.
 LENGTH, ANCHOR = 400, 128
@@ -41,6 +44,7 @@ CODE, RUN_WORDS, ANCHOR_WORDS = 6, 51, 16
 BLOCK, SHARD_BYTES = 4096, 1 << 21
 #: A byte that no UTF-8 text holds stands between a shard's ranges.
 GAP = 0xFF
+RANGES = "anchor long, whole long, k1 long, k2 long, span long, owned long"
 
 
 # -- suffix arrays ---------------------------------------------------------------
@@ -217,10 +221,10 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return documents(docs, *more).withColumns({"k1": F.xxhash64("text"), "k2": F.coalesce("doc_id", F.lit(-(1 << 63)))})
 
 
-def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, unit: int = 1) -> DataFrame:
-    """(anchor, whole, k1, k2, span): the ranges of window starts by anchor, span being the last
-    start times 2^32 plus the first; `whole` is the hash of their bytes. Windows and anchors start at
-    multiples of `unit` bytes, which all lengths are too."""
+def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, unit: int = 1, only: Broadcast | None = None) -> DataFrame:
+    """(anchor, whole, k1, k2, span, owned): the ranges of window starts by anchor, span being the end of their
+    bytes times 2^32 plus the first; `owned` the last and the first start likewise; `whole` is the hash of their bytes.
+    Windows and anchors start at multiples of `unit` bytes, which all lengths are too."""
     w = (length - anchor) // unit + 1
 
     def each(batch):
@@ -248,18 +252,166 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, u
             new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1]) | (h[starts[1:] - 1] == v[1:])
             first = np.flatnonzero(new)
             lo, hi = starts[first] * unit, starts[np.append(first[1:], len(starts)) - 1] * unit
+            if only is not None:
+                some = only.value.has(v[first].view(np.int64))
+                first, lo, hi = first[some], lo[some], hi[some]
             whole = tv.span_hash(sums, lo, hi + length)
             d = d[first]
-            yield pa.record_batch([pa.array(v[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + d]), pa.array(k2[a + d]), pa.array(lo - offs[d] + ((hi - offs[d]) << 32))], ["anchor", "whole", "k1", "k2", "span"])
+            yield pa.record_batch([pa.array(v[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + d]), pa.array(k2[a + d]), pa.array(lo - offs[d] + ((hi + length - offs[d]) << 32)), pa.array(lo - offs[d] + ((hi - offs[d]) << 32))], ["anchor", "whole", "k1", "k2", "span", "owned"])
 
-    return arrow_stage(_keyed(docs), each, "anchor long, whole long, k1 long, k2 long, span long")
+    return arrow_stage(_keyed(docs), each, RANGES)
 
 
-def _shards(docs: DataFrame, wanted: DataFrame, length: int, unit: int = 1) -> DataFrame:
-    """(k1, k2, start, end) of repeats among the ranges `wanted` (anchor, i, j, own, k1, k2, lo, hi)."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "i", "j", "own", "lo", "hi")).alias("ranges"))
-    rows = _keyed(docs).dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"]).select("k1", "k2", F.col("text").cast("binary").alias("text"), "ranges")
-    ranges = rows.select("k1", "k2", "text", F.explode("ranges").alias("r")).select("k1", "k2", "r.anchor", "r.i", "r.j", "r.own", "r.lo", F.expr(f"substring(text, cast(r.lo as int) + 1, cast(r.hi - r.lo as int) + {length})").alias("bytes"))
+@dataclass(frozen=True)
+class Rules:
+    """Strings of `length` bytes and runs of `words` words that repeat byte by byte."""
+
+    length: int = LENGTH
+    anchor: int = ANCHOR
+    words: int = RUN_WORDS
+    anchor_words: int = ANCHOR_WORDS
+
+    @property
+    def gap(self) -> int:
+        return (self.length - self.anchor) // 4
+
+    @property
+    def lead(self) -> int:
+        """Bytes from a string's start to where its host may stand: whether a place is a start shows in so many bytes before it."""
+        return self.gap + 4
+
+    @property
+    def host(self) -> int:
+        return self.length - 2 * self.gap - 8
+
+    @property
+    def host_words(self) -> int:
+        return self.words * 4 // 5
+
+
+def starts_of(data: np.ndarray, offs: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, words' starts, words' ends, first word of each text): the words' starts, and every byte
+    that no word's start stands within `gap` bytes before."""
+    ws, we, first = word_places(data, offs)
+    at = np.arange(len(data))
+    is_word = np.zeros(len(data), dtype=bool)
+    is_word[ws] = True
+    last = np.maximum.accumulate(np.where(is_word, at, -gap - 1)) if len(data) else at
+    dense = (at - last > gap) & (at - np.repeat(offs[:-1], np.diff(offs)) >= gap)
+    return np.flatnonzero(is_word | dense), ws, we, first
+
+
+def hosted_ranges(docs: DataFrame, rules: Rules, only: Broadcast | None = None) -> DataFrame:
+    """As `window_ranges`, for both rules at once. Each string of bytes has a host, the first start (of
+    `starts_of`) from `lead` bytes on, and each run of words its first word. A host stands for four fifths
+    of the run's words, or the bytes that all its strings have, whichever is shorter, and names the smallest hash
+    among the anchors in there: so many words, or bytes, from a start."""
+    r = rules
+    aw = max(r.anchor_words * 3 // 4, 1)
+
+    def each(batch):
+        k1, k2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        for a, _, data, offs in tv.batches(batch.column(1)):
+            s, ws, we, first = starts_of(data, offs, r.gap)
+            if not len(s):
+                continue
+            d = np.searchsorted(offs, s, side="right") - 1
+            stop = offs[d + 1]
+            nth = np.searchsorted(ws, s)
+            far = np.int64(1) << 62
+
+            def word_end(k, count):
+                at = k + count - 1
+                return np.where(at < first[d + 1], we[np.minimum(at, len(we) - 1)] if len(we) else far, far)
+
+            gram = np.minimum(np.minimum(word_end(nth, aw), s + r.anchor), stop + 1)
+            end = np.minimum(word_end(nth, r.host_words), s + r.host)
+            sums = tv.prefix_hash(data)
+            h = tv.span_hash(sums, s, np.minimum(gram, stop))
+            to = np.searchsorted(gram, end, side="right") - 1
+            at = np.arange(len(s))
+            fine = np.flatnonzero((end <= stop) & (to >= at))
+            if not len(fine):
+                continue
+            # least hash between a host and its last anchor, by two overlapping powers of two
+            size = to[fine] - fine + 1
+            level = np.frexp(size.astype(np.float64))[1] - 1
+            least, row = np.empty(len(fine), np.uint64), h
+            for x in range(int(level.max()) + 1):
+                mine = level == x
+                least[mine] = np.minimum(row[fine[mine]], row[to[fine[mine]] - (1 << x) + 1])
+                row = np.minimum(row[: len(row) - (1 << x)], row[1 << x :]) if len(row) > 1 << x else row
+            new = np.ones(len(fine), dtype=bool)
+            new[1:] = (least[1:] != least[:-1]) | (d[fine[1:]] != d[fine[:-1]]) | (fine[1:] != fine[:-1] + 1) | (h[fine[:-1]] == least[1:])
+            i = np.flatnonzero(new)
+            x, z = fine[i], fine[np.append(i[1:], len(fine)) - 1]
+            if only is not None:
+                some = only.value.has(least[i].view(np.int64))
+                i, x, z = i[some], x[some], z[some]
+            o = d[x]
+            before = np.where((x > 0) & (d[np.maximum(x - 1, 0)] == o), s[np.maximum(x - 1, 0)] - r.lead + 1, 0)
+            lo = np.maximum(before, offs[o])
+            run = np.where(ws[np.minimum(nth[z], max(len(ws) - 1, 0))] == s[z], nth[z], nth[z] - 1) if len(ws) else nth[z]
+            run = np.minimum(run, first[o + 1] - r.words)  # the last host may stand behind the text's last run
+            run_at = run + r.words - 1
+            run_end = np.where((run >= first[o]) & (run_at < first[o + 1]), we[np.minimum(run_at, max(len(we) - 1, 0))] if len(we) else 0, 0)
+            hi = np.minimum(np.maximum(s[z] - r.lead + r.length, run_end + 1), offs[o + 1])
+            whole = tv.span_hash(sums, lo, hi)
+            base = offs[o]
+            yield pa.record_batch([
+                pa.array(least[i].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + o]), pa.array(k2[a + o]),
+                pa.array(lo - base + ((hi - base) << 32)), pa.array(s[x] - base + ((s[z] - base) << 32)),
+            ], ["anchor", "whole", "k1", "k2", "span", "owned"])
+
+    return arrow_stage(_keyed(docs), each, RANGES)
+
+
+def hosted_repeats(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, x: np.ndarray, z: np.ndarray, tail: np.ndarray, rules: Rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """[(range, start, end, kind)] of what repeats among ranges: strings of bytes (kind 1) and runs of words (2).
+    Each place of a text counts once, in the range whose hosts own it. `tail` marks ranges that end their text."""
+    n = np.diff(offs)
+    s = np.full(len(data) + len(n), GAP, dtype=np.uint8)
+    head = offs[:-1] + np.arange(len(n))
+    s[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
+    # what lies behind the last string that the range owns must not be found there again
+    owned = z - rules.lead - lo
+    hidden = s.copy()
+    behind = np.maximum(owned, -1) + 1 + rules.length - 1
+    place = np.arange(len(s)) - np.repeat(head, n + 1)
+    hidden[place >= np.repeat(behind, n + 1)] = GAP
+    hit = np.flatnonzero(repeated_starts(hidden, rules.length))
+    own = np.searchsorted(head, hit, side="right") - 1
+    new = np.ones(len(hit), dtype=bool)
+    new[1:] = (np.diff(hit) != 1) | (np.diff(own) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hit))[: len(first)] - 1
+    o = own[first]
+    start = hit[first] - head[o] + lo[o]
+    out = [(o, start, start + (hit[last] - hit[first]) + rules.length, 1)]
+    ws, we, word = word_places(data, offs)
+    at = np.arange(len(ws))
+    o = np.repeat(np.arange(len(n)), np.diff(word))
+    whole = at + rules.words <= word[o + 1]
+    at, o = at[whole], o[whole]
+    a, b = ws[at] - offs[o] + lo[o], we[at + rules.words - 1] if len(at) else at
+    fine = (a >= x[o]) & (a <= z[o]) & ((b < offs[o + 1]) | tail[o])
+    o, a, b, at = o[fine], a[fine], b[fine], at[fine]
+    if len(at):
+        _, same, count = np.unique(tv.span_hash(tv.prefix_hash(data), ws[at], b), return_inverse=True, return_counts=True)
+        some = count[same] > 1
+        out.append((o[some], a[some], (b - offs[o] + lo[o])[some], 2))
+    return out
+
+
+def _shards(docs: DataFrame, wanted: DataFrame, search) -> DataFrame:
+    """(k1, k2, start, end, kind) of repeats among the ranges `wanted` (anchor, i, j, own, k1, k2, span, owned);
+    `search` finds them among a shard's (bytes, offsets, lo, first owned, last owned, whether a range ends its text)."""
+    lists = cut(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "i", "j", "own", "span", "owned")).alias("ranges")))
+    key = F.xxhash64("k1", "k2")
+    rows = _keyed(docs).where(within(key_filter(lists.select(key.alias("key"))), key)).dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"])
+    rows = rows.select("k1", "k2", F.col("text").cast("binary").alias("text"), F.explode("ranges").alias("r"))
+    lo, hi = F.col("r.span").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("r.span", 32).cast("int")
+    ranges = rows.select("k1", "k2", "r.anchor", "r.i", "r.j", "r.owned", lo.alias("lo"), (hi == F.octet_length("text")).alias("tail"), F.substring("text", lo + 1, hi - lo).alias("bytes"))
 
     def each(it):
         held: list[pa.RecordBatch] = []
@@ -268,19 +420,9 @@ def _shards(docs: DataFrame, wanted: DataFrame, length: int, unit: int = 1) -> D
         def finish():
             t = pa.Table.from_batches(held).combine_chunks()
             data, offs = tv.byte_arrays(t.column("bytes"))
-            n = np.diff(offs)
-            s = np.full(len(data) + len(n), GAP, dtype=np.uint8)
-            head = offs[:-1] + np.arange(len(n))
-            s[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
-            hit = np.flatnonzero(repeated_starts(s, length)) if unit == 1 else repeated_codes(s, length)
-            own = np.searchsorted(head, hit, side="right") - 1
-            new = np.ones(len(hit), dtype=bool)
-            new[1:] = (np.diff(hit) != unit) | (np.diff(own) != 0)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(hit))[: len(first)] - 1
-            o = own[first]
-            start = hit[first] - head[o] + t.column("lo").to_numpy()[o]
-            return pa.record_batch([pa.array(t.column("k1").to_numpy()[o]), pa.array(t.column("k2").to_numpy()[o]), pa.array(start), pa.array(start + (hit[last] - hit[first]) + length)], ["k1", "k2", "start", "end"])
+            owned, k1, k2 = (t.column(c).to_numpy() for c in ("owned", "k1", "k2"))
+            for o, start, end, kind in search(data, offs, t.column("lo").to_numpy().astype(np.int64), owned & 0xFFFFFFFF, owned >> 32, t.column("tail").to_numpy()):
+                yield pa.record_batch([pa.array(k1[o]), pa.array(k2[o]), pa.array(start), pa.array(end), pa.array(np.full(len(o), kind, np.int32))], ["k1", "k2", "start", "end", "kind"])
 
         for batch in it:
             if not batch.num_rows:
@@ -292,7 +434,7 @@ def _shards(docs: DataFrame, wanted: DataFrame, length: int, unit: int = 1) -> D
                 now = tuple(keys[:, a])
                 # two pairs of one anchor share ranges, which must not meet themselves
                 if held and now != key and (size > SHARD_BYTES or now[0] == key[0]):
-                    yield finish()
+                    yield from finish()
                     held, size = [], 0
                 key = now
                 part = batch.slice(a, b - a)
@@ -300,31 +442,55 @@ def _shards(docs: DataFrame, wanted: DataFrame, length: int, unit: int = 1) -> D
                 size += len(tv.byte_arrays(part.column("bytes"))[0])
                 a = b
         if held:
-            yield finish()
+            yield from finish()
+
+    ordered = ranges.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    return ordered.mapInArrow(released(each), "k1 long, k2 long, start long, end long, kind int")
+
 
-    ordered = ranges.select("k1", "k2", "anchor", "i", "j", "lo", "bytes").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    return ordered.mapInArrow(released(each), "k1 long, k2 long, start long, end long")
+def _window_search(length: int, unit: int):
+    def search(data, offs, lo, x, z, tail):
+        n = np.diff(offs)
+        s = np.full(len(data) + len(n), GAP, dtype=np.uint8)
+        head = offs[:-1] + np.arange(len(n))
+        s[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
+        hit = np.flatnonzero(repeated_starts(s, length)) if unit == 1 else repeated_codes(s, length)
+        own = np.searchsorted(head, hit, side="right") - 1
+        new = np.ones(len(hit), dtype=bool)
+        new[1:] = (np.diff(hit) != unit) | (np.diff(own) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        o = own[first]
+        start = hit[first] - head[o] + lo[o]
+        return [(o, start, start + (hit[last] - hit[first]) + length, 1)]
+
+    return search
 
 
 def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, unit: int = 1) -> DataFrame:
-    """(k1, k2, spans array<struct<start, end>>): the repeats of each text, not yet merged."""
-    ranges = cut(window_ranges(docs, length, anchor, unit))
-    many = ranges.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("z")).where("n > 1")
-    ranges = ranges.join(many.select("anchor", (F.col("a") != F.col("z")).alias("mixed")), "anchor")
-    ranges = cut(ranges.withColumn("hi", F.shiftright("span", 32)).withColumn("lo", F.col("span").bitwiseAND(0xFFFFFFFF)).drop("span"))
-    classes = cut(ranges.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")))
-    shape = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1")
-    shape = shape.select("anchor", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("g"))
-    open_ = classes.join(shape, "anchor").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("g")).cast("int"))
+    """(k1, k2, spans array<struct<start, end, kind>>): the repeats of each text, not yet merged."""
+    return _repeats(docs, lambda only: window_ranges(docs, length, anchor, unit, only), _window_search(length, unit))
+
+
+def _repeats(docs: DataFrame, found: Callable[[Broadcast | None], DataFrame], search) -> DataFrame:
+    """As `spans`, of ranges (whose anchors a filter may hold) and a search: ranges whose bytes are equal as
+    a whole (kind 0) and what the search finds among the others that name the same anchor."""
+    several = key_filter(cut(found(None).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")))
+    ranges = cut(found(several))
+    classes = cut(ranges.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "span", "owned")).alias("one")))
+    shape = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1 and m > 1")
+    shape = cut(shape.select("anchor", "m", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("g")))
+    open_ = join_heavy(classes, shape, ["anchor"], "m").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("g")).cast("int"))
     open_ = open_.select("anchor", "own", "one.*", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))).alias("p"))
-    part = _shards(docs, open_.select("anchor", "p.i", "p.j", "own", "k1", "k2", "lo", "hi"), length, unit)
-    whole = ranges.where("mixed").join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").unionByName(ranges.where("not mixed"))
-    whole = whole.select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    return part.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    part = _shards(docs, open_.select("anchor", "p.i", "p.j", "own", "k1", "k2", "span", "owned"), search)
+    whole = join_heavy(ranges.select("anchor", "whole", "k1", "k2", "span"), classes.where("n > 1").select("anchor", "whole", "n"), ["anchor", "whole"], "n")
+    whole = whole.select("k1", "k2", F.col("span").bitwiseAND(0xFFFFFFFF).alias("start"), F.shiftright("span", 32).alias("end"), F.lit(0).alias("kind"))
+    return part.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of overlapping or touching [start, end) rows, in order."""
+    spans = spans[:, :2]
     if not len(spans):
         return spans
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -371,6 +537,63 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, kee
     return arrow_stage(rows, each, ", ".join([schema, *(f"`{c}` {types[c]}" for c in keep)]))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """([start, end, kind] rows, first row of each list) of a column of spans."""
+    flat = column.flatten()
+    rows = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end", "kind")], axis=1) if len(flat) else np.zeros((0, 3), np.int64)
+    return rows, np.append(0, np.cumsum([x or 0 for x in column.value_lengths().to_pylist()])).astype(np.int64)
+
+
+def deduplicate_both(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, n_words, n_words_removed) of every document.
+
+    The first five are those of `deduplicate` with the rules' length. A run of `rules.words` words (see `word_places`;
+    here with the white space between them) that stands anywhere else too is a repeat as well: `text`
+    is what stays without both, a run going with the white space behind it; characters cut in two become U+FFFD.
+    Rows equal in id and text are repeats of each other. Null and empty texts lose nothing. An empty table
+    gives an empty result; further columns are ignored."""
+    found = _repeats(docs, lambda only: hosted_ranges(docs, rules, only), lambda *shard: hosted_repeats(*shard, rules))
+    key = F.xxhash64("k1", "k2")
+    found = cut(found)
+    some = key_filter(found.select(key.alias("key")))
+    keyed = _keyed(docs).withColumn("some", within(some, key))
+    # texts without repeats stay where they are
+    rows = keyed.where("some").join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    rows = rows.unionByName(keyed.where("not some").select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans")))
+
+    def each(batch):
+        both, at = _lists(batch.column(2))
+        out: list[tuple] = []
+        for a, b, data, offs in tv.batches(batch.column(1)):
+            ws, we, first = word_places(data, offs)
+            for i in range(b - a):
+                text, mine = data[offs[i] : offs[i + 1]], both[at[a + i] : at[a + i + 1]]
+                words = int(first[i + 1] - first[i])
+                if not len(mine):
+                    out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text.tobytes().decode("utf-8", "replace"), words, 0))
+                    continue
+                size, kind = mine[:, 1] - mine[:, 0], mine[:, 2]
+                gone = _merged(mine[(kind == 1) | ((kind == 0) & (size >= rules.length))])
+                stays = np.ones(len(text), dtype=bool)
+                for x, y in gone.tolist():
+                    stays[x:y] = False
+                kept = text[stays].tobytes()
+                begin, end = ws[first[i] : first[i + 1]] - offs[i], we[first[i] : first[i + 1]] - offs[i]
+                inside = mine[kind != 1]
+                lo = np.searchsorted(begin, inside[:, 0] + ((inside[:, 2] == 0) & (inside[:, 0] > 0)))
+                hi = np.searchsorted(end, inside[:, 1] - ((inside[:, 2] == 0) & (inside[:, 1] < len(text))), side="right")
+                runs = _merged(np.stack([lo, hi], axis=1)[hi - lo >= rules.words])
+                edges = np.append(begin, len(text))
+                for x, y in runs.tolist():
+                    stays[edges[x] : edges[y]] = False
+                removed = int((runs[:, 1] - runs[:, 0]).sum()) if len(runs) else 0
+                out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), text[stays].tobytes().decode("utf-8", "replace"), words, removed))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_words", "n_words_removed"])
+
+    return arrow_stage(rows, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_words long, n_words_removed long")
+
+
 # -- runs of words ------------------------------------------------------------------
 
 

@@ -112,3 +112,58 @@ def test_letters_of_scripts_without_spaces_are_words():
     data = np.frombuffer("ab 日本c\nไท é".encode(), np.uint8)
     starts, ends, _ = suffix.word_places(data, np.array([0, len(data)]))
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == ["ab", "日", "本", "c", "ไ", "ท", "é"]
+
+
+def brute_both(rows, rules):
+    """What deduplicate_both gives: strings of bytes, and runs of words with the white space between them."""
+    raw = [(t or "").encode() for _, t in rows]
+    split = []
+    for b in raw:
+        data = np.frombuffer(b, np.uint8)
+        starts, ends, _ = suffix.word_places(data, np.array([0, len(b)]))
+        split.append(list(zip(starts.tolist(), ends.tolist())))
+    n = rules.words
+    runs = [[b[w[k][0] : w[k + n - 1][1]] for k in range(len(w) - n + 1)] for b, w in zip(raw, split)]
+    count = Counter(x for r in runs for x in r)
+    texts = []
+    for (d, _), b, w, r in zip(rows, raw, split, runs):
+        gone = [any(count[r[x]] > 1 for x in range(max(0, k - n + 1), min(k, len(r) - 1) + 1)) for k in range(len(w))]
+        edges = [a for a, _ in w] + [len(b)]
+        texts.append((d, {p for k, g in enumerate(gone) if g for p in range(edges[k], edges[k + 1])}, len(w), sum(gone)))
+    strings = Counter(b[i : i + rules.length] for b in raw for i in range(len(b) - rules.length + 1))
+    out = []
+    for (d, words, n_words, n_gone), b in zip(texts, raw):
+        under = set()
+        for i in range(len(b) - rules.length + 1):
+            if strings[b[i : i + rules.length]] > 1:
+                under.update(range(i, i + rules.length))
+        out.append((d, n_words, n_gone, bytes(x for i, x in enumerate(b) if i not in under and i not in words).decode("utf-8", "replace")))
+    return sorted(out, key=str)
+
+
+def got_both(df):
+    rows = df.collect()
+    first = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows), key=str)
+    return first, sorted(((r.doc_id, r.n_words, r.n_words_removed, r.text) for r in rows), key=str)
+
+
+def test_both_rules_on_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got_both(suffix.deduplicate_both(docs)) == (brute(rows, 400), brute_both(rows, suffix.Rules()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_both_rules_on_edited_copies(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = [f"{'äb日'[x % 3]}{x * 'c'}" for x in rng.integers(0, 6, 200)]
+    solid = "".join(chr(97 + x) for x in rng.integers(0, 4, 400))
+    joints = [" ", " ", " ", "\n", " " * 30]
+    text = "".join(w + joints[rng.integers(0, 5)] for w in base)
+    rows = [(i, text[: rng.integers(0, 900)] + f"X{i % 9}" + text[rng.integers(0, 900) :]) for i in range(30)]
+    rows += [(40 + i, solid[: rng.integers(0, 400)] + chr(65 + i) + " " * int(rng.integers(0, 40)) + solid[rng.integers(0, 400) :]) for i in range(12)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, "a " * 60), (None, text), (None, text), (7, " " + text[5:]), (8, "é" * 90), (9, " " * 200)]
+    rules = suffix.Rules(length=60, anchor=24, words=12, anchor_words=5)
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, k1 int").repartition(3)
+    assert got_both(suffix.deduplicate_both(docs, rules)) == (brute(rows, 60), brute_both(rows, rules))
+    assert suffix.deduplicate_both(docs.limit(0)).count() == 0
