@@ -65,4 +65,4 @@ FROM (SELECT *, CASE WHEN {target} = 1 THEN 1e0 ELSE 0e0 END AS y1, rank() OVER
 
 
 def uniform_sql(seed: str, *keys: str) -> str:
-    return f"(CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8)) AS BIGINT) / 4294967296e0)"
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 13)) AS BIGINT) / 4503599627370496e0)"

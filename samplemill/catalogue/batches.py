@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.running import numbered
 from ..operators import batches as ob
 from ..operators import splits as sp
 from ..plans.dataset import chunk_ranges, subset
@@ -11,7 +12,7 @@ from .base import query, uniform_sql
 
 ARRAY_SPLIT = "CASE WHEN rn < (n % 5) * (n // 5 + 1) THEN rn // (n // 5 + 1) ELSE n % 5 + (rn - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END"
 FOLDS = f"""WITH k AS (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kind, {uniform_sql('1357', 'o_custkey')} AS u FROM orders GROUP BY o_custkey),
-r AS (SELECT *, dense_rank() OVER (PARTITION BY kind ORDER BY u) - 1 AS rn, count(*) OVER (PARTITION BY kind) AS n FROM k), f AS (SELECT o_custkey, CAST({ARRAY_SPLIT} AS BIGINT) AS fold FROM r)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY u, o_custkey) - 1 AS rn, count(*) OVER (PARTITION BY kind) AS n FROM k), f AS (SELECT o_custkey, CAST({ARRAY_SPLIT} AS BIGINT) AS fold FROM r)"""
 
 
 @query(f"{FOLDS} SELECT o_orderkey, o_custkey, fold FROM orders JOIN f USING (o_custkey)")
@@ -24,22 +25,33 @@ def fold_stats(read):
     return sp.fold_counts(sp.balanced_folds(read("orders"), "o_custkey", ["o_orderstatus"], 5), "o_orderstatus")
 
 
-@query(f"WITH r AS (SELECT c_custkey, dense_rank() OVER (ORDER BY {uniform_sql('1234', 'c_custkey')}) - 1 AS rn, count(*) OVER () AS n FROM customer) SELECT c_custkey, CAST({ARRAY_SPLIT} AS BIGINT) AS fold FROM r")
+@query(f"WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY {uniform_sql('1234', 'c_custkey')}, c_custkey) - 1 AS rn, count(*) OVER () AS n FROM customer) SELECT c_custkey, CAST({ARRAY_SPLIT} AS BIGINT) AS fold FROM r")
 def kfold(read):
     return sp.kfold(read("customer").select("c_custkey"), "c_custkey", 5).select("c_custkey", "fold")
 
 
-@query("""WITH z AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 3 GROUP BY label), b AS (SELECT max(CAST(ceil(n / 4e0) AS BIGINT)) AS b FROM z)
-SELECT CAST(k AS BIGINT) AS batch, CAST(label AS BIGINT) AS label, 4 AS n FROM (SELECT unnest(range(b)) AS k FROM b), (SELECT label FROM z)""")
+SHARES = "CASE label % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END"
+
+
+@query(f"""WITH z AS (SELECT label, count(*) AS n, {SHARES} AS s FROM embeddings GROUP BY label), b AS (SELECT max(CAST(ceil(n / CAST(s AS DOUBLE)) AS BIGINT)) AS b FROM z),
+e AS (SELECT label, n, s, b.b AS b, unnest(range(CAST(ceil(b.b * s / CAST(n AS DOUBLE)) AS BIGINT))) AS epoch FROM z, b),
+o AS (SELECT vec_id, e.*, epoch * n + row_number() OVER (PARTITION BY e.label, epoch ORDER BY {uniform_sql('5', 'epoch', 'vec_id')}, vec_id) - 1 AS pos FROM embeddings v JOIN e ON e.label = v.label)
+SELECT pos // s AS batch, pos % s AS slot, vec_id, CAST(label AS BIGINT) AS label FROM o WHERE pos // s < b""")
 def batch_exact(read):
     rows = read("embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
-    return sp.balanced_batches(rows, "vec_id", "label", {0: 4, 1: 4, 2: 4}, seed=5).groupBy("batch", "label").agg(F.count("*").alias("n"))
+    return sp.balanced_batches(rows, "vec_id", "label", {k: 4 - k % 3 for k in range(10)}, seed=5)
+
+
+CLASS = " ".join(f"WHEN u < {sum(1 + j % 2 for j in range(k + 1))}e0 / 15e0 THEN {k}" for k in range(9))
 
 
-@query("SELECT CAST(k AS BIGINT) AS batch, 8 AS n FROM (SELECT unnest(range(40)) AS k)")
+@query(f"""WITH i AS (SELECT unnest(range(4000)) AS id), c AS (SELECT id, CASE {CLASS} ELSE 9 END AS label FROM (SELECT id, {uniform_sql('0/class', 'id')} AS u FROM i)),
+t AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS turn FROM c),
+o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {uniform_sql('0', 'vec_id')}, vec_id) - 1 AS turn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT id // 40 AS batch, id % 40 AS slot, vec_id, CAST(t.label AS BIGINT) AS label FROM t JOIN o ON o.label = t.label AND o.turn = t.turn % o.n""")
 def batch_approx(read):
     rows = read("embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
-    return sp.drawn_batches(rows, "vec_id", "label", {0: 1.0, 1: 2.0, 2: 1.0}, 8, 40).groupBy("batch").agg(F.count("*").alias("n"))
+    return sp.drawn_batches(rows, "vec_id", "label", {k: 1.0 + k % 2 for k in range(10)}, 40, 100)
 
 
 @query("SELECT l_orderkey AS b, list(l_partkey ORDER BY l_linenumber, l_partkey) AS l_partkey, list(CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY 1")
@@ -78,6 +90,9 @@ def subset_positions(read):
     return subset(n, places).select("i", "n_name")
 
 
-@query("SELECT CAST(k * 40 AS BIGINT) AS start, CAST(least(k * 40 + 40, 150) AS BIGINT) AS end FROM (SELECT unnest(range(4)) AS k)")
+@query("SELECT CAST(k * 40 AS BIGINT) AS start, CAST(least(k * 40 + 40, n) AS BIGINT) AS end, rows FROM (SELECT unnest(range(CAST(ceil(n / 40e0) AS BIGINT))) AS k, n FROM (SELECT count(*) AS n FROM part)) JOIN (SELECT c, count(*) AS rows FROM (SELECT (row_number() OVER (ORDER BY p_partkey) - 1) // 40 AS c FROM part) GROUP BY c) ON c = k")
 def chunks(read):
-    return chunk_ranges(read("region").sparkSession, 150, 40)
+    parts = read("part")
+    ranges = chunk_ranges(parts.sparkSession, parts.count(), 40)
+    rows = numbered(parts, "p_partkey").groupBy((F.floor(F.col("place") / 40) * 40).cast("long").alias("start")).agg(F.count("*").alias("rows"))
+    return ranges.join(rows, "start")

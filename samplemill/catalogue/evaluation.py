@@ -199,19 +199,19 @@ def mcnemar_counts(read):
 
 
 U = uniform_sql("7", "replicate", "quality", "place")
-BOOT = f"""{C}, o AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY quality) AS n FROM c),
-d AS (SELECT quality, replicate, CAST(floor({U} * n) AS BIGINT) AS place FROM o, (SELECT unnest(range(20)) AS replicate)),
+BOOT = f"""{C}, o AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY pred, pred2, doc_id) - 1 AS place, count(*) OVER (PARTITION BY quality) AS n FROM c),
+d AS (SELECT quality, replicate, CAST(floor({U} * n) AS BIGINT) AS place FROM o, (SELECT unnest(range(10000)) AS replicate)),
 b AS (SELECT replicate, avg(CASE WHEN o.pred = o.quality THEN 1e0 ELSE 0e0 END) AS v, avg(CASE WHEN o.pred2 = o.quality THEN 1e0 ELSE 0e0 END) AS v2 FROM d JOIN o ON o.quality = d.quality AND o.place = d.place GROUP BY replicate)"""
 
 
-@query(f"{BOOT}, l AS (SELECT list_sort(list(v)) AS vs FROM b) SELECT 'accuracy' AS name, round((SELECT avg(CASE WHEN pred = quality THEN 1e0 ELSE 0e0 END) FROM c), 6) AS org, round((SELECT avg(v) FROM b), 6) AS mean, round((SELECT stddev_pop(v) FROM b), 6) AS std, round(vs[1], 6) AS conf_lower, round(vs[20], 6) AS conf_upper FROM l")
+@query(f"{BOOT}, l AS (SELECT list_sort(list(v)) AS vs FROM b) SELECT 'accuracy' AS name, round((SELECT avg(CASE WHEN pred = quality THEN 1e0 ELSE 0e0 END) FROM c), 6) AS org, round((SELECT avg(v) FROM b), 6) AS mean, round((SELECT stddev_pop(v) FROM b), 6) AS std, round(vs[251], 6) AS conf_lower, round(vs[9751], 6) AS conf_upper FROM l")
 def bootstrap_ci_accuracy(read):
-    return rounded(interval(mc.accuracy("pred", "quality"), "doc_id", ["quality"], replicates=20, seed=7)(classes(read), []))
+    return rounded(interval(lambda w: mc.accuracy("pred", "quality", w), "doc_id", ["quality"], seed=7, cells=["pred", "pred2"])(classes(read), []))
 
 
 @query(f"{BOOT} SELECT 'accuracy' AS name, count(*) AS replicates, round(1 - count_if(v - v2 > 0) / CAST(count(*) AS DOUBLE), 6) AS p_superiority, round(1 - count_if(v - v2 > 0) / CAST(count(*) AS DOUBLE), 6) AS p_noninferiority, 1e0 AS p_equality FROM b")
 def paired_bootstrap(read):
-    return rounded(paired(mc.accuracy("pred", "quality"), mc.accuracy("pred2", "quality"), "doc_id", ["quality"], replicates=20, seed=7)(classes(read), []))
+    return rounded(paired(lambda w: mc.accuracy("pred", "quality", w), lambda w: mc.accuracy("pred2", "quality", w), "doc_id", ["quality"], seed=7, cells=["pred", "pred2"])(classes(read), []))
 
 
 @query(f"{C} SELECT metric, name, round(value, 6) AS value FROM (SELECT 'acc' AS metric, 'accuracy' AS name, avg(CASE WHEN pred = quality THEN 1e0 ELSE 0e0 END) AS value FROM c UNION ALL SELECT 'err', 'mae', avg(abs(p - quality)) FROM c UNION ALL SELECT 'err', 'mse', avg(pow(p - quality, 2)) FROM c UNION ALL SELECT 'err', 'rmse', sqrt(avg(pow(p - quality, 2))) FROM c)")

@@ -102,9 +102,9 @@ def put(df: DataFrame, path: str, value: Column) -> DataFrame:
 
 
 def uniform(seed: object, *keys: Column | str) -> Column:
-    """A double in [0, 1) that depends on the seed and the keys alone."""
+    """A double in [0, 1), of 52 bits, that depends on the seed and the keys alone."""
     parts = [F.lit(str(seed)), *((col(k) if isinstance(k, str) else k).cast("string") for k in keys)]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def one_hot(value: Column, classes: int) -> Column:
@@ -136,5 +136,11 @@ def total(vector: Column) -> Column:
 def softmax(vector: Column, temperature: float = 1.0) -> Column:
     if not temperature > 0:
         raise ValueError("temperature must be above 0")
-    e = F.transform(vector, lambda x: F.exp((x.cast("double") - F.array_max(vector).cast("double")) / F.lit(float(temperature))))
-    return F.transform(e, lambda x: x / total(e))
+    # the maximum and the total are bound once, not computed anew for each element
+    def shared(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def scaled(top: Column) -> Column:
+        return shared(F.transform(vector, lambda x: F.exp((x.cast("double") - top) / F.lit(float(temperature)))), lambda e: shared(total(e), lambda t: F.transform(e, lambda x: x / t)))
+
+    return shared(F.array_max(vector).cast("double"), scaled)

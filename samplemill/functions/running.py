@@ -56,8 +56,23 @@ def numbered(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     return running(rows, order, ["__one"], by).withColumnRenamed("__one_before", "place").drop("__one")
 
 
-def mid_ranks(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
-    """(*by, order, rank): mean ranks from 1, ties sharing theirs."""
-    rows = df.select(*map(col, [*by, order])).withColumn("__one", F.lit(1).cast("long"))
+def placed(df: DataFrame, order: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, order, tie, place): places of the rows from 0, by the order and, where it is equal, by `tie`; rows
+    equal in both share theirs."""
+    rows = df.select(*map(col, [*by, order, tie])).distinct().withColumn("__one", F.lit(1).cast("long"))
+    rows = cut(rows)
+    start = running(rows, order, ["__one"], by).select(*map(col, [*by, order]), F.col("__one_before").alias("__start"))
+    inside = Window.partitionBy(*map(col, [*by, order])).orderBy(col(tie))
+    rows = rows.withColumn("__in", F.row_number().over(inside) - 1)
+    cond = F.lit(True)
+    for i, b in enumerate([*by, order]):
+        cond &= col(b).eqNullSafe(F.col(f"__r_{i}"))
+    start = start.select(*(col(b).alias(f"__r_{i}") for i, b in enumerate([*by, order])), "__start")
+    return rows.join(start, cond).select(*map(col, [*by, order, tie]), (F.col("__start") + F.col("__in")).alias("place"))
+
+
+def mid_ranks(df: DataFrame, order: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(*by, order, rank): mean ranks from 1, ties sharing theirs; a row may stand for as many as its weight says."""
+    rows = df.select(*map(col, [*by, order]), (col(weight) if weight else F.lit(1)).cast("long").alias("__one"))
     made = running(rows, order, ["__one"], by)
     return made.select(*map(col, [*by, order]), (F.col("__one_before") + (F.col("__one") + 1) / F.lit(2.0)).alias("rank"))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in spark.checkpoint.dir; a local folder only where the session names none (tests)."""
+    """The same rows from a checkpoint in spark.checkpoint.dir. Where the session names none, a local master gets a local folder
+    (tests); on a cluster that is an error, as executors share no local folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="samplemill-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="samplemill-"))
     return df.checkpoint()

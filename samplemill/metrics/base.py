@@ -78,7 +78,8 @@ def one_vs_rest(metric: Callable[[str, str], Metric], scores: Mapping[str, Colum
 
 
 def resampled(df: DataFrame, replicates: int, key: str, strata: Sequence[str], by: Sequence[str], seed: object) -> DataFrame:
-    """`replicates` draws with replacement of as many rows, within each stratum of each group: column `replicate`.
+    """`replicates` draws with replacement of as many rows, within each stratum of each group: column `replicate`, and in
+    `__times` how often a row was drawn.
 
     Draw i of a stratum takes the row in place floor(n * u(seed, replicate, i)), places being by the key."""
     groups = list(dict.fromkeys([*by, *strata]))
@@ -91,11 +92,40 @@ def resampled(df: DataFrame, replicates: int, key: str, strata: Sequence[str], b
     draws = draws.select(*map(col, groups), "replicate", F.floor(u * F.col("__n")).cast("long").alias("__place"))
     # equal draws of one replicate become a weight before the join
     draws = draws.groupBy(*map(col, groups), "replicate", "__place").agg(F.count("*").alias("__times"))
-    return join_groups(draws, rows, [*groups, "__place"]).withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).drop("__times", "__place", "__t")
+    return join_groups(draws, rows, [*groups, "__place"]).drop("__place")
 
 
-def interval(metric: Metric, key: str, strata: Sequence[str] = (), replicates: int = 10_000, seed: object = 1234, percent: float = 95, method: str = "percentile") -> Metric:
-    """(*by, name, org, mean, std, conf_lower, conf_upper) by stratified bootstrap.
+def resampled_cells(df: DataFrame, replicates: int, cells: Sequence[str], strata: Sequence[str], by: Sequence[str], seed: object) -> DataFrame:
+    """As `resampled`, for metrics that read the columns `cells` only: rows equal in them count as one, with the
+    number of their draws in `__times`.
+
+    Cells of a stratum stand side by side in their order, so that a draw's cell follows from its place in a short
+    sorted list and no drawn row moves: each task sends one row for a replicate and cell."""
+    groups = list(dict.fromkeys([*by, *strata]))
+    own = list(dict.fromkeys([*groups, *cells]))
+    counts = df.groupBy(*map(col, own)).agg(F.count("*").alias("__n"))
+    kind = F.struct(*(col(c).alias(c) for c in own if c not in groups), F.col("__n").alias("__n"))
+    lists = cut(counts.groupBy(*map(col, groups)).agg(F.array_sort(F.collect_list(kind)).alias("__cells"), F.sum("__n").alias("__all")))
+    ends = F.aggregate(F.col("__cells"), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x["__n"])))
+    lists = lists.withColumn("__ends", F.when(F.size("__cells") > 0, ends))
+    # replicates are dealt to tasks; each holds the short lists of all strata
+    many = df.sparkSession.range(0, replicates, 1, max(1, min(replicates, df.sparkSession.sparkContext.defaultParallelism * 4))).withColumnRenamed("id", "replicate")
+    u = lambda i: F.floor(uniform(seed, F.col("replicate"), *map(col, strata), i) * F.col("__all")).cast("long")
+    at = lambda i: F.size(F.filter(F.col("__ends"), lambda e: e <= u(i)))
+    draws = many.join(F.broadcast(lists)).select(*map(col, groups), "replicate", "__cells", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__all") - 1)).alias("__i"), "__all", "__ends")
+    drawn = draws.select(*map(col, groups), "replicate", F.get("__cells", at(F.col("__i"))).alias("__c")).groupBy(*map(col, groups), "replicate", "__c").agg(F.count("*").alias("__times"))
+    return drawn.select(*map(col, groups), "replicate", *(F.col("__c").getField(c).alias(c) for c in own if c not in groups), "__times")
+
+
+def _drawn(df: DataFrame, replicates: int, key: str, cells: Sequence[str] | None, strata: Sequence[str], by: Sequence[str], seed: object) -> DataFrame:
+    if cells is not None:
+        return resampled_cells(df, replicates, cells, strata, by, seed)
+    return resampled(df, replicates, key, strata, by, seed)
+
+
+def interval(metric: Callable[[str | None], Metric], key: str, strata: Sequence[str] = (), replicates: int = 10_000, seed: object = 1234, percent: float = 95, method: str = "percentile", cells: Sequence[str] | None = None) -> Metric:
+    """(*by, name, org, mean, std, conf_lower, conf_upper) by stratified bootstrap; `metric` makes the metric for a
+    column of weights, or for none. With `cells`, the few columns that the metric reads, equal rows count as one.
 
     percentile: the values in places floor(r n) and floor((1 - r) n) of the sorted replicates; pivotal: 2 org
     minus these; normal: org +- z std."""
@@ -103,8 +133,8 @@ def interval(metric: Metric, key: str, strata: Sequence[str] = (), replicates: i
 
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         df = cut(df)
-        org = long(metric(df, by), by).withColumnRenamed("value", "org")
-        many = long(metric(resampled(df, replicates, key, strata, by, seed), [*by, "replicate"]), [*by, "replicate"])
+        org = long(metric(None)(df, by), by).withColumnRenamed("value", "org")
+        many = long(metric("__times")(_drawn(df, replicates, key, cells, strata, by, seed), [*by, "replicate"]), [*by, "replicate"])
         rows = many.groupBy(*map(col, by), "name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.array_sort(F.collect_list("value")).alias("v"))
         out = join_groups(org, rows, [*by, "name"])
         n = F.size("v")
@@ -116,14 +146,14 @@ def interval(metric: Metric, key: str, strata: Sequence[str] = (), replicates: i
     return run
 
 
-def paired(test: Metric, reference: Metric, key: str, strata: Sequence[str] = (), replicates: int = 10_000, seed: object = 1234, margin: float = 0.0, relative: bool = False) -> Metric:
+def paired(test: Callable[[str | None], Metric], reference: Callable[[str | None], Metric], key: str, strata: Sequence[str] = (), replicates: int = 10_000, seed: object = 1234, margin: float = 0.0, relative: bool = False, cells: Sequence[str] | None = None) -> Metric:
     """(*by, name, replicates, p_superiority, p_noninferiority, p_equality): both metrics on the same draws; p = 1 -
     the share of replicates in which the difference is over the margin, over its negative, or within it."""
 
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         df = cut(df)
-        rows, keys = resampled(df, replicates, key, strata, by, seed), [*by, "replicate"]
-        a, b = long(test(rows, keys), keys), long(reference(rows, keys), keys).withColumnRenamed("value", "other")
+        rows, keys = cut(_drawn(df, replicates, key, cells, strata, by, seed)), [*by, "replicate"]
+        a, b = long(test("__times")(rows, keys), keys), long(reference("__times")(rows, keys), keys).withColumnRenamed("value", "other")
         both = join_groups(a, b, [*keys, "name"])
         d, m = F.col("value") - F.col("other"), F.lit(float(margin)) * (F.abs("other") if relative else F.lit(1.0))
         n = F.count("*")

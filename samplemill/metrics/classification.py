@@ -266,17 +266,27 @@ def delong(pred1: str, pred2: str, target: str) -> Metric:
 
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows = df.select(*map(col, by), (col(target) == 1).cast("int").alias("t"), *(col(p).cast("double").alias(f"s{i}") for i, p in enumerate((pred1, pred2), 1)))
-        size = grouped(rows, by).agg(F.sum("t").cast("double").alias("m"), (F.count("*") - F.sum("t")).cast("double").alias("n"))
-        rows = cut(join_groups(rows, size, by))
+        # equal rows count as one, with their number as weight
+        rows = cut(rows.groupBy(*map(col, by), "t", "s1", "s2").agg(F.count("*").alias("w")))
+        size = grouped(rows, by).agg(F.sum(F.col("t") * F.col("w")).cast("double").alias("m"), F.sum((1 - F.col("t")) * F.col("w")).cast("double").alias("n"))
+        rows = join_groups(rows, size, by)
         for i in (1, 2):
-            every = mid_ranks(rows, f"s{i}", by).withColumnRenamed("rank", "r_all")
-            own = mid_ranks(rows, f"s{i}", [*by, "t"]).withColumnRenamed("rank", "r_own")
+            every = mid_ranks(rows, f"s{i}", by, "w").withColumnRenamed("rank", "r_all")
+            own = mid_ranks(rows, f"s{i}", [*by, "t"], "w").withColumnRenamed("rank", "r_own")
             rows = join_groups(join_groups(rows, every, [*by, f"s{i}"]), own, [*by, "t", f"s{i}"])
             v = F.col("r_all") - F.col("r_own")
             rows = rows.withColumn(f"v{i}", F.when(F.col("t") == 1, ratio(v, F.col("n"))).otherwise(1 - ratio(v, F.col("m")))).drop("r_all", "r_own")
-        pos, neg = (lambda c: F.when(F.col("t") == 1, F.col(c))), (lambda c: F.when(F.col("t") == 0, F.col(c)))
-        cov = {f"cov{i}{j}": F.covar_samp(pos(f"v{i}"), pos(f"v{j}")) / F.first("m") + F.covar_samp(neg(f"v{i}"), neg(f"v{j}")) / F.first("n") for i, j in ((1, 1), (1, 2), (2, 2))}
-        out = grouped(rows, by).agg(F.avg(pos("v1")).alias("auc1"), F.avg(pos("v2")).alias("auc2"), *(c.alias(k) for k, c in cov.items()))
+        rows = cut(rows)
+        # the means first, so that the moments are taken around them
+        means = rows.groupBy(*map(col, by), "t").agg(*((F.sum(F.col("w") * F.col(f"v{i}")) / F.sum("w")).alias(f"mean{i}") for i in (1, 2)))
+        d = join_groups(rows, means, [*by, "t"]).withColumns({f"d{i}": F.col(f"v{i}") - F.col(f"mean{i}") for i in (1, 2)})
+
+        def side(t: int, i: int, j: int) -> Column:
+            n = F.first("m" if t else "n")
+            return ratio(F.sum(F.when(F.col("t") == t, F.col("w") * F.col(f"d{i}") * F.col(f"d{j}"))), n - 1) / n
+
+        cov = {f"cov{i}{j}": side(1, i, j) + side(0, i, j) for i, j in ((1, 1), (1, 2), (2, 2))}
+        out = grouped(d, by).agg(*(F.max(F.when(F.col("t") == 1, F.col(f"mean{i}"))).alias(f"auc{i}") for i in (1, 2)), *(c.alias(k) for k, c in cov.items()))
         z = F.abs(F.col("auc1") - F.col("auc2")) / F.sqrt(F.col("cov11") + F.col("cov22") - 2 * F.col("cov12") + F.lit(1e-30))
         return out.withColumn("z", z)
 

@@ -43,10 +43,16 @@ def pearson(pred: str, target: str, mask: str | None = None) -> Metric:
 
 def spearman(pred: str, target: str, mask: str | None = None) -> Metric:
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-        rows = cut(pairs(df, pred, target, by, mask).dropna(subset=["pred", "target"]))
+        # equal pairs count as one row; ranks are taken from their known mean, (n + 1) / 2
+        rows = pairs(df, pred, target, by, mask).dropna(subset=["pred", "target"])
+        rows = cut(rows.groupBy(*map(col, by), "pred", "target").agg(F.count("*").alias("n")))
+        size = grouped(rows, by).agg(F.sum("n").alias("all"))
         for c in ("pred", "target"):
-            rows = join_groups(rows, mid_ranks(rows, c, by).withColumnRenamed("rank", f"r_{c}"), [*by, c])
-        return grouped(rows, by).agg(F.corr("r_pred", "r_target").alias("rho"), F.count("*").alias("n"))
+            rows = join_groups(rows, mid_ranks(rows, c, by, "n").withColumnRenamed("rank", f"r_{c}"), [*by, c])
+        mean = (F.col("all") + 1) / F.lit(2.0)
+        a, b, n = F.col("r_pred") - mean, F.col("r_target") - mean, F.col("n")
+        sums = grouped(join_groups(rows, size, by), by).agg(F.sum(n * a * b).alias("ab"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"), F.sum("n").alias("n"))
+        return sums.select(*map(col, by), ratio(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"), "n")
 
     return run
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, digitize
-from ..functions.running import numbered
+from ..functions.running import numbered, running
+from ..functions.storage import cut
 from ..metrics.base import join_groups
+from ..sources.tables import indexed
 
 
 def clean(df: DataFrame, parameter: str, value: str, least: dict[str, float]) -> DataFrame:
@@ -38,10 +40,24 @@ def bin_edges(df: DataFrame, parameter: str, value: str, bins: int, categorical:
     step = 100 / bins
     shares = [min(i * step, 100.0) / 100 for i in range(bins + 1)]
     x = F.when(~F.isnan(col(value).cast("double")), col(value).cast("double"))
-    rows = df.groupBy(col(parameter).alias("parameter")).agg(F.count_distinct(x).alias("n"), F.percentile(x, shares).alias("p"))
-    few = rows.where(F.col("n") < categorical).select("parameter")
-    own = df.join(few, col(parameter) == F.col("parameter")).groupBy("parameter").agg(F.array_sort(F.collect_set(x + 1)).alias("own"))
-    return rows.join(own, "parameter", "left").select("parameter", F.coalesce("own", "p").alias("edges"))
+    rows = df.select(col(parameter).alias("parameter"), x.alias("x"), F.lit(1).cast("long").alias("one"))
+    # values with their places, so that no task holds a parameter's values
+    at = cut(running(rows, "x", ["one"], ["parameter"]))
+    size = at.groupBy("parameter").agg(F.count("*").alias("distinct"), F.sum("one").alias("all"))
+    found = join_groups(at, size, ["parameter"])
+
+    def nth(place: Column) -> Column:
+        return F.max(F.when((F.col("one_before") <= place) & (place < F.col("one_before") + F.col("one")), F.col("x")))
+
+    ends = [((F.col("all") - 1) * F.lit(s)) for s in shares]
+    picked = found.groupBy("parameter").agg(
+        F.first("distinct").alias("distinct"), *(nth(F.floor(p)).alias(f"lo{i}") for i, p in enumerate(ends)), *(nth(F.ceil(p)).alias(f"hi{i}") for i, p in enumerate(ends)), *(F.first(p - F.floor(p)).alias(f"f{i}") for i, p in enumerate(ends)),
+        F.array_sort(F.collect_list(F.when(F.col("distinct") < categorical, F.col("x") + 1))).alias("own"),
+    )
+    edges = F.array(*(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(len(ends))))
+    out = picked.select("parameter", F.when(F.col("distinct") < categorical, F.col("own")).otherwise(edges).alias("edges"))
+    # a parameter without any value keeps its row
+    return join_groups(df.select(col(parameter).alias("parameter")).distinct(), out, ["parameter"], "left")
 
 
 def binned(df: DataFrame, edges: DataFrame, parameter: str, value: str, to: str) -> DataFrame:
@@ -59,12 +75,10 @@ def sentences(df: DataFrame, key: str, time: str, token: str, order: str, end: s
 def vocabulary(df: DataFrame, token: str, special: Sequence[str] = (), least: int = 1) -> DataFrame:
     """(token, id): the special ones first, then by falling count and rising token.
 
-    Counts get places by running sums; tokens are ordered within their count."""
+    Rows are sorted as a whole by Spark and numbered by their partitions' sizes, so that no task holds all words of a count."""
     counts = df.where(col(token).isNotNull() & ~col(token).isin(list(special))).groupBy(col(token).alias("token")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    own = counts.withColumn("at", F.row_number().over(Window.partitionBy("n").orderBy("token")) - 1)
-    sizes = counts.groupBy("n").agg(F.count("*").alias("size"))
-    start = sizes.select("n", F.coalesce(F.sum("size").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    rest = own.join(start, "n").select("token", (F.col("start") + F.col("at") + len(special)).cast("long").alias("id"))
+    ordered = cut(cut(counts).orderBy(F.desc("n"), "token"))
+    rest = indexed(ordered, "__at").select("token", (F.col("__at") + len(special)).cast("long").alias("id"))
     if not special:
         return rest
     return df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(special)], "token string, id long").unionByName(rest)
@@ -84,7 +98,9 @@ def fit(vector: Column, length: int, fill) -> Column:
 
 def positions(vector: Column, separator) -> Column:
     """For each element, how many separators stand before it."""
-    return F.transform(vector, lambda _, i: F.size(F.filter(F.slice(vector, F.lit(1), i), lambda y: y == F.lit(separator))).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda a, x: F.struct((a["n"] + F.coalesce(x == F.lit(separator), F.lit(False)).cast("long")).alias("n"), F.concat(a["out"], F.array(a["n"])).alias("out"))
+    return F.aggregate(vector, start, step, lambda a: a["out"])
 
 
 def trajectory(visits: DataFrame, key: str, time: str, tokens: str, length: int, first: Sequence[str] = ("CLS",)) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, uniform
-from ..functions.running import numbered
+from ..functions.running import numbered, placed
+from ..functions.storage import cut
 from ..metrics.base import join_groups
 
 
@@ -29,8 +30,8 @@ def balanced_folds(df: DataFrame, key: str, balance: Sequence[str], folds: int,
     kind = F.concat_ws("|", *(F.array_join(F.array_sort(F.collect_set(F.coalesce(col(b).cast("string"), F.lit("null")))), ",") for b in balance))
     ids = df.groupBy(col(key).alias(key)).agg(kind.alias("__kind")).withColumn("__u", uniform(seed, key))
     # ties of the hash are broken by the key
-    order = numbered(ids, "__u", ["__kind"])
-    ids = join_groups(ids, order, ["__kind", "__u"]).join(ids.groupBy("__kind").agg(F.count("*").alias("__n")), "__kind")
+    order = placed(ids, "__u", key, ["__kind"])
+    ids = order.join(ids.groupBy("__kind").agg(F.count("*").alias("__n")), "__kind")
     return df.join(ids.select(col(key), part_of(F.col("place"), F.col("__n"), folds).alias("fold")), key)
 
 
@@ -40,9 +41,9 @@ def fold_counts(df: DataFrame, *keys: str) -> DataFrame:
 
 def kfold(df: DataFrame, key: str, folds: int, seed: object = 1234, shuffle: bool = True) -> DataFrame:
     """Contiguous parts of the hashed (or natural) order of the ids."""
-    rows = df.withColumn("__o", uniform(seed, key) if shuffle else col(key).cast("double"))
-    n = rows.select("__o").distinct().count()
-    return rows.join(numbered(rows, "__o"), "__o").withColumn("fold", part_of(F.col("place"), F.lit(n), folds)).drop("__o", "place")
+    ids = cut(df.select(col(key).alias(key)).distinct().withColumn("__o", uniform(seed, key) if shuffle else col(key).cast("double")))
+    order = placed(ids, "__o", key).select(col(key), part_of(F.col("place"), F.lit(ids.count()), folds).alias("fold"))
+    return df.join(order, key)
 
 
 def balanced_batches(df: DataFrame, key: str, label: str, per_class: Mapping[object, int], seed: object = 0, mode: str = "over") -> DataFrame:
@@ -60,9 +61,9 @@ def balanced_batches(df: DataFrame, key: str, label: str, per_class: Mapping[obj
     pick = lambda table: F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), col(label))
     rows = df.where(col(label).isin(list(sizes))).select(col(key), col(label)).withColumn("__epoch", F.explode(F.sequence(F.lit(0), (pick(epochs) - 1).cast("int"))))
     rows = rows.withColumn("__u", uniform(seed, F.col("__epoch"), col(key)))
-    placed = join_groups(rows, numbered(rows, "__u", [label, "__epoch"]), [label, "__epoch", "__u"])
+    rows = placed(rows, "__u", key, [label, "__epoch"])
     at = F.col("__epoch") * pick(sizes) + F.col("place")
-    out = placed.select(F.floor(at / pick(share)).cast("long").alias("batch"), (at % pick(share)).cast("long").alias("slot"), col(key), col(label))
+    out = rows.select(F.floor(at / pick(share)).cast("long").alias("batch"), (at % pick(share)).cast("long").alias("slot"), col(key), col(label))
     return out.where(F.col("batch") < batches)
 
 
@@ -81,6 +82,6 @@ def drawn_batches(df: DataFrame, key: str, label: str, weights: Mapping[object,
     turn = join_groups(named, numbered(named, "id", [label]), [label, "id"]).withColumnRenamed("place", "turn")
     size = F.element_at(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv)), col(label))
     rows = df.where(col(label).isin(classes)).select(col(key), col(label)).withColumn("__u", uniform(seed, key))
-    placed = join_groups(rows, numbered(rows, "__u", [label]), [label, "__u"]).select(col(key), col(label), F.col("place").alias("turn"))
-    got = join_groups(turn.withColumn("turn", F.col("turn") % size), placed, [label, "turn"])
+    rows = placed(rows, "__u", key, [label]).select(col(key), col(label), F.col("place").alias("turn"))
+    got = join_groups(turn.withColumn("turn", F.col("turn") % size), rows, [label, "turn"])
     return got.select(F.floor(F.col("id") / batch).cast("long").alias("batch"), (F.col("id") % batch).alias("slot"), col(key), col(label))
