@@ -44,7 +44,7 @@ CODE, RUN_WORDS, ANCHOR_WORDS = 6, 51, 16
 BLOCK, SHARD_BYTES = 4096, 1 << 21
 #: A byte that no UTF-8 text holds stands between a shard's ranges.
 GAP = 0xFF
-RANGES = "anchor long, whole long, k1 long, k2 long, span long, owned long"
+RANGES = "anchor long, whole long, k1 long, k2 long, span long, owned long, at int"
 
 
 # -- suffix arrays ---------------------------------------------------------------
@@ -222,8 +222,8 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, unit: int = 1, only: Broadcast | None = None) -> DataFrame:
-    """(anchor, whole, k1, k2, span, owned): the ranges of window starts by anchor, span being the end of their
-    bytes times 2^32 plus the first; `owned` the last and the first start likewise; `whole` is the hash of their bytes.
+    """(anchor, whole, k1, k2, span, owned, at): the ranges of window starts by anchor, span being the end of their
+    bytes times 2^32 plus the first; `owned` the last and the first start likewise; `at` the anchor's place (here 0); `whole` is the hash of their bytes.
     Windows and anchors start at multiples of `unit` bytes, which all lengths are too."""
     w = (length - anchor) // unit + 1
 
@@ -257,7 +257,7 @@ def window_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, u
                 first, lo, hi = first[some], lo[some], hi[some]
             whole = tv.span_hash(sums, lo, hi + length)
             d = d[first]
-            yield pa.record_batch([pa.array(v[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + d]), pa.array(k2[a + d]), pa.array(lo - offs[d] + ((hi + length - offs[d]) << 32)), pa.array(lo - offs[d] + ((hi - offs[d]) << 32))], ["anchor", "whole", "k1", "k2", "span", "owned"])
+            yield pa.record_batch([pa.array(v[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + d]), pa.array(k2[a + d]), pa.array(lo - offs[d] + ((hi + length - offs[d]) << 32)), pa.array(lo - offs[d] + ((hi - offs[d]) << 32)), pa.array(np.zeros(len(d), np.int32))], ["anchor", "whole", "k1", "k2", "span", "owned", "at"])
 
     return arrow_stage(_keyed(docs), each, RANGES)
 
@@ -333,20 +333,21 @@ def hosted_ranges(docs: DataFrame, rules: Rules, only: Broadcast | None = None)
             fine = np.flatnonzero((end <= stop) & (to >= at))
             if not len(fine):
                 continue
-            # least hash between a host and its last anchor, by two overlapping powers of two
+            # place of the least hash between a host and its last anchor (the leftmost), by two overlapping powers of two
             size = to[fine] - fine + 1
             level = np.frexp(size.astype(np.float64))[1] - 1
-            least, row = np.empty(len(fine), np.uint64), h
+            least, row = np.empty(len(fine), np.int64), at
+            lower = lambda i, j: np.where(h[j] < h[i], j, i)
             for x in range(int(level.max()) + 1):
-                mine = level == x
-                least[mine] = np.minimum(row[fine[mine]], row[to[fine[mine]] - (1 << x) + 1])
-                row = np.minimum(row[: len(row) - (1 << x)], row[1 << x :]) if len(row) > 1 << x else row
+                mine = fine[level == x]
+                least[level == x] = lower(row[mine], row[to[mine] - (1 << x) + 1])
+                row = lower(row[: len(row) - (1 << x)], row[1 << x :]) if len(row) > 1 << x else row
             new = np.ones(len(fine), dtype=bool)
-            new[1:] = (least[1:] != least[:-1]) | (d[fine[1:]] != d[fine[:-1]]) | (fine[1:] != fine[:-1] + 1) | (h[fine[:-1]] == least[1:])
+            new[1:] = (least[1:] != least[:-1]) | (d[fine[1:]] != d[fine[:-1]]) | (fine[1:] != fine[:-1] + 1)
             i = np.flatnonzero(new)
             x, z = fine[i], fine[np.append(i[1:], len(fine)) - 1]
             if only is not None:
-                some = only.value.has(least[i].view(np.int64))
+                some = only.value.has(h[least[i]].view(np.int64))
                 i, x, z = i[some], x[some], z[some]
             o = d[x]
             before = np.where((x > 0) & (d[np.maximum(x - 1, 0)] == o), s[np.maximum(x - 1, 0)] - r.lead + 1, 0)
@@ -359,35 +360,48 @@ def hosted_ranges(docs: DataFrame, rules: Rules, only: Broadcast | None = None)
             whole = tv.span_hash(sums, lo, hi)
             base = offs[o]
             yield pa.record_batch([
-                pa.array(least[i].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + o]), pa.array(k2[a + o]),
-                pa.array(lo - base + ((hi - base) << 32)), pa.array(s[x] - base + ((s[z] - base) << 32)),
-            ], ["anchor", "whole", "k1", "k2", "span", "owned"])
+                pa.array(h[least[i]].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(k1[a + o]), pa.array(k2[a + o]),
+                pa.array(lo - base + ((hi - base) << 32)), pa.array(s[x] - base + ((s[z] - base) << 32)), pa.array((s[least[i]] - base).astype(np.int32)),
+            ], ["anchor", "whole", "k1", "k2", "span", "owned", "at"])
 
     return arrow_stage(_keyed(docs), each, RANGES)
 
 
-def hosted_repeats(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, x: np.ndarray, z: np.ndarray, tail: np.ndarray, rules: Rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def _may_repeat(data: np.ndarray, offs: np.ndarray, at: np.ndarray, rules: Rules) -> np.ndarray:
+    """True for ranges that may share a string of `length` bytes with another: of the bytes around their anchors at least all but a
+    step's, at one of the steps, are the same. `at` is the anchor's place in the range."""
+    step = max((rules.length - rules.anchor) // 8, 1)
+    sums, out = tv.prefix_hash(data), np.zeros(len(at), dtype=bool)
+    for left in range(0, rules.length, step):
+        a, b = offs[:-1] + at - left, offs[:-1] + at + max(rules.length - left - step, 1)
+        some = np.flatnonzero((a >= offs[:-1]) & (b <= offs[1:]))
+        _, same, count = np.unique(tv.span_hash(sums, a[some], b[some]), return_inverse=True, return_counts=True)
+        out[some] |= count[same] > 1
+    return out
+
+
+def hosted_repeats(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, x: np.ndarray, z: np.ndarray, at: np.ndarray, tail: np.ndarray, rules: Rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """[(range, start, end, kind)] of what repeats among ranges: strings of bytes (kind 1) and runs of words (2).
     Each place of a text counts once, in the range whose hosts own it. `tail` marks ranges that end their text."""
+    out = []
+    mine = np.flatnonzero(_may_repeat(data, offs, at - lo, rules))
+    if len(mine):
+        # what lies behind the last string that a range owns must not be found there again
+        n = np.minimum(np.diff(offs)[mine], np.maximum(z[mine] - rules.lead - lo[mine] + rules.length, 0))
+        head = np.append(0, np.cumsum(n + 1))[:-1]
+        s = np.full(int((n + 1).sum()), GAP, dtype=np.uint8)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        s[np.repeat(head, n) + place] = data[np.repeat(offs[:-1][mine], n) + place]
+        hit = np.flatnonzero(repeated_starts(s, rules.length))
+        own = np.searchsorted(head, hit, side="right") - 1
+        new = np.ones(len(hit), dtype=bool)
+        new[1:] = (np.diff(hit) != 1) | (np.diff(own) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        o = mine[own[first]]
+        start = hit[first] - head[own[first]] + lo[o]
+        out.append((o, start, start + (hit[last] - hit[first]) + rules.length, 1))
     n = np.diff(offs)
-    s = np.full(len(data) + len(n), GAP, dtype=np.uint8)
-    head = offs[:-1] + np.arange(len(n))
-    s[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
-    # what lies behind the last string that the range owns must not be found there again
-    owned = z - rules.lead - lo
-    hidden = s.copy()
-    behind = np.maximum(owned, -1) + 1 + rules.length - 1
-    place = np.arange(len(s)) - np.repeat(head, n + 1)
-    hidden[place >= np.repeat(behind, n + 1)] = GAP
-    hit = np.flatnonzero(repeated_starts(hidden, rules.length))
-    own = np.searchsorted(head, hit, side="right") - 1
-    new = np.ones(len(hit), dtype=bool)
-    new[1:] = (np.diff(hit) != 1) | (np.diff(own) != 0)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(hit))[: len(first)] - 1
-    o = own[first]
-    start = hit[first] - head[o] + lo[o]
-    out = [(o, start, start + (hit[last] - hit[first]) + rules.length, 1)]
     ws, we, word = word_places(data, offs)
     at = np.arange(len(ws))
     o = np.repeat(np.arange(len(n)), np.diff(word))
@@ -404,14 +418,14 @@ def hosted_repeats(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, x: np.nda
 
 
 def _shards(docs: DataFrame, wanted: DataFrame, search) -> DataFrame:
-    """(k1, k2, start, end, kind) of repeats among the ranges `wanted` (anchor, i, j, own, k1, k2, span, owned);
-    `search` finds them among a shard's (bytes, offsets, lo, first owned, last owned, whether a range ends its text)."""
-    lists = cut(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "i", "j", "own", "span", "owned")).alias("ranges")))
+    """(k1, k2, start, end, kind) of repeats among the ranges `wanted` (anchor, i, j, own, k1, k2, span, owned, at);
+    `search` finds them among a shard's (bytes, offsets, lo, first owned, last owned, anchor's place, whether a range ends its text)."""
+    lists = cut(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "i", "j", "own", "span", "owned", "at")).alias("ranges")))
     key = F.xxhash64("k1", "k2")
     rows = _keyed(docs).where(within(key_filter(lists.select(key.alias("key"))), key)).dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"])
     rows = rows.select("k1", "k2", F.col("text").cast("binary").alias("text"), F.explode("ranges").alias("r"))
     lo, hi = F.col("r.span").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("r.span", 32).cast("int")
-    ranges = rows.select("k1", "k2", "r.anchor", "r.i", "r.j", "r.owned", lo.alias("lo"), (hi == F.octet_length("text")).alias("tail"), F.substring("text", lo + 1, hi - lo).alias("bytes"))
+    ranges = rows.select("k1", "k2", "r.anchor", "r.i", "r.j", "r.owned", "r.at", lo.alias("lo"), (hi == F.octet_length("text")).alias("tail"), F.substring("text", lo + 1, hi - lo).alias("bytes"))
 
     def each(it):
         held: list[pa.RecordBatch] = []
@@ -421,7 +435,7 @@ def _shards(docs: DataFrame, wanted: DataFrame, search) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             data, offs = tv.byte_arrays(t.column("bytes"))
             owned, k1, k2 = (t.column(c).to_numpy() for c in ("owned", "k1", "k2"))
-            for o, start, end, kind in search(data, offs, t.column("lo").to_numpy().astype(np.int64), owned & 0xFFFFFFFF, owned >> 32, t.column("tail").to_numpy()):
+            for o, start, end, kind in search(data, offs, t.column("lo").to_numpy().astype(np.int64), owned & 0xFFFFFFFF, owned >> 32, t.column("at").to_numpy().astype(np.int64), t.column("tail").to_numpy()):
                 yield pa.record_batch([pa.array(k1[o]), pa.array(k2[o]), pa.array(start), pa.array(end), pa.array(np.full(len(o), kind, np.int32))], ["k1", "k2", "start", "end", "kind"])
 
         for batch in it:
@@ -449,7 +463,7 @@ def _shards(docs: DataFrame, wanted: DataFrame, search) -> DataFrame:
 
 
 def _window_search(length: int, unit: int):
-    def search(data, offs, lo, x, z, tail):
+    def search(data, offs, lo, x, z, at, tail):
         n = np.diff(offs)
         s = np.full(len(data) + len(n), GAP, dtype=np.uint8)
         head = offs[:-1] + np.arange(len(n))
@@ -477,12 +491,12 @@ def _repeats(docs: DataFrame, found: Callable[[Broadcast | None], DataFrame], se
     a whole (kind 0) and what the search finds among the others that name the same anchor."""
     several = key_filter(cut(found(None).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")))
     ranges = cut(found(several))
-    classes = cut(ranges.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "span", "owned")).alias("one")))
+    classes = cut(ranges.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "span", "owned", "at")).alias("one")))
     shape = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1 and m > 1")
     shape = cut(shape.select("anchor", "m", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("g")))
     open_ = join_heavy(classes, shape, ["anchor"], "m").withColumn("own", F.pmod(F.xxhash64("whole"), F.col("g")).cast("int"))
     open_ = open_.select("anchor", "own", "one.*", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))).alias("p"))
-    part = _shards(docs, open_.select("anchor", "p.i", "p.j", "own", "k1", "k2", "span", "owned"), search)
+    part = _shards(docs, open_.select("anchor", "p.i", "p.j", "own", "k1", "k2", "span", "owned", "at"), search)
     whole = join_heavy(ranges.select("anchor", "whole", "k1", "k2", "span"), classes.where("n > 1").select("anchor", "whole", "n"), ["anchor", "whole"], "n")
     whole = whole.select("k1", "k2", F.col("span").bitwiseAND(0xFFFFFFFF).alias("start"), F.shiftright("span", 32).alias("end"), F.lit(0).alias("kind"))
     return part.unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))
