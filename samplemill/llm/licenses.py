@@ -140,6 +140,7 @@ def scan_piece(data: np.ndarray, offs: np.ndarray, permitted: frozenset[str] = P
     last = first[1:][counts > 0]
     joined[begin[last] - 1] = 0x0A
     text = joined.tobytes().decode("latin-1")
+    lines = np.flatnonzero(data == 0x0A)
     for end, (length, n_words, uses) in automaton().iter(text):
         left = end - length + 1
         if (left and text[left - 1] not in " \n") or text[end + 1] not in " \n":
@@ -154,8 +155,16 @@ def scan_piece(data: np.ndarray, offs: np.ndarray, permitted: frozenset[str] = P
                 lo = int(starts[after])
                 while lo > ends[after - 1] and data[lo - 1] == 0x28:
                     lo -= 1
-                raw = data[lo : int(offs[row + 1])].tobytes().split(b"\n", 1)[0]
-                postfix, used = parse(raw)
+                line = int(np.searchsorted(lines, lo))
+                stop = min(int(offs[row + 1]), int(lines[line])) if line < len(lines) else int(offs[row + 1])
+                # a little of the line at first, as many tags may share a very long one
+                width = 1024
+                while True:
+                    raw = data[lo : min(stop, lo + width)].tobytes()
+                    postfix, used = parse(raw)
+                    if lo + width >= stop or used < width // 2:
+                        break
+                    width *= 4
                 labels, ok = evaluate(postfix, permitted)
                 if labels:
                     expressions.setdefault(row, []).append((raw[:used].decode("utf-8", "replace").strip(), labels, ok))
@@ -193,7 +202,8 @@ def scan(docs: DataFrame, permitted: frozenset[str] = PERMITTED) -> DataFrame:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """One row per document with its counts, base and all labels."""
+    """One row per document with its counts, base and all labels. Without places, words are null, labels empty and the
+    score 0; repeated rows stay, an empty table gives an empty result."""
     base = F.filter("places", lambda p: p["kind"] == "base")
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda p: p["label"]))), ",")
     return scanned.select(

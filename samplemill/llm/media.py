@@ -73,13 +73,21 @@ def mux(payload: bytes) -> bytes:
     return b"".join((_FTYP, moov(len(_FTYP) + size + len(head)), head, payload))
 
 
+#: Depth of boxes in boxes beyond which a file is broken.
+DEPTH = 32
+
+
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, body start, end) of every box, depth first."""
+    """(path, body start, end) of every box, depth first; boxes stand at most DEPTH deep."""
     end = len(data) if end is None else end
+    if len(path) > DEPTH:
+        raise ValueError(f"boxes stand more than {DEPTH} deep")
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
+            if body + 8 > end:
+                raise ValueError(f"box {kind!r} at {start} is cut short")
             (size,) = struct.unpack_from(">Q", data, body)
             body += 8
         elif size == 0:
@@ -128,8 +136,11 @@ def read(data: bytes) -> list[Track]:
         track, sizes = t["track"], t.get("sizes", np.zeros(0, np.int64))
         chunks, runs = t.get("chunks", np.zeros(0, np.int64)), t.get("runs", np.zeros((0, 3), np.int64))
         per = np.zeros(len(chunks), np.int64)
-        for (first, count, _), nxt in zip(runs, [*runs[1:, 0], len(chunks) + 1], strict=True):
-            per[first - 1 : nxt - 1] = count
+        borders = np.append(runs[:, 0], len(chunks) + 1)
+        if len(runs) and (borders[0] != 1 or (np.diff(borders) < 0).any()):
+            raise ValueError("the chunk runs are out of order")
+        for count, a, b in zip(runs[:, 1], borders[:-1] - 1, borders[1:] - 1, strict=True):
+            per[a:b] = count
         if per.sum() != len(sizes):
             raise ValueError("the chunk and size tables differ")
         before = np.append(0, np.cumsum(sizes))
@@ -140,7 +151,11 @@ def read(data: bytes) -> list[Track]:
             raise ValueError("samples lie beyond the file")
         keys = t.get("keys")
         track.keys = np.arange(len(sizes)) if keys is None else keys
+        if len(track.keys) and (track.keys.min() < 0 or track.keys.max() >= len(sizes)):
+            raise ValueError("a keyframe lies beyond the samples")
         deltas = t.get("deltas", np.zeros((0, 2), np.int64))
+        if deltas[:, 0].sum() > len(sizes):
+            raise ValueError("the time and size tables differ")
         track.times = np.append(0, np.cumsum(np.repeat(deltas[:, 1], deltas[:, 0])))
         tracks.append(track)
         t.clear()
@@ -168,18 +183,21 @@ def read(data: bytes) -> list[Track]:
                 t["runs"] = _table(data, at, ">u4", 3)
             elif kind == b"stsz":
                 same, n = struct.unpack_from(">II", data, at + 4)
+                if same * n > len(data):
+                    raise ValueError("samples lie beyond the file")
                 t["sizes"] = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
             elif kind in (b"stco", b"co64"):
                 t["chunks"] = _table(data, at, ">u4" if kind == b"stco" else ">u8")[:, 0]
         close()
-    except (struct.error, IndexError) as e:
+    except (struct.error, IndexError, OverflowError) as e:
         raise ValueError(f"a box is cut short: {e}") from e
     return tracks
 
 
 def inspect(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
     """(key, handler, codec, timescale, duration, n_samples, keyframes array<struct<start, end>>, error) per
-    track of a binary column; a broken or null value gives one row with its error."""
+    track of a binary column; a broken or null value gives one row with its error. Repeated rows are read as
+    they stand; an empty table gives an empty result; further columns are ignored."""
     small_batches(media.sparkSession, 200)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -206,7 +224,8 @@ def pad(raw: bytes) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, media binary): every whole text as a file."""
+    """(doc_id, media binary): every whole text as a file. Null texts count as empty, repeated rows are stored as
+    they stand, an empty table gives an empty result; further columns are ignored."""
 
     def each(batch):
         for a, b, data, offs in tv.batches(batch.column(1)):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spark_io import arrow_stage, components, cut, documents, released
+from .spark_io import arrow_stage, components, cut, documents, join_heavy, released
 
 MINIMA, BANDS, ROWS, BITS = 128, 25, 5, 2
 #: A block of a candidate group: documents and shingles.
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     own = cut(shingles(docs))
     full = own.where("n_shingles > 0")
-    sets = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    sets = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copies = cut(sets)
     reps = full.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
@@ -212,5 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = components(stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "group")
     groups = cut(groups.join(copies.select(F.col("rep").alias("doc_id"), "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"))
     classes = components(links(docs, groups, percent))
-    named = own.join(copies, ["set_a", "set_b", "n_shingles"], "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # a set with many copies is dealt out, and empty sets meet nothing
+    sets = cut(copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", "n", F.coalesce("component", "rep").alias("component_id")))
+    named = join_heavy(full.drop("bands"), sets, ["set_a", "set_b", "n_shingles"], "n").select("doc_id", "n_shingles", "component_id")
+    named = named.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return named.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spark_io import arrow_stage, cut, documents
+from .spark_io import arrow_stage, cut, documents, join_heavy
 
 _LETTER = rb"A-Za-z\x80-\xff"
 _CAPITAL = rb"(?:[A-Z]|\xc3[\x80-\x9e]|\xd0[\x90-\xaf])[" + _LETTER + rb"'-]*"
@@ -228,35 +228,36 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def assign(found: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
-    """(kind, norm, surrogate): distinct for distinct entities of a kind, and no entity of the texts itself."""
+    """(kind, norm, surrogate, n): distinct for distinct entities of a kind, and no entity of the texts itself;
+    n is the number of the entity's mentions."""
 
     def each(batch):
         kind, norm, attempt = (batch.column(i).to_pylist() for i in range(3))
         return pa.record_batch([*batch.columns, pa.array([surrogate(key, k, n, t) for k, n, t in zip(kind, norm, attempt, strict=True)])], ["kind", "norm", "attempt", "surrogate"])
 
-    real = cut(found.select("kind", "norm").distinct())
+    real = cut(found.groupBy("kind", "norm").agg(F.count("*").alias("n")))
     names = real.select("kind", F.regexp_replace("norm", "^[mfn]:", "").alias("taken")).distinct()
-    entities = real.withColumn("attempt", F.lit(0).cast("long"))
+    entities = real.select("kind", "norm", F.lit(0).cast("long").alias("attempt"))
     for _ in range(rounds):
         entities = cut(arrow_stage(entities, each, "kind string, norm string, attempt long, surrogate string"))
         first = entities.groupBy("kind", F.lower("surrogate").alias("s")).agg(F.min("norm").alias("owner"))
         seen = entities.withColumn("s", F.lower("surrogate")).join(first, ["kind", "s"]).join(names.withColumnRenamed("taken", "s").withColumn("real", F.lit(1)), ["kind", "s"], "left")
         judged = seen.select("kind", "norm", "attempt", "surrogate", ((F.col("norm") != F.col("owner")) | F.col("real").isNotNull()).alias("bad"))
         if judged.where("bad").isEmpty():
-            return entities.select("kind", "norm", "surrogate")
+            return cut(entities.join(real, ["kind", "norm"]).select("kind", "norm", "surrogate", "n"))
         entities = judged.select("kind", "norm", (F.col("attempt") + F.col("bad").cast("long")).alias("attempt"))
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-def replace(docs: DataFrame, key: bytes = b"samplemill", keep: tuple[str, ...] = ()) -> DataFrame:
+def replace(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, n_entities, entities array<struct<kind, start, end, surrogate>>, *keep) of every document,
-    with the surrogates in place; start and end are places in bytes of the given text.
+    with the surrogates in place of `key`, which must be kept secret: it undoes the numbers' permutation; start and end are places in bytes of the given text.
 
     Null and empty texts come back empty. Repeated rows are treated alike; an empty table gives an empty
     result; further columns are passed on only if named in `keep`."""
     found = cut(detect(docs))
     lists = (
-        found.join(assign(found, key), ["kind", "norm"])
+        join_heavy(found, assign(found, key), ["kind", "norm"], "n")
         .groupBy("k1", "k2")
         .agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind", "surface", "surrogate"))).alias("found"))
     )

@@ -24,10 +24,12 @@ BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local
-    one is set only where the session names none (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; where the session names none, a local
+    master gets a local one (tests), and on a cluster that is an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder or (folder := tempfile.mkdtemp(prefix="samplemill-")))
     return folder
@@ -170,8 +172,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) reaches.
 
     Alternating large-star and small-star steps; each step is an aggregation with
-    map-side combine and a join on the node, and the edges are checkpointed, so
-    that neither a hub nor a long chain gathers in one task. Nulls and loops are
+    map-side combine and a join on the node (which AQE splits where a hub has very many
+    edges), and the edges are checkpointed, so that a long chain takes few rounds. Nulls and loops are
     ignored; nodes without edges are not returned.
     """
     edges = cut(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -47,7 +47,7 @@ def test_documents_keep_distinctness_and_coreference(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
     forward, back = {}, {}
-    rows = pii.replace(docs).collect()
+    rows = pii.replace(docs, KEY).collect()
     assert len(rows) == len(before)
     n = 0
     for r in rows:
@@ -78,6 +78,6 @@ def test_collisions_are_resolved(spark, monkeypatch):
 def test_edge_cases(spark):
     rows = [(1, None, 1), (2, "", 2), (3, "x " * 100000 + "a.b@c.de", 3), (3, "x " * 100000 + "a.b@c.de", 3), (None, "+1 (521) 555-2373", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind int")
-    out = pii.replace(docs, keep=("kind",)).collect()
+    out = pii.replace(docs, KEY, keep=("kind",)).collect()
     assert sorted((r.kind, r.n_entities) for r in out) == [(1, 0), (2, 0), (3, 1), (3, 1), (4, 1)]
-    assert pii.replace(docs.limit(0)).count() == 0
+    assert pii.replace(docs.limit(0), KEY).count() == 0
