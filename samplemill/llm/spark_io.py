@@ -160,12 +160,10 @@ def join_heavy(many: DataFrame, one: DataFrame, keys: list[str], weight: str) ->
     key = F.xxhash64(*keys)
     heavy = key_filter(one.where(F.col(weight) > HEAVY).select(key.alias("key")))
     hot = within(heavy, key)
-    many, one = many.withColumn("__hot", hot), one.drop(weight).withColumn("__hot", hot)
-    plain = many.where("not __hot").drop("__hot").join(one.where("not __hot").drop("__hot"), keys)
-    place = F.pmod(F.xxhash64(*[c for c in many.columns if c != "__hot"]), F.lit(DEAL)).cast("int")
-    copies = one.where("__hot").drop("__hot").withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-    dealt = many.where("__hot").drop("__hot").withColumn("__place", place).join(copies, [*keys, "__place"]).drop("__place")
-    return plain.unionByName(dealt)
+    deal = F.pmod(F.xxhash64(*many.columns), F.lit(DEAL)).cast("int")
+    many = many.withColumn("__place", F.when(hot, deal).otherwise(0))
+    places = F.when(hot, F.sequence(F.lit(0), F.lit(DEAL - 1))).otherwise(F.array(F.lit(0)))
+    return many.join(one.drop(weight).withColumn("__place", F.explode(places)), [*keys, "__place"]).drop("__place")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
