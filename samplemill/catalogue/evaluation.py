@@ -188,7 +188,7 @@ v10 AS (SELECT i, avg(k1) AS x1, avg(k2) AS x2 FROM k GROUP BY i), v01 AS (SELEC
 c AS (SELECT (SELECT avg(x1) FROM v10) AS auc1, (SELECT avg(x2) FROM v10) AS auc2, (SELECT covar_samp(x1, x1) FROM v10) / m + (SELECT covar_samp(x1, x1) FROM v01) / n AS cov11, (SELECT covar_samp(x1, x2) FROM v10) / m + (SELECT covar_samp(x1, x2) FROM v01) / n AS cov12, (SELECT covar_samp(x2, x2) FROM v10) / m + (SELECT covar_samp(x2, x2) FROM v01) / n AS cov22 FROM z)
 SELECT round(auc1, 6) AS auc1, round(auc2, 6) AS auc2, round(cov11, 9) AS cov11, round(cov12, 9) AS cov12, round(cov22, 9) AS cov22, round(abs(auc1 - auc2) / sqrt(cov11 + cov22 - 2 * cov12), 5) AS z FROM c""")
 def delong(read):
-    out = mc.delong("p", "p2", "quality")(predictions(read), [])
+    out = mc.delong("p", "p2", "quality")(predictions(read), []).drop("p_value")
     return rounded(rounded(rounded(out, "auc1", "auc2"), "cov11", "cov12", "cov22", digits=9), "z", digits=5)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, digitize, nest, sub_tree
 from ..operators import control as oc
 from ..operators import samples as so
-from ..plans.dataset import differences, export
+from ..plans.dataset import audit, export, get_multi, with_final_ids
 from ..plans.evaluator import resolve
 from ..plans.pipeline import Pipeline, summary
 from ..sources import tables as st
@@ -251,8 +251,22 @@ def _named(name, value):
     return so.set_value(name, value)
 
 
-@query("SELECT 0 AS rows")
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 1 END AS x, CASE WHEN k = 0 THEN 'stored' ELSE 'fresh' END AS side FROM nation, (SELECT unnest(range(2)) AS k) WHERE n_nationkey % 5 = 0 AND k = 0 UNION ALL SELECT n_nationkey, n_name, 1, 'fresh' FROM nation WHERE n_nationkey % 5 = 0")
 def audit_diff(read):
-    steps = Pipeline.of("same", so.set_value("x", 1))
     rows = read("nation").select("n_nationkey", "n_name")
-    return differences(steps(rows), steps(rows)).agg(F.count("*").alias("rows"))
+    stored = rows.withColumn("x", F.when(F.col("n_nationkey") % 5 == 0, 2).otherwise(1))
+    return audit(stored, Pipeline.of("same", so.set_value("x", 1)), rows, 1.0, key="n_nationkey").select("n_nationkey", "n_name", "x", "side")
+
+
+@query("SELECT i, p_partkey, p_name FROM (SELECT unnest(range(200)) AS i) JOIN part ON p_partkey = (i * 37) % (SELECT count(*) FROM part)")
+def get_multi_ordered(read):
+    parts = read("part").select("p_partkey", "p_name", "p_size")
+    n = parts.count()
+    items = parts.sparkSession.range(200).select(F.col("id").alias("i"), ((F.col("id") * 37) % n).alias("item"))
+    return get_multi(parts, items, ["p_name"], key="p_partkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def final_ids(read):
+    good = read("customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return with_final_ids(read("orders"), good, key="o_custkey").select("o_orderkey", "o_custkey")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,6 +214,38 @@ def confidence(df: DataFrame, probabilities: str, target: str, by: Sequence[str]
     return rows.withColumn("bin", F.when(F.col("conf") < 1, F.floor(F.col("conf") * bins).cast("long")))
 
 
+def quantile_edges(rows: DataFrame, value: str, by: Sequence[str], quantiles: int) -> DataFrame:
+    """(*by, edges): the quantiles at 0, 1 / n, ... 1 with plotting position 0.4 + 0.2 p, by places, so that no task holds all values."""
+    at = cut(running(rows.select(*map(col, by), col(value).alias("x"), F.lit(1).cast("long").alias("one")), "x", ["one"], by))
+    found = join_groups(at, grouped(at, by).agg(F.sum("one").alias("all")), by)
+    picks = []
+    for i in range(quantiles + 1):
+        p = i / quantiles
+        place = F.col("all") * F.lit(p) + F.lit(0.4 + 0.2 * p)
+        k = F.floor(F.greatest(F.lit(1.0), F.least(place, F.col("all") - 1)))
+        share = F.greatest(F.lit(0.0), F.least(place - k, F.lit(1.0)))
+        for name, n in (("lo", k - 1), ("hi", F.least(k, F.col("all") - 1))):
+            picks.append(F.max(F.when((F.col("one_before") <= n) & (n < F.col("one_before") + F.col("one")), F.col("x"))).alias(f"{name}{i}"))
+        picks.append(F.first(share).alias(f"s{i}"))
+    out = grouped(found, by).agg(*picks)
+    return out.select(*map(col, by), F.array(*((1 - F.col(f"s{i}")) * F.col(f"lo{i}") + F.col(f"s{i}") * F.col(f"hi{i}") for i in range(quantiles + 1))).alias("edges"))
+
+
+def reliability_quantiles(probabilities: str, target: str, quantiles: int = 10) -> Metric:
+    """(*by, bin, low, high, n, accuracy, mean_confidence) of bins [low, high) between the confidences' quantiles."""
+
+    def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        rows = cut(confidence(df, probabilities, target, by, 1).drop("bin"))
+        edges = quantile_edges(rows, "conf", by, quantiles)
+        placed = join_groups(rows, edges, by).withColumn("bin", (fc.digitize(F.col("conf"), F.col("edges")) - 1).cast("long")).where((F.col("bin") >= 0) & (F.col("bin") < quantiles))
+        found = placed.groupBy(*map(col, by), "bin").agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy"), F.avg("conf").alias("mean_confidence"))
+        every = edges.select(*map(col, by), "edges", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(quantiles - 1).cast("long"))).alias("bin"))
+        out = join_groups(every, found, [*by, "bin"], "left")
+        return out.select(*map(col, by), "bin", F.get("edges", F.col("bin").cast("int")).alias("low"), F.get("edges", F.col("bin").cast("int") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"), "accuracy", "mean_confidence")
+
+    return run
+
+
 def reliability(probabilities: str, target: str, bins: int = 10) -> Metric:
     """(*by, bin, low, high, n, accuracy, mean_confidence) of all bins; empty ones have nulls."""
 
@@ -262,7 +295,7 @@ def find_temperature(df: DataFrame, logits: str, target: str, steps: int = 40) -
 
 
 def delong(pred1: str, pred2: str, target: str) -> Metric:
-    """auc1, auc2, cov11, cov12, cov22, z and p_value of two correlated areas, from mid-ranks."""
+    """auc1, auc2, cov11, cov12, cov22, z and p_value of two correlated areas, from mid-ranks of distinct scores."""
 
     def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows = df.select(*map(col, by), (col(target) == 1).cast("int").alias("t"), *(col(p).cast("double").alias(f"s{i}") for i, p in enumerate((pred1, pred2), 1)))
@@ -288,28 +321,37 @@ def delong(pred1: str, pred2: str, target: str) -> Metric:
         cov = {f"cov{i}{j}": side(1, i, j) + side(0, i, j) for i, j in ((1, 1), (1, 2), (2, 2))}
         out = grouped(d, by).agg(*(F.max(F.when(F.col("t") == 1, F.col(f"mean{i}"))).alias(f"auc{i}") for i in (1, 2)), *(c.alias(k) for k, c in cov.items()))
         z = F.abs(F.col("auc1") - F.col("auc2")) / F.sqrt(F.col("cov11") + F.col("cov22") - 2 * F.col("cov12") + F.lit(1e-30))
-        return out.withColumn("z", z)
+        return out.withColumn("z", z).withColumn("p_value", p_value("normal", F.col("z")))
 
     return run
 
 
-def with_p_value(row) -> dict:
-    """The two-sided p-value of one row of `delong`."""
-    return row.asDict() | {"p_value": stats.two_sided_normal(row["z"])}
+def p_value(kind: str, *numbers: Column) -> Column:
+    """A p-value as a column of a table of results, which has a row a group: `normal` of z, `binomial` of two counts, `chi2` of a statistic
+    with one degree of freedom, `pearson` of r and n."""
+    f = {"normal": stats.two_sided_normal, "binomial": lambda a, b: stats.binomial_two_sided(int(min(a, b)), int(a + b)), "chi2": stats.chi2_one, "pearson": lambda r, n: stats.pearson_p(r, int(n))}[kind]
 
+    def one(values: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or any(v is None or v != v for v in x) else f(*x) for x in values])
+
+    return F.pandas_udf(one, "double")(F.array(*(n.cast("double") for n in numbers)))
 
-def contingency(a: str, b: str) -> Metric:
-    """both, only1, only2 and none of two booleans."""
-    x, y = col(a).cast("boolean"), col(b).cast("boolean")
-    return lambda df, by=(): grouped(df, by).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only1"), F.count_if(~x & y).alias("only2"), F.count_if(~x & ~y).alias("none"))
 
+def mcnemar_test(a: str, b: str, exact: bool = True) -> Metric:
+    """both, only1, only2, none, statistic and p_value of two models' correctness."""
+
+    def run(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        out = contingency(a, b)(df, by)
+        x, y = F.col("only1").cast("double"), F.col("only2").cast("double")
+        if exact:
+            return out.withColumns({"statistic": F.least(x, y), "p_value": p_value("binomial", x, y)})
+        s = F.coalesce(ratio((F.abs(x - y) - 1) * (F.abs(x - y) - 1), x + y), F.lit(0.0))
+        return out.withColumns({"statistic": s, "p_value": p_value("chi2", s)})
 
-def mcnemar(row: Mapping, exact: bool = True) -> tuple[float, float]:
-    """(statistic, p) of a row of `contingency` over the correctness of two models."""
-    a, b = row["only1"], row["only2"]
-    if exact:
-        return float(min(a, b)), stats.binomial_two_sided(min(a, b), a + b)
-    x = (abs(a - b) - 1) ** 2 / (a + b) if a + b else 0.0
-    return x, stats.chi2_one(x)
+    return run
 
 
+def contingency(a: str, b: str) -> Metric:
+    """both, only1, only2 and none of two booleans."""
+    x, y = col(a).cast("boolean"), col(b).cast("boolean")
+    return lambda df, by=(): grouped(df, by).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only1"), F.count_if(~x & y).alias("only2"), F.count_if(~x & ~y).alias("none"))

@@ -62,6 +62,37 @@ def hausdorff_rows(pred: str, target: str) -> Column:
     return F.greatest(one_way(col(pred), col(target)), one_way(col(target), col(pred)))
 
 
+def rle_mask(counts: Column) -> Column:
+    """The 0/1 vector of run lengths, which begin with a run of 0."""
+    return F.flatten(F.transform(counts, lambda n, i: F.array_repeat((i % 2).cast("int"), n.cast("int"))))
+
+
+def mask_rle(mask: Column) -> Column:
+    """Run lengths of a 0/1 vector, beginning with those of 0 (which may be none)."""
+    at = F.transform(mask, lambda x, i: F.when(x.cast("int") != F.coalesce(F.get(mask, i - 1).cast("int"), F.lit(0)), i.cast("long")))
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.filter(at, lambda x: x.isNotNull()), F.array(F.size(mask).cast("long")))
+    return F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.get(edges, i) - F.get(edges, i - 1))
+
+
+def polygon_mask(points: Column, height: int, width: int) -> Column:
+    """The row-major 0/1 vector of the cells whose centre lies in a polygon (structs of x and y), by the even-odd rule."""
+    edges = F.transform(points, lambda p, i: F.struct(p.alias("a"), F.get(points, (i + 1) % F.size(points)).alias("b")))
+
+    def inside(i):
+        x, y = i % width + F.lit(0.5), F.floor(i / width) + F.lit(0.5)
+        crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.when(e["b"]["y"] != e["a"]["y"], e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+        return (F.size(crossed) % 2).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), inside)
+
+
+def vector_iou(a: Column, b: Column, crowd: bool = False) -> Column:
+    """Of two 0/1 vectors; against a crowd target, over the prediction's size alone."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("int") * y.cast("int")).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    size = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    return F.coalesce(ratio(both, size(a) if crowd else size(a) + size(b) - both), F.lit(0.0))
+
+
 def box_iou(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Of boxes (x, y, width, height) given as four columns each."""
     w = F.greatest(F.least(a[0] + a[2], b[0] + b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +12,19 @@ from .base import op
 
 
 @op
-def collate(df: DataFrame, batch: str, order: str, keys: Sequence[str] | None = None, skip: Sequence[str] = ()) -> DataFrame:
-    """(batch, each key as a list in the order's order); nulls keep their places."""
+def collate(df: DataFrame, batch: str, order: str, keys: Sequence[str] | None = None, skip: Sequence[str] = (), handlers: Mapping[str, Callable[[Column], Column]] | None = None, after: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """(batch, each key as a list in the order's order); nulls keep their places. A handler makes a key's value from its
+    list; the steps in `after` see the whole batch table."""
     keys = [c for c in df.columns if c not in (batch, *skip)] if keys is None else list(keys)
     need(df, batch, order, *keys)
     rows = F.array_sort(F.collect_list(F.struct(col(order).alias("__o"), *(col(k).alias(f"k{i}") for i, k in enumerate(keys))))).alias("__r")
     out = df.groupBy(col(batch).alias(batch)).agg(rows)
-    return out.select(col(batch), *(col("__r").getField(f"k{i}").alias(k) for i, k in enumerate(keys)))
+    own = handlers or {}
+    need(df, *own)
+    out = out.select(col(batch), *(own.get(k, lambda v: v)(col("__r").getField(f"k{i}")).alias(k) for i, k in enumerate(keys)))
+    for step in after:
+        out = step(out)
+    return out
 
 
 @op

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,24 @@ def balanced_folds(df: DataFrame, key: str, balance: Sequence[str], folds: int,
     return df.join(ids.select(col(key), part_of(F.col("place"), F.col("__n"), folds).alias("fold")), key)
 
 
+def saved_folds(df: DataFrame, key: str, balance: Sequence[str], folds: int, path: str, seed: object = 1357, reset: bool = False) -> DataFrame:
+    """As `balanced_folds`, the keys' folds being those stored at `path`. They are made and stored where there are none or with
+    `reset`; stored folds that lack a key of the table stop the query."""
+    spark = df.sparkSession
+    try:
+        stored = None if reset else spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        stored = None
+    if stored is None:
+        balanced_folds(df, key, balance, folds, seed).select(col(key), "fold").distinct().write.mode("overwrite").parquet(path)
+        stored = spark.read.parquet(path)
+    out = df.join(stored, key, "left")
+    missing = F.concat(F.lit("no stored fold for "), col(key).cast("string"))
+    return out.withColumn("fold", F.coalesce("fold", F.raise_error(missing).cast("long")))
+
+
 def fold_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy("fold", *map(col, keys)).agg(F.count("*").alias("n"))
 

@@ -89,6 +89,29 @@ def merged_vocabulary(parts: Mapping[str, DataFrame], special: Sequence[str]) ->
     return out
 
 
+def diagnose(words: DataFrame, special: Sequence[str]) -> DataFrame:
+    """(check, bad): of vocabularies (kind, token, id), how many special tokens do not have one id everywhere, ids that a vocabulary
+    gives twice, and ids that regular tokens of two vocabularies share."""
+    is_special = F.col("token").isin(list(special))
+    kinds = words.agg(F.count_distinct("kind").alias("k"))
+    apart = words.where(is_special).groupBy("token").agg(F.count_distinct("id").alias("ids"), F.count_distinct("kind").alias("in")).crossJoin(F.broadcast(kinds)).where("ids > 1 or in < k")
+    twice = words.groupBy("kind", "id").agg(F.count_distinct("token").alias("n")).where("n > 1")
+    shared = words.where(~is_special).groupBy("id").agg(F.count_distinct("kind").alias("n")).where("n > 1")
+    parts = [df.agg(F.lit(name).alias("check"), F.count("*").alias("bad")) for name, df in (("special", apart), ("duplicate", twice), ("collision", shared))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def look_up(rows: DataFrame, words: DataFrame, by: str, to: str, kind: str = "kind") -> DataFrame:
+    """Tokens to ids (by="token", to="id") or back; rows without an entry get null."""
+    return rows.join(words.select(col("kind").alias(kind), by, col(to)), [kind, by], "left")
+
+
+def sentinels(words: DataFrame, prefix: str = "SENTINEL_ID_") -> DataFrame:
+    """(least, most, max_id): the smallest and largest number among tokens `<prefix><n>` in angle brackets, and the largest id."""
+    number = F.regexp_extract("token", f"^<{prefix}(\\d+)>$", 1)
+    return words.agg(F.min(F.when(number != "", number.cast("long"))).alias("least"), F.max(F.when(number != "", number.cast("long"))).alias("most"), F.max("id").alias("max_id"))
+
+
 def wrap(name: Column) -> Column:
     return F.concat(F.lit("<"), name, F.lit(">"))
 

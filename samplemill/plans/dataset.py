@@ -23,6 +23,27 @@ def from_count(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias(ID), F.col("id").alias(INITIAL))
 
 
+def sample_digest(samples: DataFrame, key: str = ID) -> str:
+    """Columns, number of rows and a sum of the ids' hashes: two numbers reach the driver."""
+    ids = F.xxhash64(col(key)) if key in samples.columns else F.xxhash64(*map(col, samples.columns))
+    n, total = samples.agg(F.count("*"), F.coalesce(F.sum(ids.cast("decimal(38,0)")), F.lit(0))).first()
+    return f"{','.join(f'{c} {t}' for c, t in samples.dtypes)}|{n}|{total}"
+
+
+def get_multi(samples: DataFrame, items: DataFrame, keys: Sequence[str] | None = None, key: str = ID) -> DataFrame:
+    """(i, the id, keys): the samples of `items` (i, item) in that order's numbers, with repeats; all keys if none are
+    named. An item without a sample stops the query."""
+    own = export(samples, keys, key)
+    out = items.select("i", col("item").alias("__item")).join(own, F.col("__item") == col(key), "left")
+    missing = F.concat(F.lit("no sample "), F.col("__item").cast("string"))
+    return out.withColumn(key, F.when(col(key).isNotNull(), col(key)).otherwise(F.raise_error(missing))).drop("__item")
+
+
+def with_final_ids(samples: DataFrame, ids: DataFrame, key: str = ID) -> DataFrame:
+    """The samples whose ids are in a table of final ids, nothing being processed again."""
+    return samples.join(ids.select(col(key).alias(key)).distinct(), key, "left_semi")
+
+
 class Cache:
     """Tables of a pipeline's output in a shared folder, each with a manifest of the pipeline's fingerprint."""
 
@@ -40,15 +61,18 @@ class Cache:
         return json.loads(self.spark.read.text(f"{self._path(name)}/manifest").first()[0])
 
     def get(self, name: str, pipeline: Pipeline, samples: DataFrame, restart: bool = False) -> DataFrame:
-        """The pipeline's output, read if it is stored, else made and stored. Another pipeline under the same name
-        is an error, unless `restart` overwrites it."""
+        """The pipeline's output, read if it is stored, else made and stored. Another pipeline, or other samples (by their
+        columns, number and ids), under the same name is an error, unless `restart` overwrites it."""
         had = self._manifest(name)
+        digest = sample_digest(samples)
         if had and had["fingerprint"] != pipeline.fingerprint and not restart:
             raise ValueError(f"{name!r} holds the output of another pipeline: {had['steps']}")
+        if had and had.get("samples") != digest and not restart:
+            raise ValueError(f"{name!r} holds the output of other samples")
         at = f"{self._path(name)}/data"
         if not had or restart:
             pipeline(samples).write.mode("overwrite").parquet(at)
-            text = json.dumps({"fingerprint": pipeline.fingerprint, "steps": str(pipeline)})
+            text = json.dumps({"fingerprint": pipeline.fingerprint, "samples": digest, "steps": str(pipeline)})
             self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self._path(name)}/manifest")
         return self.spark.read.parquet(at)
 

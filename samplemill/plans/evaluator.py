@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..metrics.base import Metric, long
+from ..metrics.base import Metric, join_groups, long
 from ..sources import tables
 
 
@@ -25,14 +26,37 @@ def resolve(data: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame], key
     return tables.restrict(rows, ids, key, strict) if ids is not None else rows
 
 
-def evaluate(rows: DataFrame, metrics: Mapping[str, Metric], by: Sequence[str] = ()) -> DataFrame:
-    """(metric, *by, name, value): all metrics of one table, as one query."""
+@dataclass(frozen=True)
+class Later:
+    """A metric made from earlier results: `needs` names them as `<metric>.<name>`, `make` gets their numbers as columns."""
+
+    needs: tuple[str, ...]
+    make: Callable[..., Metric]
+
+
+def evaluate(rows: DataFrame, metrics: Mapping[str, Metric | Later], by: Sequence[str] = (), before: Sequence[Callable[[DataFrame], DataFrame]] = (), after: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """(metric, *by, name, value): all metrics of one table, as one query.
+
+    Steps in `before` work on the rows ahead of all metrics (results per sample are columns that they add), those in
+    `after` on the table of results. A `Later` sees, in every group, the group's earlier results: they are joined to the rows."""
+    for step in before:
+        rows = step(rows)
     out = None
     for name, metric in metrics.items():
-        made = metric(rows, by)
+        if isinstance(metric, Later):
+            missing = [n for n in metric.needs if n.split(".")[0] not in metrics or out is None]
+            if missing:
+                raise ValueError(f"metric {name!r} needs the earlier results {missing}")
+            picked = out.groupBy(*map(col, by)).agg(*(F.max(F.when(F.concat_ws(".", "metric", "name") == n, F.col("value"))).alias(f"__need_{i}") for i, n in enumerate(metric.needs)))
+            own = join_groups(rows, picked, by)
+            made = metric.make(*(F.col(f"__need_{i}") for i in range(len(metric.needs))))(own, by)
+        else:
+            made = metric(rows, by)
         made = made if {"name", "value"} <= set(made.columns) else long(made, by)
         made = made.select(F.lit(name).alias("metric"), *map(col, by), *(col(c) for c in made.columns if c not in ("name", "value", *by)), "name", "value")
         out = made if out is None else out.unionByName(made, allowMissingColumns=True)
+    for step in after:
+        out = step(out)
     return out
 
 
