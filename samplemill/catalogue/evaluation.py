@@ -336,8 +336,7 @@ def bradley_terry(read):
     e = read("embeddings").select("label", F.element_at("embedding", 1).alias("a"), F.element_at("embedding", 2).alias("b"))
     other = (F.col("label") + 1 + F.pmod(F.floor(F.abs("b") * 1000), F.lit(8))) % 10
     wins = e.select(F.when(F.col("a") > 0, F.col("label")).otherwise(other).alias("winner"), F.when(F.col("a") > 0, other).otherwise(F.col("label")).alias("loser"), F.lit(1).alias("n"))
-    
-    return rounded(mk.bradley_terry(wins, rounds=8, cut=cut))
+    return rounded(mk.bradley_terry(wins, cut=cut), digits=4)
 
 
 @query(f"{S} SELECT doc_id, round(p, 6) AS p FROM s WHERE p > 0.9e0")

@@ -35,44 +35,29 @@ def pair_scores(ranked: DataFrame) -> DataFrame:
     return both.groupBy("x.item").agg(F.sum("x.s").alias("score"))
 
 
-def bradley_terry(wins: DataFrame, alpha: float = 0.001, rounds: int = 100, tolerance: float = 1e-9, cut: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
-    """(item, strength) by the minorisation step strength = (wins + alpha) / sum over games of 1 / (both strengths), scaled to a
-    mean of 1. `wins` has winner, loser and n. Each round is one join and one aggregation; its small table is checkpointed."""
+def bradley_terry(wins: DataFrame, alpha: float = 0.001, rounds: int = 10_000, tolerance: float = 1e-6, cut: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+    """(item, strength) by the minorisation step strength = (wins + alpha) / (sum over games of 1 / (both strengths) + alpha), scaled to a
+    mean of 1, until no strength changes by `tolerance` in a round. `wins` has winner, loser and n.
+
+    A round is two joins and an aggregation, and its small table is checkpointed. Not converging within `rounds` is an error."""
     games = cut(wins.groupBy("winner", "loser").agg(F.sum("n").cast("double").alias("n")))
     won = games.groupBy(F.col("winner").alias("item")).agg(F.sum("n").alias("w"))
     every = games.select(F.explode(F.array("winner", "loser")).alias("item")).distinct()
     met = games.select(F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), "n"), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), "n"))).alias("x")).groupBy("x.item", "x.other").agg(F.sum("x.n").alias("n"))
     met, base = cut(met), cut(every.join(won, "item", "left").select("item", (F.coalesce("w", F.lit(0.0)) + alpha).alias("w")))
-    now = base.select("item", F.lit(1.0).alias("strength"))
-    for _ in range(rounds):
-        own, other = now.withColumnRenamed("strength", "s"), now.select(F.col("item").alias("other"), F.col("strength").alias("o"))
-        rate = met.join(own, "item").join(other, "other").groupBy("item").agg(F.sum(F.col("n") / (F.col("s") + F.col("o"))).alias("d"))
-        new = base.join(rate, "item").select("item", ratio(F.col("w"), F.col("d") + alpha).alias("strength"))
-        mean = new.agg(F.avg("strength")).first()[0] or 1.0
-        new = cut(new.withColumn("strength", F.col("strength") / F.lit(mean)))
-        change = new.join(own, "item").agg(F.max(F.abs(F.col("strength") - F.col("s")))).first()[0]
-        now = new
-        if change is None or change < tolerance:
-            break
-    return now
-
 
-def merge_rank(items: list, compare: Callable[[object, object], float], confidence: float = 0.95, least: int = 1, most: int = 64) -> list:
-    """Sorts a short list with as few noisy comparisons as Hoeffding's bound asks for: `compare(a, b)` is near 1 if a is above b.
-    A sequential method for one batch; batches are ranked apart and joined by `pair_scores`."""
-
-    def above(a, b) -> bool:
-        total, n = 0.0, 0
-        while n < most:
-            total, n = total + compare(a, b), n + 1
-            if n >= least and abs(total / n - 0.5) > math.sqrt(math.log(2 / (1 - confidence)) / (2 * n)):
-                break
-        return total / n > 0.5
+    def step(now: DataFrame) -> DataFrame:
+        own, other = now.withColumnRenamed("strength", "s"), now.select(F.col("item").alias("other"), F.col("strength").alias("o"))
+        rate = met.join(own, "item").join(other, "other").groupBy("item", "s").agg(F.sum(F.col("n") / (F.col("s") + F.col("o"))).alias("d"))
+        return base.join(rate, "item").select("item", F.col("s").alias("before"), ratio(F.col("w"), F.col("d") + alpha).alias("strength"))
 
-    if len(items) < 2:
-        return list(items)
-    a, b = (merge_rank(x, compare, confidence, least, most) for x in (items[: len(items) // 2], items[len(items) // 2 :]))
-    out = []
-    while a and b:
-        out.append(b.pop(0) if above(a[0], b[0]) else a.pop(0))
-    return out + a + b
+    now = base.select("item", F.lit(1.0).alias("strength"))
+    for _ in range(rounds):
+        new = cut(step(now))
+        scale = new.agg(F.avg("strength")).first()[0]
+        if scale is None:
+            return now
+        now = new.select("item", (F.col("strength") / F.lit(scale)).alias("strength"))
+        if new.agg(F.max(F.abs(F.col("strength") / F.lit(scale) - F.col("before")))).first()[0] < tolerance:
+            return now
+    raise RuntimeError(f"strengths did not settle in {rounds} rounds")

@@ -52,7 +52,7 @@ def test_intervals_of_all_kinds_hold_the_estimate(spark):
     assert plain.std == pytest.approx(cells.std, rel=0.3)
 
 
-def later_bradley_terry_converges_to_the_fixed_point(spark):
+def test_bradley_terry_converges_to_the_fixed_point(spark):
     rng = np.random.default_rng(5)
     n, alpha = 6, 0.001
     games = [(i, j, int(rng.integers(1, 9))) for i in range(n) for j in range(n) if i != j]
