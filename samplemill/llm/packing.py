@@ -106,8 +106,9 @@ class Packer:
         if last:
             pool.reverse()
             while pool:
-                window = next((w for w in self.windows if w <= left), None)
-                pieces, gap = [], window or left
+                # under the shortest window, sequences at powers of two, so that nothing is padded however many partitions there are
+                window = next((w for w in self.windows if w <= left), 1 << (left.bit_length() - 1))
+                pieces, gap = [], window
                 while gap:
                     piece = pool.pop(0)
                     if piece[0] > gap:
@@ -116,7 +117,7 @@ class Packer:
                     pieces.append(piece)
                     gap -= piece[0]
                     left -= piece[0]
-                self._emit(pieces, window or self.windows[0])
+                self._emit(pieces, window)
         # what waits no longer refers to whole documents or batches
         self.pool = [(*p[:5], p[5].copy()) for p in pool]
         self.waiting = sum(p[0] for p in self.pool)
@@ -133,8 +134,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, windows: tup
     A document's ids are those of the tokenizer at `path` without special tokens,
     then `end_id`; a null or empty text has `end_id` alone. Each id lies in
     exactly one piece. `window` is the length to which the piece's sequence is
-    padded: the last sequence of a partition may be shorter than its window,
-    all others fill theirs. Sequence and step ids are distinct across partitions and the
+    padded, which all fill: what is left of a partition under the shortest window goes to
+    sequences at smaller powers of two. Sequence and step ids are distinct across partitions and the
     same when a task runs again, as its partition's rows come in the same order.
     Repeated rows are packed as they stand; an empty table gives no rows; further
     columns are ignored.
