@@ -55,6 +55,11 @@ def indexed(df: DataFrame, key: str = "sample_id") -> DataFrame:
     return rows.select((start + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias(key), "r.*")
 
 
+def sized(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marked for broadcast if it is counted to have at most so many rows, else as it is (a shuffle join then)."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def projected(table: DataFrame, columns: Sequence[str] | None, rename: Mapping[str, str] | None) -> DataFrame:
     """Chooses columns by their old names, then renames."""
     if columns is not None:
