@@ -8,13 +8,14 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import textvec as tv
+
 #: Bits of a block of a key filter; bits for each key, and of a filter at most (32 MB).
 FILTER_BLOCK, FILTER_SHARE, FILTER_BITS = 1 << 16, 16, 1 << 28
 #: Rows of a key from which a join deals it out, and over how many places.
@@ -63,6 +64,7 @@ def carry(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def _give_back() -> None:
     """Returns freed memory to the system: idle workers keep it otherwise."""
+    tv.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -148,10 +150,10 @@ def key_filter(keys: DataFrame) -> Broadcast:
 def within(shared: Broadcast, key: Column) -> Column:
     """Whether a filter may hold a column of longs; null keys are not held."""
 
-    def has(k: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.has(k.to_numpy(np.int64)))
+    def has(k: pa.Array) -> pa.Array:
+        return pa.array(shared.value.has(k.to_numpy()))
 
-    return F.pandas_udf(has, "boolean")(F.coalesce(key, F.lit(0))) & key.isNotNull()
+    return F.arrow_udf(has, "boolean")(F.coalesce(key, F.lit(0))) & key.isNotNull()
 
 
 def join_heavy(many: DataFrame, one: DataFrame, keys: list[str], weight: str) -> DataFrame:

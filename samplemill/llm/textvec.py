@@ -69,6 +69,11 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(PIECE_BYTES, 1 << (size + 1).bit_length()) + 1)
 
 
+def forget() -> None:
+    """Drops the tables of powers, which are as long as the longest text so far."""
+    _powers.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> np.uint64(33))
