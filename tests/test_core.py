@@ -5,9 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from samplemill.functions.storage import cut
 from samplemill.metrics import classification as mc
-from samplemill.metrics import ranking as mk
 from samplemill.metrics import regression as mr
 from samplemill.metrics.base import interval
 from samplemill.operators import samples as so
@@ -52,23 +50,6 @@ def test_intervals_of_all_kinds_hold_the_estimate(spark):
     assert plain.std == pytest.approx(cells.std, rel=0.3)
 
 
-def test_bradley_terry_converges_to_the_fixed_point(spark):
-    rng = np.random.default_rng(5)
-    n, alpha = 6, 0.001
-    games = [(i, j, int(rng.integers(1, 9))) for i in range(n) for j in range(n) if i != j]
-    w, met = np.zeros(n), np.zeros((n, n))
-    for i, j, k in games:
-        w[i] += k
-        met[i, j] += k
-        met[j, i] += k
-    s = np.ones(n)
-    for _ in range(3000):
-        s = (w + alpha) / ((met / (s[:, None] + s[None, :])).sum(axis=1) + alpha)
-        s /= s.mean()
-    got = {r.item: r.strength for r in mk.bradley_terry(spark.createDataFrame(games, "winner int, loser int, n int"), tolerance=1e-6, cut=cut).collect()}
-    assert all(got[i] == pytest.approx(s[i], abs=1e-4) for i in range(n))
-
-
 def test_stored_folds_are_used_again_and_must_cover_the_keys(spark, tmp_path):
     path = str(tmp_path / "folds")
     rows = spark.range(40).select("id", (F.col("id") % 3).alias("k"))
