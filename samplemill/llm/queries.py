@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, licenses, lm, media, minhash, packing, pii, suffix, toxicity
+from . import bm25, bpe, licenses, lm, media, merkle, minhash, packing, pii, suffix, toxicity
 
 
 #: Key of the registered query only, which anyone can read here; real use brings a secret one.
@@ -61,9 +61,42 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle.proofs(merkle.manifest(docs, merkle.without_newlines(docs)))
+
+
+# bits of the id's decimal digits, the lowest of each byte first, go through the CRC's register
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda k: (ord(ch) >> CAST(k AS INTEGER)) & 1)))),
+    lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+MERKLE = f"""WITH RECURSIVE l AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, {_leaf("text")} AS h, CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS f FROM documents),
+t AS (SELECT source, 0 AS lv, i, h, count(*) OVER (PARTITION BY source) AS n FROM l
+  UNION ALL SELECT source, lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY source, lv, i // 3, n),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, lv AS top FROM t WHERE n = 1),
+u AS (SELECT 0 AS lv, i, subroot AS h, count(*) OVER () AS n FROM s UNION ALL SELECT lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lv, i // 3, n),
+w AS (SELECT source, lv, i, h FROM t WHERE n > 1 UNION ALL SELECT s.source, s.top + u.lv, u.i, u.h FROM u CROSS JOIN s WHERE u.n > 1),
+p AS (SELECT doc_id, l.source, l.i, 0 AS lv, l.f, '' AS proof, s.top, s.i AS si FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source
+  UNION ALL SELECT doc_id, source, i, lv + 1, sha256(string_agg(CASE WHEN j = own THEN f ELSE h END, '' ORDER BY j)), proof || coalesce(string_agg(h, '' ORDER BY j) FILTER (WHERE j <> own), ''), top, si
+  FROM (SELECT p.*, w.i AS j, w.h, CASE WHEN p.lv < top THEN p.i // CAST(pow(3, p.lv) AS BIGINT) ELSE si // CAST(pow(3, p.lv - top) AS BIGINT) END AS own FROM p JOIN w ON w.source IS NOT DISTINCT FROM p.source AND w.lv = p.lv
+    AND w.i // 3 = CASE WHEN p.lv < top THEN p.i // CAST(pow(3, p.lv + 1) AS BIGINT) ELSE si // CAST(pow(3, p.lv - top + 1) AS BIGINT) END) GROUP BY doc_id, source, i, lv, f, proof, top, si),
+r AS (SELECT h AS root, lv FROM u WHERE n = 1)
+SELECT p.doc_id, l.h AS leaf, s.subroot, r.root, sha256(p.proof) AS proof_sha256, p.f AS folded_root, p.f = r.root AS verified
+FROM p CROSS JOIN r JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN l ON l.source IS NOT DISTINCT FROM p.source AND l.i = p.i WHERE p.lv = p.top + r.lv"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op8_bm25, op9_minhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op8_bm25, op9_minhash, op10_bpe, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle": MERKLE}
