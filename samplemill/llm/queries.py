@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, licenses, lm, media, merkle, minhash, packing, pii, suffix, toxicity
+from . import bm25, bpe, licenses, lm, media, merkle, minhash, packing, pii, suffix, toxicity, warc
 
 
 #: Key of the registered query only, which anyone can read here; real use brings a secret one.
@@ -66,6 +66,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.manifest(docs, merkle.without_newlines(docs)))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).drop("intact")
+
+
 # bits of the id's decimal digits, the lowest of each byte first, go through the CRC's register
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda k: (ord(ch) >> CAST(k AS INTEGER)) & 1)))),
     lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
@@ -94,9 +98,15 @@ SELECT p.doc_id, l.h AS leaf, s.subroot, r.root, sha256(p.proof) AS proof_sha256
 FROM p CROSS JOIN r JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN l ON l.source IS NOT DISTINCT FROM p.source AND l.i = p.i WHERE p.lv = p.top + r.lv"""
 
 
+# 160 bits are eight times 20, which are four digits each
+_BASE32 = "(SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31), 1), '' ORDER BY k) FROM (SELECT CAST(unnest(range(32)) AS INTEGER) AS k))"
+WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op8_bm25, op9_minhash, op10_bpe, op11_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op8_bm25, op9_minhash, op10_bpe, op11_merkle, op12_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle": MERKLE}
+    return {"op11_merkle": MERKLE, "op12_warc": WARC}
