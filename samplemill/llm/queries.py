@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, licenses, lm, media, merkle, minhash, packing, pii, suffix, toxicity, warc
+from . import bm25, bpe, licenses, lm, media, merkle, minhash, negatives, packing, pii, suffix, toxicity, warc
 
 
 #: Key of the registered query only, which anyone can read here; real use brings a secret one.
@@ -70,6 +70,11 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).drop("intact")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.shifted_labels(negatives.usable(read(spark, sf_dir, "embeddings")))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 # bits of the id's decimal digits, the lowest of each byte first, go through the CRC's register
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda k: (ord(ch) >> CAST(k AS INTEGER)) & 1)))),
     lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
@@ -103,10 +108,18 @@ _BASE32 = "(SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((C
 WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p"""
 
+NEGATIVES = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op8_bm25, op9_minhash, op10_bpe, op11_merkle, op12_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_licenses, op4_pii, op5_lm, op6_media, op7_suffix, op8_bm25, op9_minhash, op10_bpe, op11_merkle, op12_warc, op13_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle": MERKLE, "op12_warc": WARC}
+    return {"op11_merkle": MERKLE, "op12_warc": WARC, "op13_negatives": NEGATIVES}
