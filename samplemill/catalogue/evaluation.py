@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, softmax
-from ..functions.storage import cut
+from ..functions.columns import col, softmax, uniform
 from ..metrics import classification as mc
 from ..metrics import masks as mm
 from ..metrics import ranking as mk
@@ -198,10 +199,15 @@ def mcnemar_counts(read):
     return mc.contingency("ok1", "ok2")(rows, ["lang"])
 
 
-U = uniform_sql("7", "replicate", "quality", "place")
-BOOT = f"""{C}, o AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY pred, pred2, doc_id) - 1 AS place, count(*) OVER (PARTITION BY quality) AS n FROM c),
-d AS (SELECT quality, replicate, CAST(floor({U} * n) AS BIGINT) AS place FROM o, (SELECT unnest(range(10000)) AS replicate)),
-b AS (SELECT replicate, avg(CASE WHEN o.pred = o.quality THEN 1e0 ELSE 0e0 END) AS v, avg(CASE WHEN o.pred2 = o.quality THEN 1e0 ELSE 0e0 END) AS v2 FROM d JOIN o ON o.quality = d.quality AND o.place = d.place GROUP BY replicate)"""
+# a cell's count is the quantile of its binomial, given what the cells before it left
+BOOT = f"""{C.replace("WITH", "WITH RECURSIVE", 1)}, g AS (SELECT quality, pred, pred2, w, row_number() OVER o AS i, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM (SELECT quality, pred, pred2, count(*) AS w FROM c GROUP BY ALL) WINDOW o AS (PARTITION BY quality ORDER BY pred, pred2)),
+n AS (SELECT quality, CAST(sum(w) AS BIGINT) AS n FROM g GROUP BY quality),
+m AS (SELECT quality, i, n, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(w / rest) + (n - j) * ln(1 - w / rest)) AS p FROM (SELECT g.quality, i, w, CAST(rest AS DOUBLE) AS rest, unnest(range(n + 1)) AS n FROM g JOIN n USING (quality) WHERE w < rest) x, LATERAL (SELECT unnest(range(x.n + 1)) AS j)),
+q AS (SELECT quality, i, n, list(p ORDER BY j) AS cdf FROM (SELECT quality, i, n, j, sum(p) OVER (PARTITION BY quality, i, n ORDER BY j) AS p FROM m) GROUP BY quality, i, n),
+d AS (SELECT replicate, quality, CAST(0 AS BIGINT) AS i, n AS left_over, CAST(0 AS BIGINT) AS k, 0 AS hit, 0 AS hit2 FROM n, (SELECT unnest(range(10000)) AS replicate)
+  UNION ALL SELECT replicate, quality, i, left_over - k, k, hit, hit2 FROM (SELECT d.replicate, d.quality, g.i, d.left_over, CASE WHEN q.cdf IS NULL THEN d.left_over ELSE least(len(list_filter(q.cdf, lambda x: x <= {uniform_sql("7", "d.replicate", "g.quality", "g.pred", "g.pred2")})), d.left_over) END AS k, CAST(g.pred = g.quality AS INT) AS hit, CAST(g.pred2 = g.quality AS INT) AS hit2
+    FROM d JOIN g ON g.quality = d.quality AND g.i = d.i + 1 LEFT JOIN q ON q.quality = g.quality AND q.i = g.i AND q.n = d.left_over)),
+b AS (SELECT replicate, sum(k * hit) / CAST(sum(k) AS DOUBLE) AS v, sum(k * hit2) / CAST(sum(k) AS DOUBLE) AS v2 FROM d GROUP BY replicate)"""
 
 
 @query(f"{BOOT}, l AS (SELECT list_sort(list(v)) AS vs FROM b) SELECT 'accuracy' AS name, round((SELECT avg(CASE WHEN pred = quality THEN 1e0 ELSE 0e0 END) FROM c), 6) AS org, round((SELECT avg(v) FROM b), 6) AS mean, round((SELECT stddev_pop(v) FROM b), 6) AS std, round(vs[251], 6) AS conf_lower, round(vs[9751], 6) AS conf_upper FROM l")
@@ -209,9 +215,21 @@ def bootstrap_ci_accuracy(read):
     return rounded(interval(lambda w: mc.accuracy("pred", "quality", w), "doc_id", ["quality"], seed=7, cells=["pred", "pred2"])(classes(read), []))
 
 
-@query(f"{BOOT} SELECT 'accuracy' AS name, count(*) AS replicates, round(1 - count_if(v - v2 > 0) / CAST(count(*) AS DOUBLE), 6) AS p_superiority, round(1 - count_if(v - v2 > 0) / CAST(count(*) AS DOUBLE), 6) AS p_noninferiority, 1e0 AS p_equality FROM b")
+def compared(read, margin: float, relative: bool):
+    return rounded(paired(lambda w: mc.accuracy("pred", "quality", w), lambda w: mc.accuracy("pred2", "quality", w), "doc_id", ["quality"], seed=7, margin=margin, relative=relative, cells=["pred", "pred2"])(classes(read), []))
+
+
+PAIRED = "SELECT 'accuracy' AS name, count(*) AS replicates, round(1 - count_if(v - v2 > {m}) / CAST(count(*) AS DOUBLE), 6) AS p_superiority, round(1 - count_if(v - v2 > -{m}) / CAST(count(*) AS DOUBLE), 6) AS p_noninferiority, round(1 - count_if(abs(v - v2) < {m}) / CAST(count(*) AS DOUBLE), 6) AS p_equality FROM b"
+
+
+@query(f"{BOOT} {PAIRED.format(m='0.0213e0')}")
 def paired_bootstrap(read):
-    return rounded(paired(lambda w: mc.accuracy("pred", "quality", w), lambda w: mc.accuracy("pred2", "quality", w), "doc_id", ["quality"], seed=7, cells=["pred", "pred2"])(classes(read), []))
+    return compared(read, 0.0213, False)
+
+
+@query(f"{BOOT} {PAIRED.format(m='(0.0437e0 * v2)')}")
+def paired_bootstrap_relative(read):
+    return compared(read, 0.0437, True)
 
 
 @query(f"{C} SELECT metric, name, round(value, 6) AS value FROM (SELECT 'acc' AS metric, 'accuracy' AS name, avg(CASE WHEN pred = quality THEN 1e0 ELSE 0e0 END) AS value FROM c UNION ALL SELECT 'err', 'mae', avg(abs(p - quality)) FROM c UNION ALL SELECT 'err', 'mse', avg(pow(p - quality, 2)) FROM c UNION ALL SELECT 'err', 'rmse', sqrt(avg(pow(p - quality, 2))) FROM c)")
@@ -331,12 +349,51 @@ def aggregate_pair_scores(read):
     return mk.pair_scores(rows.withColumn("rank", F.row_number().over(Window.partitionBy("batch").orderBy("q", "item"))))
 
 
-@query()
+BATCHED = f"""WITH i AS (SELECT p_partkey AS item, CAST(p_retailprice AS DOUBLE) AS v, count(*) OVER () AS n FROM part), d AS (SELECT item, v, r * round(n / 8) + floor({uniform_sql("5", "r", "item")} * round(n / 8)) AS batch FROM i, LATERAL (SELECT CAST(unnest(range(CAST(ceil(ceil(2 * i.n * log10(i.n)) / i.n) AS BIGINT))) AS BIGINT) AS r)),
+k AS (SELECT batch, item, row_number() OVER (PARTITION BY batch ORDER BY v * (0.8e0 + 0.4e0 * {uniform_sql("noise", "CAST(batch AS BIGINT)", "item")}), item) AS p FROM d),
+s AS (SELECT DISTINCT x.item AS high, y.item AS low FROM k x JOIN k y ON x.batch = y.batch AND x.p < y.p)
+SELECT item, CAST(coalesce(sum(s), 0) AS BIGINT) AS score FROM i LEFT JOIN (SELECT high AS item, 1 AS s FROM s UNION ALL SELECT low, -1 FROM s) USING (item) GROUP BY item"""
+
+
+def priced_parts(read):
+    return read("part").select(F.col("p_partkey").alias("item"), F.col("p_retailprice").cast("double").alias("v"))
+
+
+@query(BATCHED)
+def aggregate_rankings(read):
+    return mk.aggregate_rankings(priced_parts(read), lambda batch: F.col("v") * (F.lit(0.8) + F.lit(0.4) * uniform("noise", batch, "item")), seed=5)
+
+
+WINS = """WITH RECURSIVE e AS (SELECT CAST(label AS BIGINT) AS label, embedding[1] AS a, (label + 1 + CAST(floor(abs(CAST(embedding[2] AS DOUBLE)) * 1000) AS BIGINT) % 8) % 10 AS other FROM embeddings),
+w AS (SELECT CASE WHEN a > 0 THEN label ELSE other END AS winner, CASE WHEN a > 0 THEN other ELSE label END AS loser, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT winner AS item FROM w UNION SELECT loser FROM w),
+m AS (SELECT list(item ORDER BY item) AS items, list(won ORDER BY item) AS m, count(*) AS n FROM (SELECT x.item, list(CASE WHEN x.item = y.item THEN 0e0 ELSE coalesce(w.n, 0e0) END ORDER BY y.item) AS won FROM i x CROSS JOIN i y LEFT JOIN w ON winner = x.item AND loser = y.item GROUP BY x.item)),
+r AS (SELECT 0 AS k, list_transform(items, lambda x: 1e0) AS t FROM m UNION ALL SELECT k + 1, list_transform(range(1, n + 1), lambda i: pow(s[i], 0.25e0) * pow((list_sum(list_transform(range(1, n + 1), lambda j: m[i][j] * s[j] / (s[i] + s[j]))) + 0.001e0 * (list_sum(s) - s[i])) / (list_sum(list_transform(range(1, n + 1), lambda j: m[j][i] / (s[i] + s[j]))) + 0.001e0 * (n - 1)), 0.75e0)) FROM (SELECT k, m, n, list_transform(t, lambda x: x * n / list_sum(t)) AS s FROM r, m WHERE k < 300))
+SELECT unnest(items) AS item, round(unnest(list_transform(t, lambda x: x * n / list_sum(t))), 6) AS strength FROM r, m WHERE k = 300"""
+
+
+@query(WINS)
 def bradley_terry(read):
-    e = read("embeddings").select("label", F.element_at("embedding", 1).alias("a"), F.element_at("embedding", 2).alias("b"))
-    other = (F.col("label") + 1 + F.pmod(F.floor(F.abs("b") * 1000), F.lit(8))) % 10
+    e = read("embeddings").select(F.col("label").cast("long").alias("label"), F.element_at("embedding", 1).alias("a"), F.element_at("embedding", 2).cast("double").alias("b"))
+    other = (F.col("label") + 1 + F.floor(F.abs("b") * 1000) % 8) % 10
     wins = e.select(F.when(F.col("a") > 0, F.col("label")).otherwise(other).alias("winner"), F.when(F.col("a") > 0, other).otherwise(F.col("label")).alias("loser"), F.lit(1).alias("n"))
-    return rounded(mk.bradley_terry(wins, rounds=8, cut=cut))
+    return rounded(mk.luce_spectral(wins))
+
+
+def active_sql(rounds: int, games: int, seed: int, confidence: float) -> str:
+    reach = repr(math.sqrt(math.log(2 / (1 - confidence)) / (2 * games))) + "e0"
+    out = f"""WITH i AS (SELECT p_partkey AS item, CAST(p_retailprice AS DOUBLE) AS v FROM part), s0 AS (SELECT item, v, count(*) OVER () AS n, {uniform_sql(seed, "'start'", "item")} AS at0, 0e0 AS low, CAST(count(*) OVER () AS DOUBLE) AS high, 0 AS games FROM i)"""
+    for r in range(rounds):
+        out += f""", o{r} AS (SELECT *, least(CAST(floor(low) AS BIGINT), place) AS a, greatest(least(CAST(ceil(high) AS BIGINT), n) - 1, place) AS b FROM (SELECT *, row_number() OVER (ORDER BY at0, item) - 1 AS place FROM s{r})),
+d{r} AS (SELECT item, v, CASE WHEN slot >= place THEN slot + 1 ELSE slot END AS place FROM (SELECT item, v, place, a + CAST(floor({uniform_sql(seed, str(r), "item", "k")} * (b - a)) AS BIGINT) AS slot FROM o{r}, (SELECT unnest(range({games})) AS k) WHERE b > a)),
+w{r} AS (SELECT item, count_if(CASE WHEN {uniform_sql("noise", "other", "item")} < 0.1e0 THEN {uniform_sql("coin", "other", "item")} < 0.5e0 ELSE ov < v END) / {games}e0 AS share FROM (SELECT d.item, d.v, o.item AS other, o.v AS ov FROM d{r} d JOIN o{r} o USING (place)) GROUP BY item),
+s{r + 1} AS (SELECT o.item, v, n, coalesce(a + (b - a + 1) * share, at0) AS at0, CASE WHEN share IS NULL THEN low ELSE greatest(a + (b - a + 1) * share - (b - a + 1) * {reach}, a) END AS low, CASE WHEN share IS NULL THEN high ELSE least(a + (b - a + 1) * share + (b - a + 1) * {reach}, b + 1e0) END AS high, games + CASE WHEN share IS NULL THEN 0 ELSE {games} END AS games FROM o{r} o LEFT JOIN w{r} w USING (item))"""
+    return out + f" SELECT item, row_number() OVER (ORDER BY at0, item) - 1 AS place, round(low, 6) AS low, round(high, 6) AS high, CAST(games AS BIGINT) AS games FROM s{rounds}"
+
+
+@query(active_sql(3, 32, 3, 0.95))
+def active_ranking(read):
+    noisy = lambda a, b: F.when(uniform("noise", a["item"], b["item"]) < 0.1, uniform("coin", a["item"], b["item"]) < 0.5).otherwise(a["v"] < b["v"])
+    return rounded(mk.active_ranking(priced_parts(read), noisy, rounds=3, seed=3))
 
 
 @query(f"{S} SELECT doc_id, round(p, 6) AS p FROM s WHERE p > 0.9e0")

@@ -11,6 +11,7 @@ from ..functions import stats
 from ..functions.columns import col, uniform
 from ..functions.running import numbered
 from ..functions.storage import cut
+from .bootstrap import draws
 
 Metric = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -87,45 +88,24 @@ def resampled(df: DataFrame, replicates: int, key: str, strata: Sequence[str], b
     places = cut(places)
     rows = join_groups(df, places, [*groups, key]).withColumnRenamed("place", "__place")
     sizes = places.groupBy(*map(col, groups)).agg(F.count("*").alias("__n"))
-    draws = join_groups(places, sizes, groups).select(*map(col, groups), "__n", "place", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = join_groups(places, sizes, groups).select(*map(col, groups), "__n", "place", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     u = uniform(seed, F.col("replicate"), *map(col, strata), F.col("place"))
-    draws = draws.select(*map(col, groups), "replicate", F.floor(u * F.col("__n")).cast("long").alias("__place"))
+    drawn = drawn.select(*map(col, groups), "replicate", F.floor(u * F.col("__n")).cast("long").alias("__place"))
     # equal draws of one replicate become a weight before the join
-    draws = draws.groupBy(*map(col, groups), "replicate", "__place").agg(F.count("*").alias("__times"))
-    return join_groups(draws, rows, [*groups, "__place"]).drop("__place")
-
-
-def resampled_cells(df: DataFrame, replicates: int, cells: Sequence[str], strata: Sequence[str], by: Sequence[str], seed: object) -> DataFrame:
-    """As `resampled`, for metrics that read the columns `cells` only: rows equal in them count as one, with the
-    number of their draws in `__times`.
-
-    Cells of a stratum stand side by side in their order, so that a draw's cell follows from its place in a short
-    sorted list and no drawn row moves: each task sends one row for a replicate and cell."""
-    groups = list(dict.fromkeys([*by, *strata]))
-    own = list(dict.fromkeys([*groups, *cells]))
-    counts = df.groupBy(*map(col, own)).agg(F.count("*").alias("__n"))
-    kind = F.struct(*(col(c).alias(c) for c in own if c not in groups), F.col("__n").alias("__n"))
-    lists = cut(counts.groupBy(*map(col, groups)).agg(F.array_sort(F.collect_list(kind)).alias("__cells"), F.sum("__n").alias("__all")))
-    ends = F.aggregate(F.col("__cells"), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x["__n"])))
-    lists = lists.withColumn("__ends", F.when(F.size("__cells") > 0, ends))
-    # replicates are dealt to tasks; each holds the short lists of all strata
-    many = df.sparkSession.range(0, replicates, 1, max(1, min(replicates, df.sparkSession.sparkContext.defaultParallelism * 4))).withColumnRenamed("id", "replicate")
-    u = lambda i: F.floor(uniform(seed, F.col("replicate"), *map(col, strata), i) * F.col("__all")).cast("long")
-    at = lambda i: F.size(F.filter(F.col("__ends"), lambda e: e <= u(i)))
-    draws = many.join(F.broadcast(lists)).select(*map(col, groups), "replicate", "__cells", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__all") - 1)).alias("__i"), "__all", "__ends")
-    drawn = draws.select(*map(col, groups), "replicate", F.get("__cells", at(F.col("__i"))).alias("__c")).groupBy(*map(col, groups), "replicate", "__c").agg(F.count("*").alias("__times"))
-    return drawn.select(*map(col, groups), "replicate", *(F.col("__c").getField(c).alias(c) for c in own if c not in groups), "__times")
+    drawn = drawn.groupBy(*map(col, groups), "replicate", "__place").agg(F.count("*").alias("__times"))
+    return join_groups(drawn, rows, [*groups, "__place"]).drop("__place")
 
 
 def _drawn(df: DataFrame, replicates: int, key: str, cells: Sequence[str] | None, strata: Sequence[str], by: Sequence[str], seed: object) -> DataFrame:
     if cells is not None:
-        return resampled_cells(df, replicates, cells, strata, by, seed)
+        return draws(df, replicates, cells, list(dict.fromkeys([*by, *strata])), strata, seed)
     return resampled(df, replicates, key, strata, by, seed)
 
 
 def interval(metric: Callable[[str | None], Metric], key: str, strata: Sequence[str] = (), replicates: int = 10_000, seed: object = 1234, percent: float = 95, method: str = "percentile", cells: Sequence[str] | None = None) -> Metric:
     """(*by, name, org, mean, std, conf_lower, conf_upper) by stratified bootstrap; `metric` makes the metric for a
-    column of weights, or for none. With `cells`, the few columns that the metric reads, equal rows count as one.
+    column of weights, or for none. With `cells`, the columns that the metric reads, equal rows are drawn as
+    multinomial counts, at a cost that does not grow with the rows.
 
     percentile: the values in places floor(r n) and floor((1 - r) n) of the sorted replicates; pivotal: 2 org
     minus these; normal: org +- z std."""

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, uniform
+from ..functions.columns import uniform
+from ..functions.running import placed
+from ..functions.storage import Rounds, cut
 
 
 def default_budget(items: int) -> int:
@@ -35,23 +37,94 @@ def pair_scores(ranked: DataFrame) -> DataFrame:
     return both.groupBy("x.item").agg(F.sum("x.s").alias("score"))
 
 
-def bradley_terry(wins: DataFrame, alpha: float = 0.001, rounds: int = 100, tolerance: float = 1e-9, cut: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
-    """(item, strength) by the minorisation step strength = (wins + alpha) / sum over games of 1 / (both strengths), scaled to a
-    mean of 1. `wins` has winner, loser and n. Each round is one join and one aggregation; its small table is checkpointed."""
-    games = cut(wins.groupBy("winner", "loser").agg(F.sum("n").cast("double").alias("n")))
-    won = games.groupBy(F.col("winner").alias("item")).agg(F.sum("n").alias("w"))
-    every = games.select(F.explode(F.array("winner", "loser")).alias("item")).distinct()
-    met = games.select(F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), "n"), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), "n"))).alias("x")).groupBy("x.item", "x.other").agg(F.sum("x.n").alias("n"))
-    met, base = cut(met), cut(every.join(won, "item", "left").select("item", (F.coalesce("w", F.lit(0.0)) + alpha).alias("w")))
-    now = base.select("item", F.lit(1.0).alias("strength"))
+def aggregate_rankings(items: DataFrame, order: Callable[[str], Column], batch: int = 8, budget: int | None = None, seed: object = 0, item: str = "item") -> DataFrame:
+    """(item, score): a ranking model's orders of drawn batches, aggregated; larger scores rank higher.
+
+    `order(batch)` gives the sort key of an item within its batch (name of the column of batches), the first being the highest;
+    equal keys are ordered by item. The budget is of ranked items, by default 2 n log10 n; items that no pair holds score 0."""
+    n = items.count()
+    drawn = draw_batches(items, batch, default_budget(n) if budget is None else budget, seed, item)
+    rows = drawn.join(items.withColumnRenamed(item, "item"), "item").withColumn("__key", order("batch"))
+    # batches are small by their making: a batch's items are one short list
+    lists = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(F.col("__key").alias("k"), F.col("item").alias("i")))).alias("l"))
+    ranked = lists.select("batch", F.posexplode("l").alias("p", "x")).select("batch", F.col("x.i").alias("item"), (-F.col("p")).alias("rank"))
+    scores = pair_scores(ranked)
+    return items.select(F.col(item).alias("item")).join(scores, "item", "left").select("item", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+
+
+def luce_spectral(wins: DataFrame, alpha: float = 0.001, rounds: int = 1000, tolerance: float = 1e-9) -> DataFrame:
+    """(item, strength), of mean 1, from won games (winner, loser, n): the maximum-likelihood strengths of Bradley, Terry and Luce by
+    iterated spectral ranking (Maystre and Grossglauser 2015).
+
+    Losers pass their weight to winners in a chain whose rates n / (both strengths) are those of its own stationary
+    distribution. A round is one lazy step of power iteration with fresh rates: what flows in over what
+    flows out, taken with three quarters of its logarithm as chains of two sides swing otherwise. `alpha` is the rate
+    between any two items (of strengths of mean 1), so that strengths are finite where an item never loses; its flow needs
+    the strengths' sum only, and the chain stays as sparse as the games. It ends where no logarithm of a strength moves by
+    `tolerance`, and fails after `rounds`. Games of an item with itself or with a null count nothing; no games, no rows."""
+    keep = Rounds(wins.sparkSession)
+    games = wins.where("winner is not null and loser is not null and winner != loser").groupBy("winner", "loser").agg(F.sum("n").cast("double").alias("n"))
+    sides = F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), F.col("n").alias("won"), F.lit(0.0).alias("lost")), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), F.lit(0.0).alias("won"), F.col("n").alias("lost")))
+    met = cut(games.select(F.explode(sides).alias("x")).groupBy("x.item", "x.other").agg(F.sum("x.won").alias("won"), F.sum("x.lost").alias("lost")))
+    now = keep.stored(met.select("item").distinct().withColumn("strength", F.lit(1.0)))
+    n = now.count()
     for _ in range(rounds):
+        if n < 2:
+            break
         own, other = now.withColumnRenamed("strength", "s"), now.select(F.col("item").alias("other"), F.col("strength").alias("o"))
-        rate = met.join(own, "item").join(other, "other").groupBy("item").agg(F.sum(F.col("n") / (F.col("s") + F.col("o"))).alias("d"))
-        new = base.join(rate, "item").select("item", ratio(F.col("w"), F.col("d") + alpha).alias("strength"))
-        mean = new.agg(F.avg("strength")).first()[0] or 1.0
-        new = cut(new.withColumn("strength", F.col("strength") / F.lit(mean)))
-        change = new.join(own, "item").agg(F.max(F.abs(F.col("strength") - F.col("s")))).first()[0]
-        now = new
-        if change is None or change < tolerance:
+        pace = F.col("s") + F.col("o")
+        flow = met.join(other, "other").join(own, "item").groupBy("item", "s").agg(F.sum(F.col("won") * F.col("o") / pace).alias("in_"), F.sum(F.col("lost") / pace).alias("out"))
+        new = (F.col("in_") + F.lit(alpha) * (F.lit(float(n)) - F.col("s"))) / (F.col("out") + F.lit(alpha * (n - 1)))
+        new = F.pow("s", F.lit(0.25)) * F.pow(new, F.lit(0.75))
+        moved = F.coalesce(F.abs(F.log(new) - F.log("s")), F.when(new == F.col("s"), 0.0).otherwise(F.lit(float("inf"))))
+        stepped = keep.stored(flow.select("item", new.alias("strength"), moved.alias("moved")))
+        total, change = stepped.agg(F.sum("strength"), F.max("moved")).first()
+        now = stepped.select("item", (F.col("strength") * F.lit(n / total)).alias("strength"))
+        if change < tolerance:
+            break
+    else:
+        raise RuntimeError(f"strengths still move by {change} after {rounds} rounds")
+    return cut(now)
+
+
+def active_ranking(items: DataFrame, before: Callable[[Column, Column], Column], games: int = 32, confidence: float = 0.95, budget: int | None = None, rounds: int = 16, seed: object = 0, item: str = "item") -> DataFrame:
+    """(item, place, low, high, games): a ranking from noisy comparisons, in rounds in which bounds choose the comparisons.
+
+    `before(a, b)` says, for two structs of an item's columns, whether a ranks before b. In a round each item that
+    is not settled meets `games` others, drawn from the places between its bounds. The share that ranks before it
+    puts it at a place between them, and Hoeffding's bounds of that share are its next bounds; an item is settled when no
+    other lies between them. A round is one sort, one join and one aggregation of all comparisons. Rounds end with the
+    budget of comparisons (by default as many as 4 rounds of all items), when all are settled, or after `rounds`. `place` is the
+    final order's, from 0; ties are ordered by item, which must be distinct; null items take no part."""
+    items = cut(items.where(F.col(item).isNotNull()).withColumnRenamed(item, "item"))
+    keep, n = Rounds(items.sparkSession), items.count()
+    left = 4 * games * n if budget is None else budget
+    now = keep.stored(items.select("item", uniform(seed, F.lit("start"), "item").alias("at"), F.lit(0.0).alias("low"), F.lit(float(n)).alias("high"), F.lit(0).cast("long").alias("games")))
+    reach = math.sqrt(math.log(2 / (1 - confidence)) / (2 * games))
+    for r in range(rounds):
+        order = cut(placed(now, "at", "item").select("item", "place"))
+        state = now.join(order, "item")
+        a, b = F.floor("low").cast("long"), F.least(F.ceil("high").cast("long"), F.lit(n)) - 1
+        state = state.withColumns({"a": F.least(a, F.col("place")), "b": F.greatest(b, F.col("place"))}).withColumn("others", F.col("b") - F.col("a"))
+        open_ = state.where("others > 0")
+        # the places between the bounds but one's own
+        draws = open_.select("item", "place", "a", "others", F.explode(F.sequence(F.lit(0), F.lit(games - 1))).alias("i"))
+        slot = F.col("a") + F.floor(uniform(seed, F.lit(r), "item", "i") * F.col("others")).cast("long")
+        draws = draws.select("item", F.when(slot >= F.col("place"), slot + 1).otherwise(slot).alias("place"))
+        pairs = draws.join(order.withColumnRenamed("item", "other"), "place").select("item", "other")
+        own = items.select("item", F.struct(*items.columns).alias("__a"))
+        met = items.select(F.col("item").alias("other"), F.struct(*items.columns).alias("__b"))
+        won = pairs.join(met, "other").join(own, "item").select("item", before(F.col("__b"), F.col("__a")).cast("long").alias("earlier"))
+        shares = won.groupBy("item").agg((F.sum("earlier") / F.lit(float(games))).alias("share"))
+        spread = F.col("b") - F.col("a") + 1
+        low, high = (F.col("a") + spread * F.col("share") + sign * spread * F.lit(reach) for sign in (-1, 1))
+        stepped = state.join(shares, "item", "left")
+        new = stepped.select(
+            "item", F.when(F.col("share").isNull(), F.col("at")).otherwise(F.col("a") + spread * F.col("share")).alias("at"), F.when(F.col("share").isNull(), F.col("low")).otherwise(F.greatest(low, F.col("a").cast("double"))).alias("low"),
+            F.when(F.col("share").isNull(), F.col("high")).otherwise(F.least(high, F.col("b") + F.lit(1.0))).alias("high"), (F.col("games") + F.when(F.col("share").isNull(), 0).otherwise(games)).alias("games"),
+        )
+        now = keep.stored(new)
+        compared = now.agg(F.sum("games")).first()[0] or 0
+        if compared + games > left or compared == 0 or now.where(F.floor("low") + 1 < F.least(F.ceil("high"), F.lit(n))).isEmpty():
             break
-    return now
+    return cut(now.join(placed(now, "at", "item").select("item", "place"), "item").select("item", "place", "low", "high", "games"))
