@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import digitize
 from ..operators import events as ev
 from ..operators import tokens as tk
+from ..operators import tries as tr
 from .base import query, rounded
 
 
@@ -128,3 +129,54 @@ def json_property(read):
 @query(f"{D} SELECT event_id, CAST(CAST(hour >= 6 AS INT) + CAST(hour >= 12 AS INT) + CAST(hour >= 18 AS INT) AS BIGINT) AS part FROM v")
 def hour_bins(read):
     return daily(read).select("event_id", digitize(F.col("hour"), F.array(F.lit(6), F.lit(12), F.lit(18))).alias("part"))
+
+
+# -- sub-tokenizers and injected values ------------------------------------------------------
+
+SPECIAL = ["<PAD>", "<UNK>", "<SCALAR>", "<EMBEDDINGS>"]
+VOCABULARIES = f"""WITH RECURSIVE n0 AS (SELECT unnest([substr(p_name, 1, 3), substr(p_name, 4, 1), substr(p_name, 5, 2), 'e', ' ', substr(p_name, 1, 2)]) AS token FROM part), n AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS id FROM n0 WHERE token <> '' GROUP BY token),
+b0 AS (SELECT unnest([substr(p_brand, 1, 6), substr(p_brand, 7, 1), '1', '2']) AS token FROM part), b AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 + (SELECT count(*) FROM n) AS id FROM b0 WHERE token <> '' GROUP BY token),
+v AS (SELECT 'NAME' AS kind, token, id FROM n UNION ALL SELECT 'BRAND', token, id FROM b UNION ALL SELECT k, {SPECIAL}[i + 1], i FROM (SELECT unnest(['NAME', 'BRAND']) AS k), (SELECT unnest(range(4)) AS i)),
+g AS (SELECT p_partkey, 0 AS s, 'NAME' AS kind, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, 'BRAND', p_brand FROM part),
+w AS (SELECT p_partkey, s, kind, text, CAST(1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS was, CAST(NULL AS BIGINT) AS id FROM g UNION ALL SELECT w.p_partkey, w.s, w.kind, w.text, w.pos + coalesce(max(len(token)), 1), w.pos, coalesce(arg_max(v.id, len(token)), 1) FROM w LEFT JOIN v ON v.kind = w.kind AND starts_with(substr(w.text, w.pos), v.token) WHERE w.pos <= len(w.text) GROUP BY w.p_partkey, w.s, w.kind, w.text, w.pos),
+t AS (SELECT p_partkey, s, list(id ORDER BY was) AS ids FROM w WHERE was IS NOT NULL GROUP BY 1, 2)"""
+
+
+def part_vocabularies(read):
+    """(kind, token, id): pieces of names and of brands, in one space of ids behind the shared special tokens."""
+    piece = lambda c, *at: F.substring(c, *at)
+    n = read("part").select(F.explode(F.array(piece("p_name", 1, 3), piece("p_name", 4, 1), piece("p_name", 5, 2), F.lit("e"), F.lit(" "), piece("p_name", 1, 2))).alias("token"))
+    b = read("part").select(F.explode(F.array(piece("p_brand", 1, 6), piece("p_brand", 7, 1), F.lit("1"), F.lit("2"))).alias("token"))
+    own = lambda df: ev.vocabulary(df.where("token != ''"), "token")
+    return tk.merged_vocabulary({"NAME": own(n), "BRAND": own(b)}, SPECIAL)
+
+
+@query(f"{VOCABULARIES} SELECT kind, token, CAST(id AS BIGINT) AS id FROM v")
+def merged_vocabulary(read):
+    return part_vocabularies(read)
+
+
+@query(f"""{VOCABULARIES}, c AS (SELECT p_partkey, ids[1:5] AS a, len(ids) AS n FROM t WHERE s = 0), r AS (SELECT p_partkey, a || ids AS ids, n, len(a) AS na, len(ids) AS nb FROM c JOIN t USING (p_partkey) WHERE s = 1)
+SELECT p_partkey, list_transform(range(12), lambda i: coalesce(ids[i + 1], 0)) AS ids, CAST(len(list_filter(ids, lambda x: x = 1)) AS BIGINT) AS n_unknown, [na, nb] AS segment_sizes, CASE WHEN n > 5 THEN 'NAME:' || n || '=>5|' ELSE '' END || CASE WHEN na + nb > 12 THEN 'OVERALL:' || (na + nb) || '=>12|' ELSE '' END AS overflow FROM r""")
+def sub_tokenizers(read):
+    text = F.concat(F.lit("<@TOKENIZER-TYPE=NAME@MAX-LEN=5>"), "p_name", F.lit("<@TOKENIZER-TYPE=BRAND>"), "p_brand")
+    rows = read("part").select("p_partkey", tk.parse(text).alias("segments"))
+    return tr.tokenise(rows, "p_partkey", "segments", part_vocabularies(read), 12, 0, 1).select("p_partkey", "ids", "n_unknown", "segment_sizes", "overflow")
+
+
+@query(f"""{VOCABULARIES}, c AS (SELECT p_partkey, len(ids) AS n FROM t WHERE s = 0), x AS (SELECT c.p_partkey, n, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price, vec_id, embedding FROM c JOIN part USING (p_partkey) LEFT JOIN embeddings ON vec_id = c.p_partkey)
+SELECT p_partkey, list_transform(range(20), lambda i: CASE i - n WHEN 0 THEN size WHEN 1 THEN 1.5e0 WHEN 5 THEN price WHEN 6 THEN size ELSE -1000e0 END) AS scalars, list_transform(range(20), lambda i: i - n IN (0, 1, 5, 6)) AS scalars_valid,
+list_transform(range(20), lambda i: CASE WHEN i - n BETWEEN 2 AND 4 AND i - n - 2 <= vec_id % 4 THEN round(CAST(embedding[(i - n - 2) * 4 + 1] AS DOUBLE), 6) + 0e0 ELSE -9e0 END) AS first, n + 2 AS location FROM x""")
+def inject_embeddings(read):
+    text = F.concat(
+        F.lit("<@TOKENIZER-TYPE=NAME>"), "p_name", F.lit("<@TOKENIZER-TYPE=SCALARS_LITERALS>"), F.col("p_size").cast("string"), F.lit(",1.5<@TOKENIZER-TYPE=EXTERNAL_EMBEDDINGS_FROM_DICT>m1:"), F.col("p_partkey").cast("string"),
+        F.lit(":3<@TOKENIZER-TYPE=SCALARS_FROM_DICT>price<@TOKENIZER-TYPE=BRAND>"), "p_brand",
+    )
+    values = {"price": F.array(F.col("p_retailprice").cast("double"), F.col("p_size").cast("double"))}
+    rows = read("part").withColumn("segments", tk.parse(text)).withColumn("held", tr.placeholders(F.col("segments"), "NAME", values))
+    rows = tr.tokenise(rows, "p_partkey", "held", part_vocabularies(read), 20, 0, 1)
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("vec_id") % 4)).alias("at")
+    vectors = read("embeddings").select(F.lit("m1").alias("model"), F.col("vec_id").cast("string").alias("name"), "embedding", at).withColumn("vector", F.slice("embedding", (F.col("at") * 4 + 1).cast("int"), 4))
+    out = tr.inject(rows, "p_partkey", "segments", vectors, values)
+    first = F.transform("embeddings", lambda v: F.coalesce(F.round(F.get(v, F.lit(0)).cast("double"), 6) + F.lit(0.0), F.lit(-9.0)))
+    return out.select("p_partkey", "scalars", "scalars_valid", first.alias("first"), F.get("external", F.lit(0))["location"].alias("location"))
