@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, digitize, nest, sub_tree
+from ..functions.storage import shared_folder
+from ..operators.control import ID, INITIAL
+from ..operators import attempts as oa
 from ..operators import control as oc
 from ..operators import samples as so
-from ..plans.dataset import audit, export, get_multi, with_final_ids
+from ..plans.dataset import Growing, audit, export, from_ids, get_multi, with_final_ids
 from ..plans.evaluator import resolve
 from ..plans.pipeline import Pipeline, summary
 from ..sources import tables as st
@@ -270,3 +275,61 @@ def get_multi_ordered(read):
 def final_ids(read):
     good = read("customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
     return with_final_ids(read("orders"), good, key="o_custkey").select("o_orderkey", "o_custkey")
+
+
+# -- key slices, failures as values, growing datasets ------------------------------------------
+
+
+def sliced_steps() -> Pipeline:
+    """Steps of which the wanted keys need some; one would stop any query that ran it."""
+    stop = so.apply(lambda x: F.raise_error(F.lit("this step is not wanted")).cast("double"), ["b"], "stopped")
+    return Pipeline.of("sliced", so.matrix("embedding", "m", 8), so.transpose("m"), stop, so.normalise_self("embedding", 2.0), so.copy("embedding", "n"), so.set_value("flag", 1), so.delete("b"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round((CAST(x AS DOUBLE) - list_min(embedding)) * 2 / (CAST(list_max(embedding) AS DOUBLE) - list_min(embedding)), 6) + 0e0) AS n FROM embeddings")
+def key_slice(read):
+    rows = read("embeddings").withColumn("b", F.lit(1.0))
+    return sliced_steps().only(rows, ["vec_id", "n"]).select("vec_id", rounded_vector("n"))
+
+
+def brand_number(brand: str) -> int:
+    n = int(brand.split("#")[1])
+    if n > 20:
+        raise ValueError(f"{n} is too large")
+    return n
+
+
+def failing_steps() -> Pipeline:
+    """A Python step that fails for some brands, then a checked one that fails for sizes under 5."""
+    ratio = oa.checked(so.apply(lambda n, s: n / s, ["number", "p_size"], "ratio"), F.col("p_size") < 5, F.lit("small"), "p_partkey")
+    return Pipeline("part", [("number", oa.python_step(brand_number, ["p_brand"], "number", "long", "p_partkey")), ("ratio", ratio)])
+
+
+FAILED = """WITH p AS (SELECT p_partkey, p_size, CAST(split_part(p_brand, '#', 2) AS BIGINT) AS b FROM part)"""
+
+
+@query(f"""{FAILED} SELECT p_partkey, CASE WHEN b <= 20 THEN b END AS number, CASE WHEN b <= 20 AND p_size >= 5 THEN round(b / CAST(p_size AS DOUBLE), 6) END AS ratio, CASE WHEN b > 20 THEN 'part.number' WHEN p_size < 5 THEN 'part.ratio' END AS step,
+CASE WHEN b > 20 OR p_size < 5 THEN CAST(p_partkey AS VARCHAR) END AS sample, CASE WHEN b > 20 THEN 'ValueError: ' || b || ' is too large' WHEN p_size < 5 THEN 'small' END AS message FROM p""")
+def step_failures(read):
+    out = oa.settle(failing_steps()(read("part").select("p_partkey", "p_brand", "p_size")), "keep")
+    e = col(oa.ERROR)
+    return rounded(out.select("p_partkey", "number", "ratio", e["step"].alias("step"), e["sample"].alias("sample"), e["message"].alias("message")))
+
+
+@query(f"{FAILED} SELECT p_partkey, CASE WHEN b > 20 OR p_size < 5 THEN -1e0 ELSE round(b / CAST(p_size AS DOUBLE), 6) END AS ratio FROM p")
+def step_failures_replaced(read):
+    out = oa.settle(failing_steps()(read("part").select("p_partkey", "p_brand", "p_size")), "replace", {"ratio": -1.0})
+    return rounded(out.select("p_partkey", "ratio"))
+
+
+@query("SELECT CAST(k AS INTEGER) AS part, CAST(count(*) AS BIGINT) AS ids, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 2 END) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS differing FROM (SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE 1 END AS k FROM orders) GROUP BY k")
+def growing_dataset(read):
+    """Two additions of overlapping samples to a dataset whose pipeline drops a third of them and splits the others in two."""
+    table = read("orders")
+    orders = from_ids(table, "o_orderkey").join(table.select(col("o_orderkey").alias(ID), col("o_custkey").alias("customer")), ID)
+    steps = Pipeline.of("orders", oc.drop_if(col(ID) % 3 == 0, siblings=False), oc.split(2))
+    store = Growing(orders.sparkSession, f"{shared_folder(orders.sparkSession)}/orders-{uuid.uuid4().hex}")
+    store.add(steps, orders.where("customer % 4 = 0"))
+    store.add(steps, orders)
+    sizes = orders.sparkSession.createDataFrame([(m["part"], m["ids"], m["rows"]) for m in store.parts()], "part int, ids long, rows long")
+    return sizes.join(store.audit(steps, orders).drop("folder"), "part")

@@ -121,7 +121,7 @@ def _resized(stack: np.ndarray, axis: int, m: int, method: str, smooth: bool) ->
     return out
 
 
-@op
+@op(reads="key", writes="to|key")
 def resize(df: DataFrame, key: str, shape: Sequence[int], to: str | None = None, method: str = "linear", smooth: bool = True) -> DataFrame:
     """The image (2 axes) or volume (3) in another shape, axis by axis; see taps()."""
 
@@ -133,7 +133,7 @@ def resize(df: DataFrame, key: str, shape: Sequence[int], to: str | None = None,
     return _each(df, key, to, len(shape), run)
 
 
-@op
+@op(reads="key", writes="to|key")
 def resize_and_pad(df: DataFrame, key: str, shape: tuple[int, int], padding: tuple[int, int] = (0, 0), to: str | None = None, fill: float = 0.0) -> DataFrame:
     """Shrinks an image that is larger than `shape`, keeping its proportions, and lays it in the middle of an image of `shape`
     with `padding` on both sides of each axis."""
@@ -183,7 +183,7 @@ def _number(x: Column | float) -> Column:
     return (x if isinstance(x, Column) else F.lit(float(x))).cast("double")
 
 
-@op
+@op(reads="key", writes="to|key")
 def affine(df: DataFrame, key: str, to: str | None = None, rotate: Column | float = 0.0, translate: tuple = (0.0, 0.0), scale: Column | float = 1.0, shear: Column | float = 0.0, flip: tuple[bool, bool] = (False, False), method: str = "bilinear", fill: float = 0.0) -> DataFrame:
     """An image sheared, scaled and rotated around its middle (degrees, clockwise), then moved by `translate` (right, down), then
     turned over (top to bottom, left to right). Every number may be a column; each new pixel looks up where it comes from."""
@@ -203,7 +203,7 @@ def affine(df: DataFrame, key: str, to: str | None = None, rotate: Column | floa
     return _each(df, key, to, 2, run, _number(rotate), *map(_number, translate), _number(scale), _number(shear))
 
 
-@op
+@op(reads="key", writes="to|key")
 def rotate_volume(df: DataFrame, key: str, to: str | None = None, z: Column | float = 0.0, y: Column | float = 0.0, x: Column | float = 0.0) -> DataFrame:
     """A volume (z, y, x) rotated around its axes by degrees, counter-clockwise in the plane of the other two: first around z,
     then x, then y. Voxels are taken from the nearest place; what comes from outside is 0."""
@@ -268,7 +268,7 @@ def components(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(cells, axis=1)[:, :w].reshape(n, h, w), row[np.unique(labels)] // h if len(row) else row
 
 
-@op
+@op(reads="key", writes="to")
 def biggest_box(df: DataFrame, key: str, to: str, threshold: float = 10.0, blocks: int = 30) -> DataFrame:
     """[top, left, bottom, right] (ends excluded) around the largest part of an image that is not dark.
 
@@ -301,7 +301,7 @@ def biggest_box(df: DataFrame, key: str, to: str, threshold: float = 10.0, block
     return put(df, to, F.arrow_udf(run, "array<long>")(col(key).cast("array<array<double>>")))
 
 
-@op
+@op(reads="key box", writes="to|key")
 def crop_to_box(df: DataFrame, key: str, box: str, to: str | None = None) -> DataFrame:
     """The part of an image within a box [top, left, bottom, right]."""
     top, left, bottom, right = (F.get(col(box), F.lit(i)).cast("int") for i in range(4))
@@ -311,7 +311,7 @@ def crop_to_box(df: DataFrame, key: str, box: str, to: str | None = None) -> Dat
 # -- masked blocks -------------------------------------------------------------------------
 
 
-@op
+@op(reads="key names", writes="to|key")
 def mask_blocks(df: DataFrame, key: str, shape: Sequence[int], block: Sequence[int], seed: object, *names: str, share: float = 0.3, to: str | None = None, fill: float = 0.0) -> DataFrame:
     """An image or volume of `shape` with blocks that do not overlap set to `fill`: as many as hold `share` of its elements,
     rounded up, if there are so many.

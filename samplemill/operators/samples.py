@@ -15,37 +15,37 @@ from ..functions.columns import col, need, put, under
 from .base import Op, op
 
 
-@op
+@op(writes="", hides=lambda *paths: lambda key: not any(key == p or key.startswith(p + ".") for p in paths))
 def keep(df: DataFrame, *paths: str) -> DataFrame:
     """Only these key-paths and what is below them; the id goes too unless listed."""
     need(df, *paths)
     return df.select(*(col(c) for c in dict.fromkeys(c for p in paths for c in under(df, p))))
 
 
-@op
+@op(writes="", hides=lambda *paths: lambda key: any(key == p or key.startswith(p + ".") for p in paths))
 def delete(df: DataFrame, *paths: str) -> DataFrame:
     need(df, *paths)
     return df.drop(*(c for p in paths for c in under(df, p)))
 
 
-@op
+@op(writes="key")
 def set_value(df: DataFrame, key: str, value) -> DataFrame:
     return put(df, key, value if isinstance(value, Column) else F.lit(value))
 
 
-@op
+@op(reads="key", writes="key")
 def set_if_absent(df: DataFrame, key: str, value) -> DataFrame:
     """Only where the table has no such column; a null that is there stays."""
     return df if fc.has(df, key) else put(df, key, F.lit(value))
 
 
-@op
+@op(reads="source", writes="to")
 def copy(df: DataFrame, source: str, to: str) -> DataFrame:
     need(df, source)
     return df.withColumns({to + c[len(source) :]: col(c) for c in under(df, source)})
 
 
-@op
+@op(reads="source", writes="to")
 def recode(df: DataFrame, source: str, to: str, values: Mapping, strict: bool = True) -> DataFrame:
     """Looks the value up; an unknown one stops the query, or leaves `to` as it was."""
     need(df, source)
@@ -58,12 +58,12 @@ def recode(df: DataFrame, source: str, to: str, values: Mapping, strict: bool =
     return put(df, to, new)
 
 
-@op
+@op(reads="source", writes="to")
 def one_hot(df: DataFrame, source: str, to: str, classes: int) -> DataFrame:
     return put(df, to, fc.one_hot(col(source), classes))
 
 
-@op
+@op(reads="key", writes="key")
 def from_one_hot(df: DataFrame, key: str, classes: int, verify: bool = True) -> DataFrame:
     """The place of the one; a vector of another length or that is not one-hot stops the query."""
     v = col(key)
@@ -72,7 +72,7 @@ def from_one_hot(df: DataFrame, key: str, classes: int, verify: bool = True) ->
     return put(df, key, F.when(good | v.isNull(), place).otherwise(F.raise_error(F.lit("not a one-hot vector"))) if verify else place)
 
 
-@op
+@op(reads="sources", writes="to")
 def concat(df: DataFrame, sources: Sequence[str], to: str, axis: int = 0) -> DataFrame:
     """Vectors end to end, single values as vectors of one; axis 1 joins the rows of matrices."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -85,7 +85,7 @@ def concat(df: DataFrame, sources: Sequence[str], to: str, axis: int = 0) -> Dat
     return put(df, to, out)
 
 
-@op
+@op(reads="key", writes="key")
 def fill_nan(df: DataFrame, key: str, value) -> DataFrame:
     """Numbers that are NaN; in a column of text, gaps."""
     if isinstance(df.schema[key].dataType, StringType):
@@ -93,7 +93,7 @@ def fill_nan(df: DataFrame, key: str, value) -> DataFrame:
     return put(df, key, F.when(F.isnan(col(key)), F.lit(value)).otherwise(col(key)))
 
 
-@op
+@op(reads="key", writes="key")
 def zscore(df: DataFrame, key: str, mean: float, std: float) -> DataFrame:
     """(x - mean) / std, null where std is 0; element by element for a vector."""
 
@@ -103,7 +103,7 @@ def zscore(df: DataFrame, key: str, mean: float, std: float) -> DataFrame:
     return put(df, key, F.transform(col(key), f) if isinstance(df.schema[key].dataType, ArrayType) else f(col(key)))
 
 
-@op
+@op(reads="source", writes="to|source")
 def replace(df: DataFrame, source: str, find, by, to: str | None = None) -> DataFrame:
     """Equal elements of a vector, or parts of a text."""
     kind = df.schema[source].dataType
@@ -114,7 +114,7 @@ def replace(df: DataFrame, source: str, find, by, to: str | None = None) -> Data
     raise TypeError(f"{source} is neither a vector nor a text")
 
 
-@op
+@op(reads="source", writes="to|source")
 def replace_any(df: DataFrame, source: str, find: Sequence, by, to: str | None = None) -> DataFrame:
     """Any of several elements of a vector, or any of several characters of a text."""
     kind = df.schema[source].dataType
@@ -129,7 +129,7 @@ def replace_any(df: DataFrame, source: str, find: Sequence, by, to: str | None =
 CASTS = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
 
 
-@op
+@op(reads="keys", writes="keys")
 def cast(df: DataFrame, keys: str | Sequence[str], to: str) -> DataFrame:
     """int, float, str, bool or a Spark type, also of a vector's elements; int cuts towards zero. bytes to list: `byte_list`."""
     kind = CASTS.get(to, to)
@@ -137,7 +137,7 @@ def cast(df: DataFrame, keys: str | Sequence[str], to: str) -> DataFrame:
     return df.withColumns({k: col(k).cast(f"array<{kind}>" if isinstance(df.schema[k].dataType, ArrayType) else kind) for k in keys})
 
 
-@op
+@op(reads="key", writes="key")
 def byte_list(df: DataFrame, key: str) -> DataFrame:
     """The bytes of a binary value as numbers."""
     digits = F.hex(col(key))
@@ -145,7 +145,7 @@ def byte_list(df: DataFrame, key: str) -> DataFrame:
     return put(df, key, F.transform(at, lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("bigint")))
 
 
-@op
+@op(reads="inputs", writes="outputs")
 def apply(df: DataFrame, function: Callable[..., Column], inputs: Sequence[str], outputs: str | Sequence[str]) -> DataFrame:
     """function(columns) -> a column, or a struct (or several columns) for several outputs."""
     need(df, *inputs)
@@ -157,7 +157,7 @@ def apply(df: DataFrame, function: Callable[..., Column], inputs: Sequence[str],
     return df.withColumns(dict(zip(outputs, made, strict=True)))
 
 
-@op
+@op(reads="height weight", writes="to")
 def bmi(df: DataFrame, height: str, weight: str, to: str) -> DataFrame:
     """10000 * weight / height^2 where both are there, else null."""
     h, w = col(height).cast("double"), col(weight).cast("double")
@@ -172,13 +172,13 @@ def categorise(df: DataFrame, name: str, value: str, to: str, bins: Mapping[str,
     return put(df, to, F.when(edges.isNull(), "UNK").otherwise(F.concat(col(name), F.lit("_"), fc.digitize(col(value), edges).cast("string"))))
 
 
-@op
+@op(reads="source", writes="to")
 def encode_category(df: DataFrame, source: str, to: str, values: Sequence) -> DataFrame:
     """One-hot by place in `values`; an unknown value or null is all zeros."""
     return put(df, to, F.array(*(F.coalesce((col(source) == F.lit(v)).cast("double"), F.lit(0.0)) for v in values)))
 
 
-@op
+@op(reads="source", writes="to")
 def encode_age(df: DataFrame, source: str, to: str, step: int = 20, limit: int = 120) -> DataFrame:
     """One-hot of age // step; a last class for ages that are missing, not above 0 or not below `limit`."""
     n = limit // step
@@ -186,19 +186,19 @@ def encode_age(df: DataFrame, source: str, to: str, step: int = 20, limit: int =
     return put(df, to, fc.one_hot(at, n + 1))
 
 
-@op
+@op(reads="flags", writes="to")
 def label_from_flags(df: DataFrame, flags: Sequence[str], to: str) -> DataFrame:
     """The place of the last flag above zero, else 0."""
     return put(df, to, F.coalesce(F.greatest(*(F.when(col(f) > 0, i).otherwise(0) for i, f in enumerate(flags))), F.lit(0)).cast("long"))
 
 
-@op
+@op(reads="source", writes="to")
 def scale_checked(df: DataFrame, source: str, to: str, low: float, high: float, unit: float) -> DataFrame:
     """value / unit within (low, high), else -1."""
     return put(df, to, F.when((col(source) > low) & (col(source) < high), col(source) / F.lit(float(unit))).otherwise(-1.0))
 
 
-@op
+@op(reads="sources", writes="to")
 def compose(df: DataFrame, to: str, pattern: str, *sources: str) -> DataFrame:
     """Text from other columns, as for file names made of ids: each {} is filled in turn."""
     texts, parts = pattern.split("{}"), []
@@ -209,33 +209,33 @@ def compose(df: DataFrame, to: str, pattern: str, *sources: str) -> DataFrame:
     return put(df, to, F.concat(*parts))
 
 
-@op
+@op(reads="key", writes="key")
 def clip(df: DataFrame, key: str, low: float = -math.inf, high: float = math.inf) -> DataFrame:
     return put(df, key, F.transform(col(key), lambda x: F.least(F.greatest(x.cast("double"), F.lit(float(low))), F.lit(float(high)))))
 
 
-@op
+@op(reads="key", writes="key")
 def normalise_self(df: DataFrame, key: str, top: float = 1.0) -> DataFrame:
     """(x - min) / (max - min) * top; null elements where all are equal."""
     low, high = F.array_min(col(key)).cast("double"), F.array_max(col(key)).cast("double")
     return put(df, key, F.transform(col(key), lambda x: fc.ratio((x - low) * F.lit(float(top)), high - low)))
 
 
-@op
+@op(reads="key", writes="key")
 def to_range(df: DataFrame, key: str, source: tuple[float, float], target: tuple[float, float]) -> DataFrame:
     """The linear map of one range onto another."""
     (a, b), (c, d) = source, target
     return put(df, key, F.transform(col(key), lambda x: (x.cast("double") - F.lit(float(a))) * F.lit((d - c) / (b - a)) + F.lit(float(c))))
 
 
-@op
+@op(reads="key", writes="key")
 def to_bytes_range(df: DataFrame, key: str) -> DataFrame:
     """0 to 255 by the vector's own range, cut to whole numbers."""
     out = normalise_self(key, 255.0)(df)
     return put(out, key, F.transform(col(key), lambda x: x.cast("int")))
 
 
-@op
+@op(reads="key", writes="key")
 def augment_colour(df: DataFrame, key: str, add: float = 0.0, mul: float = 1.0, gamma: float = 1.0, contrast: float = 1.0) -> DataFrame:
     """Adds, multiplies, raises and stretches around the mean, in this order; each is cut to [0, 1]."""
 
@@ -250,18 +250,18 @@ def augment_colour(df: DataFrame, key: str, add: float = 0.0, mul: float = 1.0,
     return put(out, key, F.transform(col(key), lambda x: cut((x - mean) * F.lit(contrast) + mean)))
 
 
-@op
+@op(reads="key", writes="key")
 def pad_vector(df: DataFrame, key: str, left: int, right: int, fill: float = 0.0) -> DataFrame:
     return put(df, key, F.concat(F.array_repeat(F.lit(float(fill)), left), col(key).cast("array<double>"), F.array_repeat(F.lit(float(fill)), right)))
 
 
-@op
+@op(reads="key", writes="key")
 def select_slice(df: DataFrame, key: str, at: int) -> DataFrame:
     """Element `at` (from 0) of the first axis."""
     return put(df, key, F.get(col(key), F.lit(at)))
 
 
-@op
+@op(reads="key", writes="key")
 def crop(df: DataFrame, key: str, start: Sequence[int], length: Sequence[int]) -> DataFrame:
     """A block of a nested vector; one start and length per axis."""
 
@@ -272,7 +272,7 @@ def crop(df: DataFrame, key: str, start: Sequence[int], length: Sequence[int]) -
     return put(df, key, cut(col(key), 0))
 
 
-@op
+@op(reads="key", writes="key")
 def flip(df: DataFrame, key: str, axis: int = 0) -> DataFrame:
     def turn(x, i):
         return F.reverse(x) if i == 0 else F.transform(x, lambda y: turn(y, i - 1))
@@ -280,7 +280,7 @@ def flip(df: DataFrame, key: str, axis: int = 0) -> DataFrame:
     return put(df, key, turn(col(key), axis))
 
 
-@op
+@op(reads="key", writes="key")
 def bright_side_left(df: DataFrame, key: str) -> DataFrame:
     """Turns each row of a matrix if its right half holds more than its left."""
 
@@ -291,14 +291,14 @@ def bright_side_left(df: DataFrame, key: str) -> DataFrame:
     return put(df, key, F.when(side(False) > side(True), F.transform(col(key), lambda r: F.reverse(r))).otherwise(col(key)))
 
 
-@op
+@op(reads="source", writes="to")
 def matrix(df: DataFrame, source: str, to: str, width: int) -> DataFrame:
     """A vector cut into rows of `width`."""
     rows = F.sequence(F.lit(0), (F.size(col(source)) / width).cast("int") - 1)
     return put(df, to, F.transform(rows, lambda i: F.slice(col(source), i * width + 1, F.lit(width))))
 
 
-@op
+@op(reads="key", writes="key")
 def transpose(df: DataFrame, key: str) -> DataFrame:
     """Swaps the first two axes."""
     places = F.sequence(F.lit(0), F.size(F.get(col(key), F.lit(0))) - 1)

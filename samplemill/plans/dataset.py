@@ -77,6 +77,92 @@ class Cache:
         return self.spark.read.parquet(at)
 
 
+class Growing:
+    """A pipeline's output that grows with its samples: parts, each of the ids that were new when it was made.
+
+    A part is written in three steps: output, initial ids, and a manifest last; a part without manifest does not count and
+    is written again. Several folders can hold parts of one dataset: the first is written, the others are read only."""
+
+    def __init__(self, spark: SparkSession, folder: str, *others: str, key: str = ID) -> None:
+        self.spark, self.folders, self.key = spark, [f.rstrip("/") for f in (folder, *others)], key
+
+    def _listed(self, folder: str) -> list[str]:
+        """Names below a folder, by the file system that holds it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def parts(self) -> list[dict]:
+        """The manifests of whole parts: folder, part, fingerprint, steps, columns, rows, ids."""
+        out = []
+        for folder in self.folders:
+            numbers = sorted(int(n.split("=")[1]) for n in self._listed(f"{folder}/manifests") if n.startswith("part="))
+            whole = [n for n in numbers if "_SUCCESS" in self._listed(f"{folder}/manifests/part={n}")]
+            if whole:
+                texts = self.spark.read.text([f"{folder}/manifests/part={n}" for n in whole]).collect()
+                out += sorted((json.loads(t[0]) for t in texts), key=lambda m: m["part"])
+        return out
+
+    def _paths(self, kind: str) -> list[str]:
+        return [f"{m['folder']}/{kind}/part={m['part']}" for m in self.parts()]
+
+    def known(self) -> DataFrame | None:
+        """The initial ids of all parts."""
+        paths = self._paths("ids")
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def read(self, part: int | None = None) -> DataFrame:
+        """The output of all parts (or of the first folder's `part`)."""
+        paths = self._paths("data") if part is None else [f"{self.folders[0]}/data/part={part}"]
+        if not paths:
+            raise ValueError(f"nothing is stored in {self.folders}")
+        return self.spark.read.parquet(*paths)
+
+    def add(self, pipeline: Pipeline, samples: DataFrame) -> dict | None:
+        """Runs the pipeline for the samples whose ids no part has, and stores their output as a new part; its manifest, or nothing if
+        no id is new. Another pipeline, or output of other columns, than the parts' is an error. Samples without id stop it."""
+        had = self.parts()
+        if had and had[0]["fingerprint"] != pipeline.fingerprint:
+            raise ValueError(f"the parts hold the output of another pipeline: {had[0]['steps']}")
+        samples = samples.withColumn(self.key, F.coalesce(col(self.key), F.raise_error(F.lit("a sample has no id")).cast(samples.schema[self.key].dataType)))
+        known = self.known()
+        new = samples if known is None else samples.join(known, self.key, "left_anti")
+        folder = self.folders[0]
+        part = max((m["part"] for m in had if m["folder"] == folder), default=-1) + 1
+        new.select(col(self.key)).distinct().write.mode("overwrite").parquet(f"{folder}/ids/part={part}")
+        ids = self.spark.read.parquet(f"{folder}/ids/part={part}")
+        n = ids.count()
+        if not n:
+            return None
+        # the stored ids decide, not a second look at what is known
+        out = pipeline(samples.join(ids, self.key, "left_semi"))
+        columns = [f"{c} {t}" for c, t in out.dtypes]
+        if had and had[0]["columns"] != columns:
+            raise ValueError(f"the parts have other columns: {had[0]['columns']}")
+        out.write.mode("overwrite").parquet(f"{folder}/data/part={part}")
+        rows = self.spark.read.parquet(f"{folder}/data/part={part}").count()
+        made = {"folder": folder, "part": part, "fingerprint": pipeline.fingerprint, "steps": str(pipeline), "columns": columns, "rows": rows, "ids": n}
+        self.spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifests/part={part}")
+        return made
+
+    def audit(self, pipeline: Pipeline, samples: DataFrame, share: float = 1.0, seed: object = 0) -> DataFrame:
+        """(folder, part, checked, differing): the pipeline run again for a hashed share of each part's initial ids, compared with what the part
+        holds; rows of one side only count as differing. Ids that two parts hold count in both."""
+        out = None
+        for m in self.parts():
+            ids = self.spark.read.parquet(f"{m['folder']}/ids/part={m['part']}").where(uniform(seed, self.key) < F.lit(float(share)))
+            stored = self.spark.read.parquet(f"{m['folder']}/data/part={m['part']}")
+            # output rows belong to their initial id, which a step that splits samples keeps
+            owner = INITIAL if INITIAL in stored.columns else self.key
+            stored = stored.join(ids.select(col(self.key).alias("__id")), col(owner) == F.col("__id"), "left_semi")
+            bad = differences(stored, pipeline(samples.join(ids, self.key, "left_semi"))).agg(F.count("*").alias("differing"))
+            row = ids.agg(F.lit(m["folder"]).alias("folder"), F.lit(m["part"]).alias("part"), F.count("*").alias("checked")).join(bad)
+            out = row if out is None else out.unionByName(row)
+        if out is None:
+            raise ValueError(f"nothing is stored in {self.folders}")
+        return out
+
+
 def differences(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows of one side only, with `side`; NaN equals NaN. Empty when a cache is right."""
     fresh = fresh.select(*map(col, stored.columns))

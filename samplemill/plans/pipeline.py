@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import KeyPathError, col, under
+from ..operators.attempts import stamped
 from ..operators.base import UNDO, Op, remember
 
 
@@ -58,11 +59,49 @@ class Pipeline:
                 if i in undo:
                     both = remember(df, i, *(c for c in df.columns if not c.startswith(UNDO)))
                     new = o(both)
+                new = stamped(new, f"{self.name}.{i}")
             except Exception as e:
                 raise StepError(f"{self.name}.{i} ({o.name if isinstance(o, Op) else o}): {e}") from e
             df = new
         return df
 
+    def slice(self, keys: Sequence[str], until: str | None = None) -> tuple[Pipeline, list[str] | None]:
+        """The steps that the wanted keys need, and the key-paths that these need of the table before (None: all).
+
+        From the last step back, a step that writes none of what is needed is left out; one that does makes what it
+        reads needed. Steps that do not say what they write are kept, with all before them. A key that a step takes away is
+        an error."""
+        meet = lambda a, b: a == b or a.startswith(b + ".") or b.startswith(a + ".")
+        steps = self.steps[: [i for i, _ in self.steps].index(until)] if until is not None else self.steps
+        needed: set[str] | None = set(keys)
+        kept: list[tuple[str, Op]] = []
+        for i, o in reversed(steps):
+            writes = o.writes if isinstance(o, Op) else None
+            if writes is None or needed is None:
+                needed = None
+                kept.append((i, o))
+                continue
+            if o.hides is not None:
+                gone = sorted(k for k in needed if o.hides(k))
+                if gone:
+                    raise KeyPathError(f"{self.name}.{i} takes away {gone}")
+            elif any(meet(w, k) for w in writes for k in needed):
+                kept.append((i, o))
+                # what is written anew is no longer needed, unless only a part of it or more than it was wanted
+                needed = None if o.reads is None else {k for k in needed if k not in writes} | set(o.reads)
+        return Pipeline(self.name, kept[::-1]), None if needed is None else sorted(needed)
+
+    def only(self, df: DataFrame, keys: Sequence[str], until: str | None = None) -> DataFrame:
+        """The wanted keys of the samples, by the steps and columns that they need."""
+        part, inputs = self.slice(keys, until)
+        if inputs is not None:
+            df = df.select(*(col(c) for c in df.columns if any(c in under(df, k) for k in inputs)))
+        out = part(df)
+        missing = [k for k in keys if not under(out, k)]
+        if missing:
+            raise KeyPathError(f"{self.name} does not make {missing}")
+        return out.select(*(col(c) for k in keys for c in under(out, k)))
+
     def reverse(self, df: DataFrame, key: str, follow: str | None = None) -> DataFrame:
         """`key` as it was before the first reversible step that `follow` (or itself) went through."""
         follow = follow or key
