@@ -11,8 +11,8 @@ found exactly, in four steps:
    range stays. An anchor hash with one class is done with.
 3. The ranges that are left under an anchor hash meet in a shard. A shard's
    suffix array is built by induced sorting: suffixes are classified, the leftmost-smaller
-   substrings are sorted by induction and named, the string of names is sorted by rank
-   doubling, and the array is induced from it, bucket by bucket. Permuted
+   substrings are sorted by induction and named, the string of names is sorted by induced sorting
+   itself, and the array is induced from it, bucket by bucket. Permuted
    common prefixes then tell which windows start elsewhere too. An anchor hash with
    very many ranges is dealt over a grid of block pairs.
 4. What repeats is gathered per document and cut out.
@@ -105,26 +105,62 @@ def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray
     return sa
 
 
-def _rank_order(names: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Order of the suffixes of a string of names, by doubling what the ranks compare;
-    with a depth, suffixes that agree in so many names may stand in any order."""
-    rank, n, width = names.astype(np.int64), len(names), 1
-    while True:
-        nxt = np.zeros(n, dtype=np.int64)
-        if width < n:
-            nxt[:-width] = rank[width:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.append(0, np.cumsum(np.diff(key[order]) != 0))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] == n - 1 or width >= n or (depth is not None and width >= depth):
-            return order
-
-
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of bytes. With a depth, suffixes that agree in so many bytes may stand in any order."""
+def sort_suffixes(s: list[int]) -> list[int]:
+    """Suffix array of a string of whole numbers from 0, by induced sorting; the string of names calls this again, so that
+    the work is linear. The empty suffix is the smallest."""
+    n = len(s)
+    if n < 2:
+        return list(range(n))
+    smaller = _classify(np.array(s, dtype=np.int64))
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).tolist()
+    ends = np.cumsum(np.bincount(s)).tolist()
+    begins, small = [0, *ends[:-1]], smaller.tolist()
+
+    def induce(seeds: list[int]) -> list[int]:
+        sa = [-1] * n
+        at = ends.copy()
+        for p in reversed(seeds):
+            c = s[p]
+            at[c] -= 1
+            sa[at[c]] = p
+        at = begins.copy()
+        # the empty suffix comes first and induces the last one
+        sa[at[s[-1]]] = n - 1
+        at[s[-1]] += 1
+        for i in range(n):
+            p = sa[i] - 1
+            if p >= 0 and not small[p]:
+                c = s[p]
+                sa[at[c]] = p
+                at[c] += 1
+        at = ends.copy()
+        for i in range(n - 1, -1, -1):
+            p = sa[i] - 1
+            if p >= 0 and small[p]:
+                c = s[p]
+                at[c] -= 1
+                sa[at[c]] = p
+        return sa
+
+    if not lms:
+        return induce(lms)
+    stop = [-1] * n
+    for p, q in zip(lms, [*lms[1:], n]):
+        stop[p] = q + 1
+    sorted_lms = [p for p in induce(lms) if stop[p] >= 0]
+    # names: equal for equal substrings up to and with the next leftmost-smaller place; the last one's runs to the end
+    name, last, now = [0] * n, sorted_lms[0], 0
+    for p in sorted_lms[1:]:
+        now += stop[p] - p != stop[last] - last or stop[p] > n or stop[last] > n or s[p : stop[p]] != s[last : stop[last]]
+        name[p] = now
+        last = p
+    names = [name[p] for p in lms]
+    order = sort_suffixes(names) if now < len(lms) - 1 else np.argsort(names).tolist()
+    return induce([lms[i] for i in order])
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of bytes: the first level in waves of whole buckets, the string of names by sort_suffixes()."""
     n = len(s)
     if n < 2:
         return np.arange(n, dtype=np.int32)
@@ -135,19 +171,30 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     first = _induce(s, smaller, lms[np.argsort(s[lms], kind="stable")])
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
-    sorted_lms = first[is_lms[first]]
-    # names: equal for equal substrings up to and with the next leftmost-smaller place
+    sorted_lms = first[is_lms[first]].astype(np.int64)
+    # names: equal for equal substrings up to and with the next leftmost-smaller place; the last runs to the end, which nothing else does
     end = np.empty(n, dtype=np.int64)
     end[lms] = np.append(lms[1:] + 1, n)
-    h = tv.span_hash(tv.prefix_hash(s), sorted_lms.astype(np.int64), end[sorted_lms])
-    h[sorted_lms == lms[-1]] ^= np.uint64(1)  # the last runs to the end, which nothing else does
+    a, b = sorted_lms[:-1], sorted_lms[1:]
+    same = (end[a] - a == end[b] - b) & (a != lms[-1]) & (b != lms[-1])
+    pair = np.flatnonzero(same)
+    same[pair] = same_bytes(s, a[pair], b[pair], end[a[pair]] - a[pair])
     name = np.empty(n, dtype=np.int64)
-    name[sorted_lms] = np.append(0, np.cumsum(h[1:] != h[:-1]))
+    name[sorted_lms] = np.append(0, np.cumsum(~same))
     names = name[lms]
-    order = np.argsort(names, kind="stable") if names.max() == len(lms) - 1 else _rank_order(names, depth)
+    order = np.argsort(names, kind="stable") if names.max() == len(lms) - 1 else np.array(sort_suffixes(names.tolist()), dtype=np.int64)
     return _induce(s, smaller, lms[order])
 
 
+def same_bytes(s: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether s[a:a + size] is s[b:b + size], byte by byte, for each pair."""
+    before = np.cumsum(size) - size
+    step = np.arange(int(size.sum())) - np.repeat(before, size)
+    bad = s[np.repeat(a, size) + step] != s[np.repeat(b, size) + step]
+    wrong = np.append(0, np.cumsum(bad))
+    return wrong[before + size] == wrong[before]
+
+
 def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(phi, plcp): each suffix's predecessor in the array (-1: none) and their common
     prefix's length, up to cap. Only where the letters before differ is it searched for; elsewhere
@@ -193,8 +240,17 @@ def repeated_starts(s: np.ndarray, length: int) -> np.ndarray:
     out = np.zeros(len(s), dtype=bool)
     if len(s) < 2:
         return out
-    phi, plcp = common_prefixes(s, suffix_array(s, length), length)
+    phi, plcp = common_prefixes(s, suffix_array(s), length)
     at = np.flatnonzero(plcp >= length)
+    # prefixes were compared by hashes: stretches of places whose other place moves along are confirmed byte by byte
+    new = np.append(True, (np.diff(at) != 1) | (np.diff(phi[at]) != 1))[: len(at)]
+    head, run = np.flatnonzero(new), np.cumsum(new) - 1
+    size = np.diff(np.append(head, len(at))) + length - 1
+    before = np.cumsum(size) - size
+    step = np.arange(int(size.sum())) - np.repeat(before, size)
+    wrong = np.append(0, np.cumsum(s[np.repeat(at[head], size) + step] != s[np.repeat(phi[at[head]], size) + step]))
+    own = before[run] + np.arange(len(at)) - head[run]
+    at = at[wrong[own + length] == wrong[own]]
     out[at] = out[phi[at]] = True
     gaps = np.append(0, np.cumsum(s == GAP))
     at = np.flatnonzero(out)

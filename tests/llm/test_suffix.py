@@ -47,7 +47,31 @@ def test_suffix_array_and_prefixes(seed):
         assert phi[c] == a and plcp[c] == x
 
 
-def test_depth_is_enough_for_repeats():
+@pytest.mark.parametrize("seed", range(12))
+def test_whole_numbers_are_sorted_by_recursion(seed):
+    rng = np.random.default_rng(seed)
+    s = rng.integers(0, int(rng.integers(1, 40)), int(rng.integers(0, 300))).tolist()
+    assert suffix.sort_suffixes(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_a_periodic_string_calls_the_sort_on_its_names_and_on_theirs(monkeypatch):
+    own, sizes = suffix.sort_suffixes, []
+    monkeypatch.setattr(suffix, "sort_suffixes", lambda names: (sizes.append(len(names)), own(names))[1])
+    s = np.frombuffer(b"abaababaabaab" * 500, np.uint8)
+    assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tobytes())
+    # each level is at most half of the one above, so that the work is linear
+    assert len(sizes) >= 2 and all(2 * b <= a for a, b in zip([len(s), *sizes], sizes))
+
+
+def test_equal_hashes_are_confirmed(monkeypatch):
+    s = np.concatenate([np.random.default_rng(0).integers(97, 123, 300), [0xFF]] * 2).astype(np.uint8)
+    s[340] = 65
+    monkeypatch.setattr(suffix.tv, "span_hash", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    want = [i for i in range(len(s) - 49) if 0xFF not in s[i : i + 50] and s.tobytes().count(s[i : i + 50].tobytes()) > 1]
+    assert set(np.flatnonzero(suffix.repeated_starts(s, 50)).tolist()) <= set(want)
+
+
+def test_repeats_between_gaps():
     rng = np.random.default_rng(3)
     base = rng.integers(97, 101, 3000).astype(np.uint8)
     s = np.concatenate([base[:1000], [0xFF], base[500:1600], [0xFF], base[:90], base[2000:], [0xFF]]).astype(np.uint8)
