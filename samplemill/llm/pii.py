@@ -3,7 +3,10 @@
 Entities are found in whole texts; each distinct entity (its normal form, so that
 differently written mentions refer to one) gets a keyed surrogate of its type:
 digits pass a keyed permutation of their own length, check digits are made right again,
-names keep gender and script, addresses and secrets keep their shape. A
+names keep gender and script, addresses and secrets keep their shape. Given names and surnames
+are entities of their own, whatever title or form a mention has, so that a person keeps one name throughout;
+a given name's gender is its own if it is listed, else the one that titles right before it give it most often in all
+texts. The words of a text's detected names are replaced where they stand bare in it too. A
 distributed check finds surrogates that two entities share, or that are themselves an
 entity of the texts, and gives the later one another, until none is left. Mentions
 are then written in their own layout: separators, brackets and letter case stay.
@@ -74,12 +77,48 @@ def mentions(text: bytes) -> list[tuple[str, int, int, str]]:
             found.append((rank, a, b, kind, gender))
     found.sort()
     taken: list[tuple[str, int, int, str]] = []
+    covered = bytearray(len(text)) if found else b""
     for _, a, b, kind, gender in found:
-        if all(b <= x or a >= y for _, x, y, _ in taken):
+        if not any(covered[a:b]):
+            covered[a:b] = b"\1" * (b - a)
             taken.append((kind, a, b, gender))
     return sorted(taken, key=lambda t: t[1])
 
 
+_WORD = re.compile(rb"(?<![\w\x80-\xff])" + _CAPITAL + rb"(?![\w\x80-\xff])")
+_LISTED = {name.casefold(): g for lists in NAMES.values() for g in "mf" for name in lists[g]}
+
+
+def pieces(text: bytes) -> list[tuple[str, int, int, str, int]]:
+    """As mentions(), persons cut into names: (type, start, end, gender, place within the mention). The last name of a mention is a
+    surname, those before are given names; then come bare words that are names of the text's persons."""
+    out: list[tuple[str, int, int, str, int]] = []
+    known: dict[str, str] = {}
+    covered = None
+    for kind, a, b, gender in mentions(text):
+        if kind != "person":
+            out.append((kind, a, b, "", 0))
+            continue
+        words = [(m.start() + a, m.end() + a) for m in re.finditer(rb"\S+", text[a:b])]
+        for i, (x, y) in enumerate(words):
+            name = text[x:y].decode("utf-8", "replace").casefold()
+            own = "surname" if i == len(words) - 1 else "given"
+            out.append((own, x, y, _LISTED.get(name, "" if i else gender) if own == "given" else "", i))
+            if own == "surname" or name not in known:
+                known[name] = own
+    if known:
+        covered = bytearray(len(text))
+        for _, a, b, _, _ in out:
+            covered[a:b] = b"\1" * (b - a)
+        for m in _WORD.finditer(text):
+            a, b = m.span()
+            own = known.get(m[0].decode("utf-8", "replace").casefold())
+            if own and not any(covered[a:b]):
+                out.append((own, a, b, "", 0))
+        out.sort(key=lambda t: t[1])
+    return out
+
+
 def normal(kind: str, surface: str, gender: str) -> str:
     """What all mentions of one entity have in common."""
     if kind in ("phone", "card", "ssn"):
@@ -88,6 +127,8 @@ def normal(kind: str, surface: str, gender: str) -> str:
         return surface.replace(" ", "")
     if kind == "email":
         return surface.lower()
+    if kind in ("given", "surname"):
+        return surface.casefold()
     return f"{gender}:{' '.join(surface.split()).casefold()}" if kind == "person" else surface
 
 
@@ -151,9 +192,23 @@ def _shape(key: bytes, tweak: str, text: str, more: int) -> str:
     return "".join(out)
 
 
-def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The entity's surrogate; another one for every attempt."""
+def _name(key: bytes, kind: str, word: str, gender: str, attempt: int) -> str:
+    """A given name of the gender's list, later ones made of syllables with the gender's ending; a surname of syllables."""
+    script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+    value = _prf(key, f"{kind}/{attempt}", word)
+    if kind == "given" and not attempt:
+        names = NAMES[script][gender or "n"]
+        return names[value % len(names)]
+    n = attempt + (3 if kind == "surname" else 1)
+    ending = {"latin": {"m": "n", "f": "na"}, "cyrillic": {"m": "н", "f": "на"}}[script].get(gender, "") if kind == "given" else ""
+    return ("".join(SYLLABLES[script][value // 64**i % 64] for i in range(n)) + ending).capitalize()
+
+
+def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0, gender: str = "") -> str:
+    """The entity's surrogate; another one for every attempt. `gender` is that of a given name."""
     tweak = f"{kind}/{attempt}"
+    if kind in ("given", "surname"):
+        return _name(key, kind, norm, gender, attempt)
     if kind == "phone":
         keep = 2 if norm.startswith("+") else 0
         return norm[:keep] + _digits(key, tweak, norm[keep:])
@@ -179,15 +234,8 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         return f"{_shape(key, tweak, local, 2 + 2 * attempt)}@{_shape(key, 'host', host, 0)}.{top}"
     if kind == "person":
         gender, _, name = norm.partition(":")
-        script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
-        first = NAMES[script][gender or "n"]
-        words = name.split(" ")
-        out = [first[_prf(key, gender, words[0]) % len(first)]] if len(words) > 1 else []
-        for w in words[len(out) :]:
-            value = _prf(key, tweak if w == words[-1] else "middle", w, name)
-            n = 3 + attempt
-            out.append("".join(SYLLABLES[script][value // 64**i % 64] for i in range(n)).capitalize())
-        return " ".join(out)
+        *given, last = name.split(" ")
+        return " ".join([*(_name(key, "given", w, _LISTED.get(w, gender), attempt) for w in given), _name(key, "surname", last, "", attempt)])
     return _shape(key, tweak, norm, 0 if attempt < 3 else attempt)
 
 
@@ -199,7 +247,7 @@ def write(kind: str, surface: str, value: str) -> str:
     if kind == "iban":
         letters = iter(value)
         return re.sub(r"\S", lambda _: next(letters), surface)
-    if kind in ("email", "person"):
+    if kind in ("email", "person", "given", "surname"):
         return value.upper() if surface.isupper() else value.lower() if surface.islower() else value
     return value
 
@@ -209,7 +257,8 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(k1, k2, kind, start, end, surface, norm) of all mentions; places in bytes of the UTF-8 text, k1 and k2 tell texts apart."""
+    """(k1, k2, kind, start, end, surface, norm, gender, part) of all mentions, persons name by name (see pieces()); places in bytes of
+    the UTF-8 text, k1 and k2 tell texts apart."""
 
     def each(batch):
         rows: list[tuple] = []
@@ -218,13 +267,13 @@ def detect(docs: DataFrame) -> DataFrame:
             raw = data.tobytes()
             for i, (x, y) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True), a):
                 text = raw[x:y]
-                for kind, start, end, gender in mentions(text):
+                for kind, start, end, gender, part in pieces(text):
                     surface = text[start:end].decode("utf-8", "replace")
-                    rows.append((k1[i], k2[i], kind, start, end, surface, normal(kind, surface, gender)))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["k1", "k2", "kind", "start", "end", "surface", "norm"]) if rows else None
+                    rows.append((k1[i], k2[i], kind, start, end, surface, normal(kind, surface, gender), gender, part))
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["k1", "k2", "kind", "start", "end", "surface", "norm", "gender", "part"]) if rows else None
 
-    return arrow_stage(_keyed(docs), each, "k1 long, k2 long, kind string, start long, end long, surface string, norm string")
+    return arrow_stage(_keyed(docs), each, "k1 long, k2 long, kind string, start long, end long, surface string, norm string, gender string, part long")
 
 
 def assign(found: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
@@ -232,20 +281,22 @@ def assign(found: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
     n is the number of the entity's mentions."""
 
     def each(batch):
-        kind, norm, attempt = (batch.column(i).to_pylist() for i in range(3))
-        return pa.record_batch([*batch.columns, pa.array([surrogate(key, k, n, t) for k, n, t in zip(kind, norm, attempt, strict=True)])], ["kind", "norm", "attempt", "surrogate"])
-
-    real = cut(found.groupBy("kind", "norm").agg(F.count("*").alias("n")))
-    names = real.select("kind", F.regexp_replace("norm", "^[mfn]:", "").alias("taken")).distinct()
-    entities = real.select("kind", "norm", F.lit(0).cast("long").alias("attempt"))
+        kind, norm, gender, attempt = (batch.column(i).to_pylist() for i in range(4))
+        return pa.record_batch([*batch.columns, pa.array([surrogate(key, k, n, t, g) for k, n, g, t in zip(kind, norm, gender, attempt, strict=True)])], ["kind", "norm", "gender", "attempt", "surrogate"])
+
+    hints = {g: F.count_if(F.col("gender") == g) for g in "mf"}
+    gender = F.when(hints["m"] > hints["f"], "m").when(hints["f"] > hints["m"], "f").otherwise("n")
+    real = cut(found.groupBy("kind", "norm").agg(F.count("*").alias("n"), gender.alias("gender")))
+    names = real.select("kind", F.col("norm").alias("taken")).distinct()
+    entities = real.select("kind", "norm", "gender", F.lit(0).cast("long").alias("attempt"))
     for _ in range(rounds):
-        entities = cut(arrow_stage(entities, each, "kind string, norm string, attempt long, surrogate string"))
-        first = entities.groupBy("kind", F.lower("surrogate").alias("s")).agg(F.min("norm").alias("owner"))
+        entities = cut(arrow_stage(entities, each, "kind string, norm string, gender string, attempt long, surrogate string"))
+        first = entities.groupBy("kind", F.lower("surrogate").alias("s")).agg(F.min_by("norm", F.struct("attempt", "norm")).alias("owner"))
         seen = entities.withColumn("s", F.lower("surrogate")).join(first, ["kind", "s"]).join(names.withColumnRenamed("taken", "s").withColumn("real", F.lit(1)), ["kind", "s"], "left")
-        judged = seen.select("kind", "norm", "attempt", "surrogate", ((F.col("norm") != F.col("owner")) | F.col("real").isNotNull()).alias("bad"))
+        judged = seen.select("kind", "norm", "gender", "attempt", "surrogate", ((F.col("norm") != F.col("owner")) | F.col("real").isNotNull()).alias("bad"))
         if judged.where("bad").isEmpty():
-            return cut(entities.join(real, ["kind", "norm"]).select("kind", "norm", "surrogate", "n"))
-        entities = judged.select("kind", "norm", (F.col("attempt") + F.col("bad").cast("long")).alias("attempt"))
+            return cut(entities.join(real.select("kind", "norm", "n"), ["kind", "norm"]).select("kind", "norm", "surrogate", "n"))
+        entities = judged.select("kind", "norm", "gender", (F.col("attempt") + F.col("bad").cast("long")).alias("attempt"))
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
@@ -253,13 +304,13 @@ def replace(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ()) -> DataFram
     """(doc_id, text, n_entities, entities array<struct<kind, start, end, surrogate>>, *keep) of every document,
     with the surrogates in place of `key`, which must be kept secret: it undoes the numbers' permutation; start and end are places in bytes of the given text.
 
-    Null and empty texts come back empty. Repeated rows are treated alike; an empty table gives an empty
+    A long number that fails a card's check digit is replaced too, by one that fails it as well. Null and empty texts come back empty. Repeated rows are treated alike; an empty table gives an empty
     result; further columns are passed on only if named in `keep`."""
     found = cut(detect(docs))
     lists = (
         join_heavy(found, assign(found, key), ["kind", "norm"], "n")
         .groupBy("k1", "k2")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind", "surface", "surrogate"))).alias("found"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind", "surface", "surrogate", "part"))).alias("found"))
     )
     rows = _keyed(docs, *keep).join(lists, ["k1", "k2"], "left").select("doc_id", "text", "found", *keep)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())]))
@@ -274,7 +325,16 @@ def replace(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ()) -> DataFram
                     f["new"], at = new, f["end"]
                 text = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
             texts.append(text)
-            said.append([{"kind": f["kind"], "start": f["start"], "end": f["end"], "surrogate": f["new"]} for f in found or ()])
+            told: list[dict] = []
+            for f in found or ():
+                if f["part"]:
+                    # further names of the same person
+                    whole = told[-1]
+                    whole["surrogate"] += raw[whole["end"] : f["start"]].decode("utf-8", "replace") + f["new"]
+                    whole["end"] = f["end"]
+                else:
+                    told.append({"kind": "person" if f["kind"] in ("given", "surname") else f["kind"], "start": f["start"], "end": f["end"], "surrogate": f["new"]})
+            said.append(told)
         return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in said], pa.int64()), pa.array(said, kind), *batch.columns[3:]], ["doc_id", "text", "n_entities", "entities", *keep])
 
     types = dict(docs.dtypes)

@@ -81,3 +81,29 @@ def test_edge_cases(spark):
     out = pii.replace(docs, KEY, keep=("kind",)).collect()
     assert sorted((r.kind, r.n_entities) for r in out) == [(1, 0), (2, 0), (3, 1), (3, 1), (4, 1)]
     assert pii.replace(docs.limit(0), KEY).count() == 0
+
+
+def test_a_person_keeps_one_name(spark):
+    texts = {1: "Mr Smith came. Later Smith called, and SMITH left.", 2: "Mr John Smith and Mrs Jane Smith", 3: "Dr Anna Berg wrote", 4: "Frau Anna Berg schrieb, Anna lachte", 5: "contact: Anna Berg", 6: "Smith and Anna stand here untitled", 7: "Herr Karl Anna Berg"}
+    docs = spark.createDataFrame([(i, t, 9, "x") for i, t in texts.items()], "doc_id long, text string, entities int, n_entities string")
+    rows = {r[0]: r for r in pii.replace(docs.toDF("doc_id", "text", "a", "b"), KEY, keep=("a", "b")).collect()}
+    out = {i: r.text for i, r in rows.items()}
+    smith = re.fullmatch(r"Mr (\w+) came\. Later (\w+) called, and (\w+) left\.", out[1]).groups()
+    assert smith[0] == smith[1] and smith[2] == smith[0].upper() and smith[0] != "Smith"
+    john, s1, jane, s2 = re.fullmatch(r"Mr (\w+) (\w+) and Mrs (\w+) (\w+)", out[2]).groups()
+    assert s1 == s2 == smith[0] and john != jane and john in pii.NAMES["latin"]["m"] and jane in pii.NAMES["latin"]["f"]
+    anna, berg = re.fullmatch(r"Dr (\w+) (\w+) wrote", out[3]).groups()
+    assert out[4] == f"Frau {anna} {berg} schrieb, {anna} lachte" and out[5] == f"contact: {anna} {berg}" and anna in pii.NAMES["latin"]["f"]
+    assert out[6] == texts[6] and out[7].split()[2:] == [anna, berg]
+    assert [(e.kind, e.start, e.end, e.surrogate) for e in rows[4].entities] == [("person", 5, 14, f"{anna} {berg}"), ("person", 24, 28, anna)] and rows[1].n_entities == 3
+
+
+def test_given_names_stay_distinct(spark):
+    docs = spark.createDataFrame([(i, f"Mr {chr(65 + i % 26)}{'abcdefgh'[i // 26]}x Bolt met Ms {chr(65 + i % 26)}{'abcdefgh'[i // 26]}y Bolt") for i in range(60)], "doc_id long, text string")
+    out = [r.text.split() for r in pii.replace(docs, KEY).collect()]
+    assert len({t[1] for t in out} | {t[5] for t in out}) == 120 and len({w for t in out for w in (t[2], t[6])}) == 1
+
+
+def test_many_mentions_take_linear_time():
+    text = b" ".join(b"a%d@x.org" % i for i in range(20_000))
+    assert len(pii.mentions(text)) == 20_000
