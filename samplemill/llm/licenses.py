@@ -65,13 +65,14 @@ def parse(raw: bytes) -> tuple[list, int]:
     Postfix holds identifiers and the operators "and", "or", "with". An empty list: there is none."""
     out: list[str] = []
     stack: list[str] = []
-    best: tuple[list, int] = ([], 0)
-    at, operand = 0, True  # operand: one is expected
+    best: tuple[int, list, int] = (0, [], 0)  # of `out` so much, then the waiting operators
+    at, operand, open_ = 0, True, 0  # operand: one is expected
     while m := _TOKEN.match(raw, at):
         token = m[1].decode()
         low = token.lower()
         if operand and token == "(":
             stack.append(token)
+            open_ += 1
         elif operand and low not in _PRECEDENCE and token != ")":
             out.append(token)
             operand = False
@@ -80,16 +81,17 @@ def parse(raw: bytes) -> tuple[list, int]:
                 out.append(stack.pop())
             stack.append(low)
             operand = True
-        elif not operand and token == ")" and "(" in stack:
+        elif not operand and token == ")" and open_:
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            open_ -= 1
         else:
             break
         at = m.end()
-        if not operand and "(" not in stack:
-            best = (out + stack[::-1], at)
-    return best
+        if not operand and not open_:
+            best = (len(out), stack[::-1], at)
+    return out[: best[0]] + best[1], best[2]
 
 
 def evaluate(postfix: list, permitted: frozenset[str] = PERMITTED) -> tuple[list[str], bool]:

@@ -23,6 +23,8 @@ from .spark_io import arrow_stage, documents, small_batches
 
 #: Bytes of a sample (a frame of as many 8-bit values), samples of a chunk, values per second.
 FRAME, CHUNK_SAMPLES, RATE = 576, 16, 8000
+#: What a 64-bit column holds, and the standard's mark of an unknown duration.
+TOP, UNKNOWN = (1 << 63) - 1, (1 << 64) - 1
 #: Boxes that hold other boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 
@@ -102,12 +104,12 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
 
 @dataclass
 class Track:
-    """A track's tables; offsets and sizes by sample, in bytes of the file."""
+    """A track's tables; offsets and sizes by sample, in bytes of the file. A duration that the file leaves unknown is None."""
 
     handler: str = ""
     codec: str = ""
     timescale: int = 1
-    duration: int = 0
+    duration: int | None = 0
     offsets: np.ndarray | None = None
     sizes: np.ndarray | None = None
     keys: np.ndarray | None = None
@@ -122,7 +124,10 @@ class Track:
 
 def _table(data: bytes, at: int, kind: str, columns: int = 1) -> np.ndarray:
     (n,) = struct.unpack_from(">I", data, at + 4)
-    return np.frombuffer(data, kind, n * columns, at + 8).astype(np.int64).reshape(n, columns)
+    values = np.frombuffer(data, kind, n * columns, at + 8)
+    if kind == ">u8" and n and int(values.max()) > TOP:
+        raise ValueError("a table's number is over 63 bits")
+    return values.astype(np.int64).reshape(n, columns)
 
 
 def read(data: bytes) -> list[Track]:
@@ -147,7 +152,7 @@ def read(data: bytes) -> list[Track]:
         heads = np.append(0, np.cumsum(per))[:-1]
         track.sizes = sizes
         track.offsets = np.repeat(chunks - before[heads], per) + before[:-1] if len(sizes) else sizes
-        if len(sizes) and (track.offsets + sizes).max() > len(data):
+        if len(sizes) and (int(track.offsets.min()) < 0 or int(track.offsets.max()) > len(data) or (track.offsets + sizes).max() > len(data)):
             raise ValueError("samples lie beyond the file")
         keys = t.get("keys")
         track.keys = np.arange(len(sizes)) if keys is None else keys
@@ -170,7 +175,10 @@ def read(data: bytes) -> list[Track]:
                 continue
             elif kind == b"mdhd":
                 track = t["track"]
-                track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+                track.timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+                if UNKNOWN > duration > TOP:
+                    raise ValueError("a duration is over 63 bits")
+                track.duration = None if duration in (UNKNOWN if data[at] == 1 else UNKNOWN >> 32,) else duration
             elif kind == b"hdlr" and path[-2:] == (b"mdia", b"hdlr"):
                 t["track"].handler = data[at + 8 : at + 12].decode("latin-1")
             elif kind == b"stsd":
@@ -196,7 +204,8 @@ def read(data: bytes) -> list[Track]:
 
 def inspect(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
     """(key, handler, codec, timescale, duration, n_samples, keyframes array<struct<start, end>>, error) per
-    track of a binary column; a broken or null value gives one row with its error. Repeated rows are read as
+    track of a binary column; a broken or null value gives one row with its error, numbers that no column holds
+    included; a duration marked as unknown is null. Repeated rows are read as
     they stand; an empty table gives an empty result; further columns are ignored."""
     small_batches(media.sparkSession, 200)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

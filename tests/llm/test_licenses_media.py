@@ -85,3 +85,26 @@ def test_listed_sizes_wide_boxes_and_errors(spark):
     assert t.offsets.tolist() == [40, 45, 50, 59] and t.sizes.tolist() == [5, 0, 9, 4] and t.keys.tolist() == [0, 1, 2, 3]
     rows = media.inspect(spark.createDataFrame([(1, bytearray(blob)), (2, None), (3, bytearray(blob[:-9])), (4, bytearray(b"junk"))], "doc_id long, media binary")).collect()
     assert [r.error is None for r in sorted(rows, key=lambda r: r.doc_id)] == [True, False, False, False]
+
+
+def test_long_expressions_take_linear_time():
+    raw = b" OR ".join([b"MIT"] * 30_000)
+    postfix, read = licenses.parse(raw)
+    assert read == len(raw) and len(postfix) == 59_999 and licenses.evaluate(postfix) == (["mit"], True)
+    deep = b"(" * 20_000 + b"MIT" + b")" * 20_000 + b" AND GPL-2.0"
+    assert licenses.evaluate(licenses.parse(deep)[0]) == (["gpl-2", "mit"], False) and licenses.parse(b"(" * 20_000) == ([], 0)
+
+
+def hostile(duration=400, wide=True, offsets=(40, 50), sizes=(5, 5), runs=(1, 1, 1), deltas=(2, 100)):
+    stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1) + media.box(b"avc1", bytes(70))), media.full(b"stts", struct.pack(">III", 1, *deltas)), media.full(b"stsc", struct.pack(">IIII", 1, *runs)), media.full(b"stsz", struct.pack(">II2I", 0, 2, *sizes)), media.full(b"co64", struct.pack(">I2Q", 2, *offsets)))
+    mdhd = media.full(b"mdhd", struct.pack(">QQIQI", 0, 0, 90000, duration, 0), version=1) if wide else media.full(b"mdhd", struct.pack(">IIIII", 0, 0, 90000, duration, 0))
+    return struct.pack(">I4sQ", 1, b"mdat", 16 + 60) + bytes(60) + media.box(b"moov", media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", stbl))))
+
+
+def test_numbers_that_no_column_holds_are_errors_of_their_row(spark):
+    top = (1 << 64) - 1
+    blobs = [hostile(), hostile(top), hostile((1 << 32) - 1, wide=False), hostile(1 << 63), hostile(offsets=(1 << 63, 50)), hostile(offsets=((1 << 63) - 1, 50)), hostile(offsets=(40, top)), hostile(sizes=(0xFFFFFFFF, 5)), hostile(runs=(1, 0xFFFFFFFF, 1)), hostile(deltas=(0xFFFFFFFF, 0xFFFFFFFF))]
+    rows = {r.doc_id: r for r in media.inspect(spark.createDataFrame([(i, bytearray(b), "x") for i, b in enumerate(blobs)], "doc_id long, media binary, codec string")).collect()}
+    assert [rows[i].error is None for i in range(len(blobs))] == [True] * 3 + [False] * 7
+    assert rows[0].duration == 400 and rows[1].duration is rows[2].duration is None and rows[1].n_samples == 2
+    assert media.inspect(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
