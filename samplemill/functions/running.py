@@ -1,8 +1,8 @@
 """Running sums over a global order without a task that sees all rows.
 
-Rows are first summed per distinct value of the order. Values are cut into
-ranges at approximate quantiles (a bounded list that the driver reads); sums run within a
-range, and the ranges' totals, a small table, carry them over.
+Rows are first summed per distinct value of the order. Few distinct values are summed by one window; more of them are
+dealt by a range sort into as many ranges as their number asks for: sums run within a range, and the
+ranges' totals, a small table, carry them over.
 """
 
 from __future__ import annotations
@@ -15,39 +15,36 @@ from pyspark.sql import functions as F
 from .columns import col
 from .storage import cut
 
-#: Ranges of a running sum: each holds about 1 / RANGES of the distinct values.
-RANGES = 256
+#: Distinct values (over all groups) of one range; with no more than these, there is one.
+RANGE_ROWS = 1 << 16
 
 
-def cuts(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
-    """Ascending distinct borders between ranges of about equal counts."""
-    share = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(col(order), share, 10 * ranges)).first()[0] or []
-    return sorted({float(x) for x in found})
-
-
-def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(*by, order, each sum s, <s>_before: the sum over all smaller values of the order (larger, if descending)).
 
     One row per distinct value. Nulls of the order are left out."""
     by = list(by)
     rows = df.where(col(order).isNotNull()).groupBy(*map(col, [*by, order])).agg(*(F.sum(col(s)).alias(s) for s in sums))
-    # used three times below
     rows = cut(rows)
-    borders = cuts(rows, order, ranges)
-    at = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < col(order).cast("double"))) if borders else F.lit(0)
-    rows = rows.withColumn("__range", at)
+    ranges = -(-rows.count() // range_rows)
+    zero = {s: F.lit(0).cast(t) for s, t in rows.dtypes if s in sums}
     down = (lambda c: col(c).desc()) if descending else col
+    if ranges > 1:
+        # the sort's own borders; a value lies in one range whatever its group
+        rows = cut(rows.repartitionByRange(ranges, col(order)).withColumn("__range", F.spark_partition_id()))
+    else:
+        rows = rows.withColumn("__range", F.lit(0))
     inside = Window.partitionBy(*map(col, by), "__range").orderBy(down(order)).rowsBetween(Window.unboundedPreceding, -1)
-    zero = {s: F.lit(0).cast(t) for s, t in rows.dtypes if s in sums}
-    rows = rows.withColumns({f"{s}_before": F.coalesce(F.sum(col(s)).over(inside), zero[s]) for s in sums})
+    made = rows.withColumns({f"{s}_before": F.coalesce(F.sum(col(s)).over(inside), zero[s]) for s in sums})
+    if ranges <= 1:
+        return made.select(*map(col, [*by, order, *sums]), *(col(f"{s}_before") for s in sums))
     ahead = Window.partitionBy(*map(col, by)).orderBy(down("__range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = rows.groupBy(*map(col, by), "__range").agg(*(F.sum(col(s)).alias(f"__{s}") for s in sums))
     whole = whole.select(*(col(b).alias(f"__by_{i}") for i, b in enumerate(by)), F.col("__range").alias("__at"), *(F.coalesce(F.sum(f"__{s}").over(ahead), zero[s]).alias(f"__{s}") for s in sums))
     cond = F.col("__range") == F.col("__at")
     for i, b in enumerate(by):
         cond &= col(b).eqNullSafe(F.col(f"__by_{i}"))
-    return rows.join(whole, cond).select(*map(col, [*by, order, *sums]), *((col(f"{s}_before") + F.col(f"__{s}")).alias(f"{s}_before") for s in sums))
+    return made.join(whole, cond).select(*map(col, [*by, order, *sums]), *((col(f"{s}_before") + F.col(f"__{s}")).alias(f"{s}_before") for s in sums))
 
 
 def numbered(df: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:

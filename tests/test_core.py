@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from samplemill.functions.running import running
 from samplemill.metrics import classification as mc
 from samplemill.metrics import regression as mr
 from samplemill.metrics.base import interval
@@ -84,3 +85,14 @@ def test_empty_and_null_inputs(spark):
     assert evaluate(none, {"auc": mc.auc("p", "t"), "err": mr.errors("p", "t")}).where("value is not null").count() == 0
     nulls = spark.createDataFrame([(None, 1), (0.5, None), (0.2, 0), (0.9, 1)], "p double, t int")
     assert mr.spearman("p", "t")(nulls, []).first().n == 2
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_in_one_range_and_in_many(spark, descending):
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 != 0, (F.col("id") * 37) % 101).alias("k"), F.col("id").alias("v"))
+    one, many = ({(r.g, r.k): (r.v, r.v_before) for r in running(rows, "k", ["v"], ["g"], descending, n).collect()} for n in (10**6, 7))
+    assert one == many and one
+    plain = {}
+    for r in rows.where("k is not null").collect():
+        plain[r.g, r.k] = plain.get((r.g, r.k), 0) + r.v
+    assert one == {(g, k): (v, sum(x for (h, j), x in plain.items() if h == g and (j > k if descending else j < k))) for (g, k), v in plain.items()}
