@@ -280,6 +280,9 @@ def held_out(doc_id):
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_tokens, n_passages)."""
+    """(doc_id, held_out, score, predicted, n_tokens, n_passages) of every document, by a model of the labelled ones that are not held out.
+
+    Null and empty texts have the score of no tokens; a null doc_id is not held out and has no label; repeated rows are scored
+    alike; labels that contradict each other count each; an empty table of documents has no scores. Further columns are ignored."""
     model = fit(docs, labels, keep=lambda c: ~held_out(c))
     return detect(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", F.size("passages").alias("n_passages"))
