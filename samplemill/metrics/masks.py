@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,9 +109,20 @@ def box_matches(preds: DataFrame, targets: DataFrame, image: str = "image") -> D
     return t.join(p, "image", "left").groupBy("image", "target_id").agg(F.coalesce(F.max(iou), F.lit(0.0)).alias("iou"))
 
 
-def detection(preds: DataFrame, targets: DataFrame, threshold: float, image: str = "image") -> DataFrame:
-    """mean_iou of matched targets, precision and recall, each the mean over images that have it."""
-    best = box_matches(preds, targets, image).groupBy("image").agg(F.count_if(F.col("iou") > threshold).alias("hit"), F.count("*").alias("t"), F.avg(F.when(F.col("iou") > threshold, F.col("iou"))).alias("mean"))
+def mask_matches(preds: DataFrame, targets: DataFrame, image: str = "image") -> DataFrame:
+    """(image, target_id, iou): as box_matches, of 0/1 vectors `mask`; targets may have a boolean `crowd`, against which the overlap
+    counts over the prediction's size alone."""
+    p = preds.select(col(image).alias("image"), F.col("mask").alias("__p"))
+    crowd = F.coalesce(F.col("crowd"), F.lit(False)) if "crowd" in targets.columns else F.lit(False)
+    t = targets.select(col(image).alias("image"), "target_id", F.col("mask").alias("__t"), crowd.alias("__crowd"))
+    iou = F.when(F.col("__crowd"), vector_iou(F.col("__p"), F.col("__t"), crowd=True)).otherwise(vector_iou(F.col("__p"), F.col("__t")))
+    return t.join(p, "image", "left").groupBy("image", "target_id").agg(F.coalesce(F.max(iou), F.lit(0.0)).alias("iou"))
+
+
+def detection(preds: DataFrame, targets: DataFrame, threshold: float, image: str = "image", matches: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """mean_iou of matched targets, precision and recall, each the mean over images that have it; of boxes, or of masks with
+    matches=mask_matches."""
+    best = (matches or box_matches)(preds, targets, image).groupBy("image").agg(F.count_if(F.col("iou") > threshold).alias("hit"), F.count("*").alias("t"), F.avg(F.when(F.col("iou") > threshold, F.col("iou"))).alias("mean"))
     size = preds.groupBy(col(image).alias("image")).agg(F.count("*").alias("p"))
     rows = best.join(size, "image", "full_outer")
     return rows.agg(F.avg("mean").alias("mean_iou"), F.avg(ratio(F.coalesce("hit", F.lit(0)), F.col("p"))).alias("precision"), F.avg(ratio(F.col("hit"), F.col("t"))).alias("recall"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,10 +101,17 @@ def fit(vector: Column, length: int, fill) -> Column:
 
 
 def positions(vector: Column, separator) -> Column:
-    """For each element, how many separators stand before it."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda a, x: F.struct((a["n"] + F.coalesce(x == F.lit(separator), F.lit(False)).cast("long")).alias("n"), F.concat(a["out"], F.array(a["n"])).alias("out"))
-    return F.aggregate(vector, start, step, lambda a: a["out"])
+    """For each element, how many separators stand before it; one pass over a batch of vectors."""
+
+    def run(flags: pa.Array) -> pa.Array:
+        lens = pc.fill_null(pc.list_value_length(flags), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        hit = flags.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(hit) - hit
+        ends = np.append(0, np.cumsum(lens))
+        first = np.repeat(np.append(before, 0)[ends[:-1]], lens)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(before - first), mask=flags.is_null())
+
+    return F.arrow_udf(run, "array<long>")(F.transform(vector, lambda x: F.coalesce(x == F.lit(separator), F.lit(False))))
 
 
 def trajectory(visits: DataFrame, key: str, time: str, tokens: str, length: int, first: Sequence[str] = ("CLS",)) -> DataFrame:

@@ -221,6 +221,27 @@ def normalise_self(df: DataFrame, key: str, top: float = 1.0) -> DataFrame:
     return put(df, key, F.transform(col(key), lambda x: fc.ratio((x - low) * F.lit(float(top)), high - low)))
 
 
+@op(reads="key top_key", writes="key")
+def normalise_percentile(df: DataFrame, key: str, target: tuple[float, float] = (0.0, 1.0), low: float = 0.0, high: float = 99.0, top_key: str | None = None) -> DataFrame:
+    """A vector cut to its percentiles `low` and `high` (between elements by their distance) and mapped onto the target range
+    from its own range or, with `top_key`, from 0 to that column; null where that range is empty."""
+
+    def at(v, q: float):
+        place = (F.size(v) - 1) * F.lit(q / 100.0)
+        below = F.get(v, F.floor(place).cast("int"))
+        return below + (F.get(v, F.ceil(place).cast("int")) - below) * (place - F.floor(place))
+
+    def mapped(v, a, b):
+        cut = F.transform(v, lambda x: F.least(F.greatest(x, a), b))
+        first, last = (a, b) if top_key is None else (F.lit(0.0), col(top_key).cast("double"))
+        return F.when(last != first, F.transform(cut, lambda x: (x - first) * (F.lit(float(target[1] - target[0])) / (last - first)) + F.lit(float(target[0]))))
+
+    v = F.filter(col(key).cast("array<double>"), lambda x: x.isNotNull())
+    # percentiles are bound once, not for each element
+    pair = F.get(F.transform(F.array(F.array_sort(v)), lambda s: F.struct(at(s, low).alias("a"), at(s, high).alias("b"))), F.lit(0))
+    return put(df, key, F.get(F.transform(F.array(pair), lambda p: mapped(v, p["a"], p["b"])), F.lit(0)))
+
+
 @op(reads="key", writes="key")
 def to_range(df: DataFrame, key: str, source: tuple[float, float], target: tuple[float, float]) -> DataFrame:
     """The linear map of one range onto another."""

@@ -24,6 +24,18 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"no reader for {path!r}")
 
 
+def autodetect(spark: SparkSession, source: DataFrame | Sequence | str, column: str = "sample_desc") -> DataFrame:
+    """Sample descriptors from a table as it is, a list of values, a text file of one a line (stripped), or any file that read_table() reads."""
+    if isinstance(source, DataFrame):
+        return source
+    if isinstance(source, str):
+        if source.lower().rsplit(".", 1)[-1] in ("txt", "text"):
+            return spark.read.text(source).select(F.trim("value").alias(column))
+        return read_table(spark, source)
+    values = list(source)
+    return spark.createDataFrame([(v,) for v in values], [column]) if values else spark.createDataFrame([], f"{column} string")
+
+
 def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     """Writes by suffix as read_table reads; Spark's commit makes the output whole or absent."""
     kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "parquet"
