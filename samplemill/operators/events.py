@@ -14,7 +14,7 @@ from ..functions.columns import col, digitize
 from ..functions.running import numbered, running
 from ..functions.storage import cut
 from ..metrics.base import join_groups
-from ..sources.tables import indexed, sized
+from ..sources.tables import indexed, look_up_in
 
 
 def clean(df: DataFrame, parameter: str, value: str, least: dict[str, float]) -> DataFrame:
@@ -88,10 +88,10 @@ def vocabulary(df: DataFrame, token: str, special: Sequence[str] = (), least: in
 
 
 def translate(df: DataFrame, key: str, tokens: str, words: DataFrame, to: str, unknown: int) -> DataFrame:
-    """Ids for a vector of tokens: exploded, joined with the vocabulary (which travels where its counted size
-    allows, so that frequent tokens do not meet in one task) and gathered again."""
+    """Ids for a vector of tokens: exploded, looked up in the vocabulary (frequent tokens do not meet in one task) and
+    gathered again."""
     long = df.select(col(key).alias("__k"), F.posexplode_outer(col(tokens)).alias("at", "token"))
-    ids = long.join(sized(words), "token", "left").groupBy("__k").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(unknown)).alias("id"))))).alias("__x"))
+    ids = look_up_in(long, words, ["token"]).groupBy("__k").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(unknown)).alias("id"))))).alias("__x"))
     return df.join(ids, col(key) == F.col("__k")).withColumn(to, F.transform("__x", lambda x: x["id"])).drop("__k", "__x")
 
 

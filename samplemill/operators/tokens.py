@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, uniform
 from ..functions.running import numbered
-from ..sources.tables import sized
+from ..sources.tables import look_up_in
 from .events import fit
 
 #: Fixed format of the hint before a segment.
@@ -42,7 +42,7 @@ def encode(df: DataFrame, key: str, segments: str, words: DataFrame, length: int
     spare = F.greatest(F.size("tokens") - most, F.lit(0))
     start = F.when(F.col("trunc_mode") == "RAND", F.floor(uniform(seed, F.col("__k"), F.col("s")) * (spare + 1)).cast("int")).otherwise(0)
     segs = segs.withColumn("tokens", F.slice("tokens", start + 1, F.least(most, F.size("tokens"))))
-    long = segs.select("__k", "s", "kind", F.posexplode("tokens").alias("at", "token")).join(sized(words.select("kind", "token", "id")), ["kind", "token"], "left")
+    long = look_up_in(segs.select("__k", "s", "kind", F.posexplode("tokens").alias("at", "token")), words.select("kind", "token", "id"), ["kind", "token"])
     ids = long.groupBy("__k").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "at", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"]).alias("__ids"))
     out = df.join(ids, col(key) == F.col("__k"), "left").drop("__k")
     raw = F.coalesce("__ids", F.array().cast("array<long>"))
@@ -51,7 +51,7 @@ def encode(df: DataFrame, key: str, segments: str, words: DataFrame, length: int
 
 def decode(df: DataFrame, key: str, ids: str, words: DataFrame, to: str, special: Sequence[str] = (), skip: bool = False) -> DataFrame:
     """The tokens of ids joined; <@TOKEN_MISSING-id> for unknown ids. `words`: token, id."""
-    long = df.select(col(key).alias("__k"), F.posexplode_outer(col(ids)).alias("at", "id")).join(sized(words.select("id", "token")), "id", "left")
+    long = look_up_in(df.select(col(key).alias("__k"), F.posexplode_outer(col(ids)).alias("at", "id")), words.select("id", "token"), ["id"])
     token = F.coalesce("token", F.concat(F.lit("<@TOKEN_MISSING-"), F.col("id").cast("string"), F.lit(">")))
     if skip and special:
         token = F.when(~F.coalesce(F.col("token").isin(list(special)), F.lit(False)), token)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, need
+from ..functions.storage import cut
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -67,9 +68,28 @@ def indexed(df: DataFrame, key: str = "sample_id") -> DataFrame:
     return rows.select((start + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias(key), "r.*")
 
 
-def sized(table: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Marked for broadcast if it is counted to have at most so many rows, else as it is (a shuffle join then)."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+#: Keys at most that a table's rows are sent to all tasks for: each holds more than 1 / HOT_KEYS of the other side's rows.
+HOT_KEYS = 10_000
+
+
+def look_up_in(many: DataFrame, one: DataFrame, keys: Sequence[str], rows: int = 200_000) -> DataFrame:
+    """Left join with a table of one row a key, whatever the keys' frequencies.
+
+    A table that is counted to have few rows travels whole. Of a larger one the rows of hot keys do, of which
+    there are HOT_KEYS at most by their definition; the other keys meet in a shuffle, in which none is hot."""
+    if one.limit(rows + 1).count() <= rows:
+        return many.join(F.broadcast(one), list(keys), "left")
+    total = many.count()
+    hot = many.groupBy(*map(col, keys)).agg(F.count("*").alias("__n")).where(F.col("__n") > total / HOT_KEYS).drop("__n")
+    near = cut(hot.join(one, list(keys), "left").withColumn("__hot", F.lit(True)))
+    marked = many.join(F.broadcast(near), list(keys), "left")
+    own = [c for c in one.columns if c not in keys]
+    # null keys find nothing, and are not shuffled to find it
+    none = F.lit(False)
+    for k in keys:
+        none |= col(k).isNull()
+    cold = marked.where(F.col("__hot").isNull() & ~none).drop("__hot", *own).join(one, list(keys), "left")
+    return marked.where(F.col("__hot") | none).drop("__hot").unionByName(cold)
 
 
 def projected(table: DataFrame, columns: Sequence[str] | None, rename: Mapping[str, str] | None) -> DataFrame:

@@ -88,3 +88,13 @@ def test_masks_of_images_without_a_partner(spark):
     assert sorted((r.image, r.target_id, round(r.iou, 4)) for r in mm.mask_matches(preds, targets).collect()) == [(1, 7, 0.6667), (1, 8, 1.0), (2, 9, 0.0)]
     got = mm.detection(preds, targets, 0.5, matches=mm.mask_matches).first()
     assert (round(got.mean_iou, 4), got.precision, got.recall) == (0.8333, 1.0, 0.5)
+
+
+def test_hot_keys_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(st, "HOT_KEYS", 5)
+    many = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 40)).alias("token"))
+    one = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i + 10) for i in range(0, 40, 2)], "token string, n int")
+    want = sorted(((r.id, r.token, r.n) for r in many.join(one, "token", "left").collect()), key=str)
+    for limit in (1000, 3):
+        assert sorted(((r.id, r.token, r.n) for r in st.look_up_in(many, one, ["token"], limit).collect()), key=str) == want
+    assert st.look_up_in(many, one.where("n > 1"), ["token"], 3).where("token = 'hot' and n is null").count() == 100
