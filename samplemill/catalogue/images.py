@@ -85,3 +85,47 @@ def biggest_box(read):
 SELECT vec_id, list_transform(range(64), lambda k: CASE WHEN k // 8 < 6 AND hit[CAST(k // 24 * 4 + k % 8 // 2 + 1 AS INTEGER)] THEN 0e0 ELSE round(CAST(embedding[k + 1] AS DOUBLE), 6) + 0e0 END) AS v FROM embeddings JOIN s USING (vec_id)""")
 def mask_blocks(read):
     return flat(im.mask_blocks("m", (8, 8), (3, 2), "mask", "vec_id", share=0.3)(pictures(read)))
+
+
+@query(f"SELECT vec_id, list_transform(range(60), lambda k: CASE WHEN k % 10 < 8 THEN round({pixel('(k // 10 + 1)', '(k % 10)')}, 6) + 0e0 ELSE -1e0 END) AS v FROM embeddings")
+def crop_or_pad(read):
+    return flat(im.crop_or_pad("m", (6, 10), 0.5, fill=-1.0)(pictures(read)))
+
+
+_S, _R, _C = (uniform_sql(f"4/{p}", "vec_id") for p in ("scale", "0", "1"))
+
+
+@query(f"""WITH s AS (SELECT vec_id, embedding, CAST(round_even((0.4e0 + {_S} * 0.6e0) * 8, 0) AS BIGINT) AS n FROM embeddings), a AS (SELECT *, CAST(floor({_R} * (8 - n + 1)) AS BIGINT) AS y, CAST(floor({_C} * (8 - n + 1)) AS BIGINT) AS x FROM s)
+SELECT vec_id, list_transform(range(n * n), lambda k: round(CAST(embedding[CAST((y + k // n) * 8 + x + k % n + 1 AS INTEGER)] AS DOUBLE), 6) + 0e0) AS v FROM a""")
+def random_crop(read):
+    return flat(im.random_crop(["m"], 2, 4, "vec_id", scale=(0.4, 1.0))(pictures(read)))
+
+
+@query(f"SELECT vec_id, list_transform(range(64), lambda k: round({pixel(f'(CASE WHEN {uniform_sql("7/0", "vec_id")} < 0.5e0 THEN 7 - k // 8 ELSE k // 8 END)', f'(CASE WHEN {uniform_sql("7/1", "vec_id")} < 0.5e0 THEN 7 - k % 8 ELSE k % 8 END)')}, 6) + 0e0) AS v FROM embeddings")
+def random_flip(read):
+    return flat(im.random_flip(["m"], 2, 7, "vec_id")(pictures(read)))
+
+
+@query("SELECT vec_id, list_transform(range(64), lambda k: round(CAST(embedding[CAST(k // 32 * 32 + k % 4 // 1 % 4 * 0 + (k % 8 // 4) * 16 + (k % 32 // 8) * 1 * 4 + k % 4 + 1 AS INTEGER)] AS DOUBLE), 6) + 0e0) AS v, true AS back FROM embeddings")
+def squeeze_axis(read):
+    cut = lambda x, n: F.transform(F.sequence(F.lit(0), (F.size(x) / n).cast("int") - 1), lambda i: F.slice(x, i * n + 1, F.lit(n)))
+    # 2 channels of 2 x 4 x 4
+    rows = read("embeddings").select("vec_id", cut(cut(cut(F.col("embedding").cast("array<double>"), 4), 4), 2).alias("m"))
+    out = im.unsqueeze_axis("q", 2, 2, to="b")(im.squeeze_axis("m", 2, to="q")(rows))
+    return out.select("vec_id", F.flatten(F.flatten("q")).alias("v"), (F.col("b") == F.col("m")).alias("back")).select("vec_id", rounded_vector("v"), "back")
+
+
+@query("SELECT vec_id, list_transform(range(192), lambda k: CAST(CASE WHEN embedding[k % 64 + 1] > 0.05 THEN 2 WHEN embedding[k % 64 + 1] > 0 THEN 1 ELSE 0 END = k // 64 AS INTEGER)) AS v FROM embeddings")
+def classes_apart(read):
+    level = lambda x: F.when(x > F.lit(0.05).cast("float"), 2).when(x > 0, 1).otherwise(0)
+    rows = matrix("levels", "m", 8)(read("embeddings").select("vec_id", F.transform("embedding", level).alias("levels")))
+    return im.classes_apart("m", 3)(rows).select("vec_id", F.flatten(F.flatten("m")).alias("v"))
+
+
+@query("SELECT vec_id, list_transform(range(8), lambda k: round(CAST(embedding[(vec_id % 8) * 8 + k + 1] AS DOUBLE), 6) + 0e0) AS crop_0, list_transform(range(8), lambda k: round(CAST(embedding[(vec_id % 8) * 8 + k + 1] AS DOUBLE), 6) + 0e0) AS crop_1 FROM embeddings WHERE len(list_filter(range(4, 8), lambda j: embedding[(vec_id % 8) * 8 + j + 1] > 0.12)) > 0")
+def pick_slice(read):
+    # slices of one row; the mask's slice has two rows of four
+    mask = F.transform("m", lambda r: F.transform(F.array(F.slice(r, 1, 4), F.slice(r, 5, 4)), lambda p: F.transform(p, lambda x: (x > F.lit(0.12).cast("float")).cast("int"))))
+    rows = pictures(read).withColumns({"mask": mask, "at": (F.col("vec_id") % 8).cast("int")})
+    out = im.copies("m", 2)(im.pick_slice("m", "mask", "at", drop_blank=True)(rows))
+    return out.select("vec_id", rounded_vector("crop_0"), rounded_vector("crop_1"))

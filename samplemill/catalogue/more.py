@@ -14,6 +14,7 @@ from ..operators import tokens as tk
 from ..operators.base import Op
 from ..plans.crossval import PREDICTION, cross_validate, fold_report, group_folds
 from ..plans.evaluator import with_interval
+from ..plans.pipeline import described
 from ..streaming import incremental as inc
 from .base import S, predictions, query, rounded, rounded_vector, uniform_sql
 from .evaluation import CURVE, weighted
@@ -151,3 +152,10 @@ def cross_validation(read):
     held, test = cross_validate(folds, 4, fit, rows.where("doc_id % 5 = 0"))
     brier = lambda df, by=(): df.agg(F.avg(F.pow(F.col(PREDICTION) - F.col("quality"), 2)).alias("brier"))
     return rounded(fold_report(held, brier, 4, test))
+
+
+@query("""WITH d AS (SELECT * FROM documents ORDER BY doc_id LIMIT 25) SELECT CAST(doc_id AS VARCHAR) AS sample, 'lang' AS key, 'string' AS type, CAST(length(lang) AS BIGINT) AS length, lang AS content FROM d
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'n_chars', 'bigint', NULL, CAST(n_chars AS VARCHAR) FROM d UNION ALL SELECT CAST(doc_id AS VARCHAR), 'words', 'array<string>', len(string_split(source, 'r')), '[' || array_to_string(string_split(source, 'r'), ', ') || ']' FROM d UNION ALL SELECT CAST(doc_id AS VARCHAR), 'none', 'absent', NULL, NULL FROM d""")
+def described_samples(read):
+    rows = read("documents").select("doc_id", "lang", "n_chars", F.split("source", "r").alias("words"))
+    return described(rows, "doc_id", ["lang", "n_chars", "words", "none"], 25)

@@ -57,8 +57,9 @@ def nested(images: Sequence[np.ndarray | None], depth: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), out, mask=pa.array([x is None for x in images]))
 
 
-def _each(df: DataFrame, key: str, to: str | None, depth: int, f: Callable[..., np.ndarray], *params: Column) -> DataFrame:
-    """Puts f(stack, each parameter's values) as nested vectors of the same depth; a null parameter counts as a null image."""
+def _each(df: DataFrame, key: str, to: str | None, depth: int, f: Callable[..., Sequence[np.ndarray]], *params: Column, made: int | None = None) -> DataFrame:
+    """Puts f(stack, each parameter's values) as nested vectors of the same depth, or of `made`; a null parameter counts as a null image."""
+    made = made or depth
 
     def run(*columns: pa.Array) -> pa.Array:
         images, values = columns[0], columns[1:]
@@ -69,10 +70,10 @@ def _each(df: DataFrame, key: str, to: str | None, depth: int, f: Callable[...,
             if good.any():
                 for i, x in zip(rows[good].tolist(), f(stack[good], *(g[good] for g in given)), strict=True):
                     out[i] = x
-        return nested(out, depth)
+        return nested(out, made)
 
-    kind = "array<" * depth + "double" + ">" * depth
-    return put(df, to or key, F.arrow_udf(run, kind)(col(key).cast(kind), *params))
+    kind = lambda d: "array<" * d + "double" + ">" * d
+    return put(df, to or key, F.arrow_udf(run, kind(made))(col(key).cast(kind(depth)), *params))
 
 
 # -- resizing ------------------------------------------------------------------------------
@@ -155,6 +156,106 @@ def resize_and_pad(df: DataFrame, key: str, shape: tuple[int, int], padding: tup
     return _each(df, key, to, 2, run)
 
 
+@op(reads="key", writes="to|key")
+def crop_or_pad(df: DataFrame, key: str, shape: Sequence[int], move: Sequence[Column | float] | float = 0.5, to: str | None = None, fill: float = 0.0) -> DataFrame:
+    """An image or volume cut to `shape`, or filled up at the ends of shorter axes. `move` says for each axis (or for all) where in
+    the room that there is the cut begins: 0.5 is the middle."""
+    moves = [move] * len(shape) if isinstance(move, (int, float, Column)) else list(move)
+
+    def run(stack, *given):
+        out = np.full((len(stack), *shape), float(fill))
+        for i, image in enumerate(stack):
+            starts = [round(float(g[i]) * max(n - m, 0)) for g, n, m in zip(given, image.shape, shape, strict=True)]
+            part = image[tuple(slice(a, a + m) for a, m in zip(starts, shape, strict=True))]
+            out[(i, *(slice(0, n) for n in part.shape))] = part
+        return out
+
+    return _each(df, key, to, len(shape), run, *map(_number, moves))
+
+
+@op(reads="keys names", writes="keys")
+def random_crop(df: DataFrame, keys: Sequence[str], axes: int, seed: object, *names: str, scale: tuple[float, float] | None = (0.4, 1.0), shape: Sequence[int] | None = None, fixed: Sequence[int] = ()) -> DataFrame:
+    """The same random cut of several images or volumes of one shape: a drawn share of every axis, or `shape` if `scale` is None, at a
+    drawn place. Axes in `fixed` stay whole. Draws depend on the seed and the columns `names`."""
+    u = lambda place: uniform(f"{seed}/{place}", *names)
+
+    def run(stack, share, *starts):
+        size = np.stack([np.rint(share * n) if scale is not None else np.full(len(stack), m) for n, m in zip(stack.shape[1:], shape or stack.shape[1:], strict=True)], axis=1).astype(int)
+        out = []
+        for image, want, at in zip(stack, size.tolist(), zip(*starts, strict=True), strict=True):
+            begin = [int(x * (n - m + 1)) for x, n, m in zip(at, image.shape, want, strict=True)]
+            out.append(image[tuple(slice(None) if a in fixed else slice(b, b + m) for a, (b, m) in enumerate(zip(begin, want, strict=True)))])
+        return out
+
+    low, high = scale or (1.0, 1.0)
+    drawn = F.lit(float(low)) + u("scale") * F.lit(float(high - low))
+    for k in keys:
+        df = _each(df, k, None, axes, run, drawn, *(u(a) for a in range(axes)))
+    return df
+
+
+@op(reads="keys names", writes="keys")
+def random_flip(df: DataFrame, keys: Sequence[str], axes: int, seed: object, *names: str) -> DataFrame:
+    """Several images or volumes turned over along the same drawn axes."""
+
+    def turned(x: Column, axis: int) -> Column:
+        x = x if axis + 1 == axes else F.transform(x, lambda y: turned(y, axis + 1))
+        return F.when(uniform(f"{seed}/{axis}", *names) < 0.5, F.reverse(x)).otherwise(x)
+
+    return df.withColumns({k: turned(col(k), 0) for k in keys})
+
+
+@op(reads="key", writes="to|key")
+def squeeze_axis(df: DataFrame, key: str, axis: int, to: str | None = None) -> DataFrame:
+    """A volume of channels (4 axes) as an image of channels: spatial axis 1, 2 or 3 goes into the channels."""
+    order = {1: (0, 1, 2, 3), 2: (0, 2, 1, 3), 3: (0, 3, 1, 2)}[axis]
+
+    def run(stack):
+        x = np.transpose(stack, [0, *(a + 1 for a in order)])
+        return x.reshape(len(x), -1, *x.shape[3:])
+
+    return _each(df, key, to, 4, run, made=3)
+
+
+@op(reads="key", writes="to|key")
+def unsqueeze_axis(df: DataFrame, key: str, axis: int, channels: int, to: str | None = None) -> DataFrame:
+    """What squeeze_axis() has made of so many channels, as it was."""
+    order = {1: (0, 1, 2, 3), 2: (0, 2, 1, 3), 3: (0, 2, 3, 1)}[axis]
+
+    def run(stack):
+        x = stack.reshape(len(stack), channels, -1, *stack.shape[2:])
+        return np.transpose(x, [0, *(a + 1 for a in order)])
+
+    return _each(df, key, to, 3, run, made=4)
+
+
+@op(reads="key", writes="to|key")
+def classes_apart(df: DataFrame, key: str, classes: int, axes: int = 2, to: str | None = None) -> DataFrame:
+    """A mask of class numbers as one 0/1 mask for each class, the classes first."""
+
+    def equal(x: Column, c: Column, axis: int) -> Column:
+        return (x == c).cast("int") if axis == axes else F.transform(x, lambda y: equal(y, c, axis + 1))
+
+    return put(df, to or key, F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: equal(col(key), c, 0)))
+
+
+@op
+def pick_slice(df: DataFrame, image: str, mask: str, at: str, drop_blank: bool = False) -> DataFrame:
+    """Slice `at` (a column) of a volume and of its mask; with `drop_blank`, samples whose mask holds no class but in
+    its first part are dropped."""
+    df = df.withColumns({image: F.get(col(image), col(at)), mask: F.get(col(mask), col(at))})
+    if not drop_blank:
+        return df
+    rest = F.flatten(F.slice(col(mask), F.lit(2), F.greatest(F.size(col(mask)) - 1, F.lit(0))))
+    return df.where(F.coalesce(F.array_max(rest), F.lit(0)) >= 1)
+
+
+@op
+def copies(df: DataFrame, key: str, n: int, prefix: str = "crop_") -> DataFrame:
+    """The key's value as `n` keys, each for a cut of its own; the key itself goes."""
+    return df.withColumns({f"{prefix}{i}": col(key) for i in range(n)}).drop(key)
+
+
 # -- affine maps ---------------------------------------------------------------------------
 
 

@@ -123,6 +123,23 @@ class Pipeline:
         return hashlib.md5(str(self).encode()).hexdigest()
 
 
+def described(df: DataFrame, sample: str, keys: Sequence[str] | None = None, samples: int | None = None) -> DataFrame:
+    """(sample, key, type, length, content) of every key of samples, for a look at what a step makes: the length of texts, vectors
+    and maps, and the content as text; of the first `samples` in the order of their ids, if so many are asked for."""
+    keys = [c for c in df.columns if c != sample] if keys is None else list(keys)
+    if samples is not None:
+        df = df.orderBy(col(sample)).limit(samples)
+    kinds = dict(df.dtypes)
+
+    def length(k: str):
+        if kinds[k].startswith(("array", "map")):
+            return F.size(col(k)).cast("long")
+        return F.length(col(k)).cast("long") if kinds[k] in ("string", "binary") else F.lit(None).cast("long")
+
+    rows = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(kinds.get(k, "absent")).alias("type"), (length(k) if k in kinds else F.lit(None).cast("long")).alias("length"), (col(k).cast("string") if k in kinds else F.lit(None).cast("string")).alias("content")) for k in keys))
+    return df.select(col(sample).cast("string").alias("sample"), F.explode(rows).alias("x")).select("sample", "x.*")
+
+
 def summary(df: DataFrame) -> DataFrame:
     """(key, type, rows, nulls) of every column, in one pass."""
     one = df.agg(F.count("*").alias("n"), *(F.count_if(col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(df.columns)))
