@@ -105,58 +105,63 @@ def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray
     return sa
 
 
-def sort_suffixes(s: list[int]) -> list[int]:
+def sort_suffixes(s: np.ndarray) -> np.ndarray:
     """Suffix array of a string of whole numbers from 0, by induced sorting; the string of names calls this again, so that
     the work is linear. The empty suffix is the smallest."""
+    s = np.asarray(s, dtype=np.int64)
     n = len(s)
     if n < 2:
-        return list(range(n))
-    smaller = _classify(np.array(s, dtype=np.int64))
-    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).tolist()
-    ends = np.cumsum(np.bincount(s)).tolist()
-    begins, small = [0, *ends[:-1]], smaller.tolist()
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        at = ends.copy()
-        for p in reversed(seeds):
-            c = s[p]
-            at[c] -= 1
-            sa[at[c]] = p
-        at = begins.copy()
+        return np.arange(n)
+    smaller = _classify(s)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    ends = np.cumsum(np.bincount(s))
+    begins = np.append(0, ends[:-1])
+    # for each suffix the bucket of the one before it, if that is larger (smaller) than this one; -1 otherwise and for places yet open
+    larger_before, smaller_before = (np.append(np.append(-1, np.where(kind, s, -1)[:-1]), -1).tolist() for kind in (~smaller, smaller))
+
+    def induce(seeds: np.ndarray) -> np.ndarray:
+        """The suffix array that leftmost-smaller suffixes, in order, induce."""
+        first = np.full(n, n)
+        seeds = seeds[np.argsort(s[seeds], kind="stable")]
+        kinds = s[seeds]
+        first[ends[kinds] - np.searchsorted(kinds, kinds, side="right") + np.arange(len(seeds))] = seeds
+        sa, at = first.tolist(), begins.tolist()
         # the empty suffix comes first and induces the last one
         sa[at[s[-1]]] = n - 1
         at[s[-1]] += 1
-        for i in range(n):
-            p = sa[i] - 1
-            if p >= 0 and not small[p]:
-                c = s[p]
-                sa[at[c]] = p
-                at[c] += 1
-        at = ends.copy()
-        for i in range(n - 1, -1, -1):
-            p = sa[i] - 1
-            if p >= 0 and small[p]:
-                c = s[p]
-                at[c] -= 1
-                sa[at[c]] = p
-        return sa
-
-    if not lms:
+        for q in sa:
+            c = larger_before[q]
+            if c >= 0:
+                i = at[c]
+                sa[i] = q - 1
+                at[c] = i + 1
+        at = ends.tolist()
+        for q in reversed(sa):
+            c = smaller_before[q]
+            if c >= 0:
+                at[c] = i = at[c] - 1
+                sa[i] = q - 1
+        return np.array(sa)
+
+    if not len(lms):
         return induce(lms)
-    stop = [-1] * n
-    for p, q in zip(lms, [*lms[1:], n]):
-        stop[p] = q + 1
-    sorted_lms = [p for p in induce(lms) if stop[p] >= 0]
-    # names: equal for equal substrings up to and with the next leftmost-smaller place; the last one's runs to the end
-    name, last, now = [0] * n, sorted_lms[0], 0
-    for p in sorted_lms[1:]:
-        now += stop[p] - p != stop[last] - last or stop[p] > n or stop[last] > n or s[p : stop[p]] != s[last : stop[last]]
-        name[p] = now
-        last = p
-    names = [name[p] for p in lms]
-    order = sort_suffixes(names) if now < len(lms) - 1 else np.argsort(names).tolist()
-    return induce([lms[i] for i in order])
+    names, several = _names(s, lms, induce(lms))
+    return induce(lms[sort_suffixes(names) if several else np.argsort(names)])
+
+
+def _names(s: np.ndarray, lms: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(names of the leftmost-smaller places, whether some share one): equal for equal substrings up to and with the next such place;
+    the last one's runs to the end, which nothing else does. `sa` has them in order of these substrings."""
+    end = np.zeros(len(s), dtype=np.int64)
+    end[lms] = np.append(lms[1:] + 1, len(s))
+    ordered = sa[end[sa] > 0].astype(np.int64)
+    a, b = ordered[:-1], ordered[1:]
+    same = (end[a] - a == end[b] - b) & (a != lms[-1]) & (b != lms[-1])
+    pair = np.flatnonzero(same)
+    same[pair] = same_bytes(s, a[pair], b[pair], end[a[pair]] - a[pair])
+    name = np.empty(len(s), dtype=np.int64)
+    name[ordered] = np.append(0, np.cumsum(~same))
+    return name[lms], bool(same.any())
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -168,22 +173,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(lms) == 0:
         return _induce(s, smaller, lms)
-    first = _induce(s, smaller, lms[np.argsort(s[lms], kind="stable")])
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[lms] = True
-    sorted_lms = first[is_lms[first]].astype(np.int64)
-    # names: equal for equal substrings up to and with the next leftmost-smaller place; the last runs to the end, which nothing else does
-    end = np.empty(n, dtype=np.int64)
-    end[lms] = np.append(lms[1:] + 1, n)
-    a, b = sorted_lms[:-1], sorted_lms[1:]
-    same = (end[a] - a == end[b] - b) & (a != lms[-1]) & (b != lms[-1])
-    pair = np.flatnonzero(same)
-    same[pair] = same_bytes(s, a[pair], b[pair], end[a[pair]] - a[pair])
-    name = np.empty(n, dtype=np.int64)
-    name[sorted_lms] = np.append(0, np.cumsum(~same))
-    names = name[lms]
-    order = np.argsort(names, kind="stable") if names.max() == len(lms) - 1 else np.array(sort_suffixes(names.tolist()), dtype=np.int64)
-    return _induce(s, smaller, lms[order])
+    names, several = _names(s, lms, _induce(s, smaller, lms[np.argsort(s[lms], kind="stable")]))
+    return _induce(s, smaller, lms[sort_suffixes(names) if several else np.argsort(names)])
 
 
 def same_bytes(s: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
