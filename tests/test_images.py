@@ -156,3 +156,33 @@ def test_nested_and_stacked_are_inverse():
     for part in (column, pa.concat_arrays([column, column]).slice(2, 3)):
         for rows, stack in im.stacks(part, 3):
             assert stack.tolist() == [part[i].as_py() for i in rows]
+
+
+def test_crops_flips_and_squeezed_axes(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.random((5, 4)), rng.random((2, 7))
+    got = run(spark, [a, b, None], im.crop_or_pad("m", (3, 5), (1.0, 0.0), fill=-2.0))
+    assert np.array(got[0].m)[:, :4] == pytest.approx(a[2:]) and (np.array(got[0].m)[:, 4] == -2).all() and got[2].m is None
+    assert np.array(got[1].m)[:2] == pytest.approx(b[:, :5]) and (np.array(got[1].m)[2] == -2).all()
+    cubes = spark.createDataFrame([(i, rng.random((6, 5, 4)).tolist()) for i in range(30)], "id int, m array<array<array<double>>>").withColumn("s", F.col("m"))
+    before = {r.id: np.array(r.m) for r in cubes.collect()}
+    sizes = set()
+    for r in im.random_crop(["m", "s"], 3, 1, "id", fixed=[0])(cubes).collect():
+        m, whole = np.array(r.m), before[r.id]
+        assert r.m == r.s and m.shape[0] == 6
+        assert any((whole[:, y : y + m.shape[1], x : x + m.shape[2]] == m).all() for y in range(5) for x in range(4) if whole[:, y : y + m.shape[1], x : x + m.shape[2]].shape == m.shape)
+        sizes.add(m.shape)
+    assert len(sizes) > 2
+    exact = im.random_crop(["m"], 3, 1, "id", scale=None, shape=(2, 2, 2))(cubes).collect()
+    assert {np.array(r.m).shape for r in exact} == {(2, 2, 2)}
+    flips = set()
+    for r in im.random_flip(["m", "s"], 3, 2, "id")(cubes).collect():
+        found = [axes for axes in ((), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)) if (np.flip(before[r.id], axes) == np.array(r.m)).all()]
+        assert r.m == r.s and len(found) == 1
+        flips.add(found[0])
+    assert len(flips) > 4
+    four = rng.random((2, 3, 4, 5))
+    for axis, order in {1: (0, 1, 2, 3), 2: (0, 2, 1, 3), 3: (0, 3, 1, 2)}.items():
+        rows = im.squeeze_axis("m", axis)(spark.createDataFrame([(four.tolist(),)], "m array<array<array<array<double>>>>"))
+        assert np.array(rows.first().m) == pytest.approx(four.transpose(order).reshape(-1, *four.transpose(order).shape[2:]))
+        assert np.array(im.unsqueeze_axis("m", axis, 2)(rows).first().m) == pytest.approx(four)
