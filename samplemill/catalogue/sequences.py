@@ -8,7 +8,7 @@ from ..functions.columns import digitize
 from ..operators import events as ev
 from ..operators import tokens as tk
 from ..operators import tries as tr
-from .base import query, rounded
+from .base import query, rounded, uniform_sql
 
 
 def daily(read):
@@ -180,3 +180,16 @@ def inject_embeddings(read):
     out = tr.inject(rows, "p_partkey", "segments", vectors, values)
     first = F.transform("embeddings", lambda v: F.coalesce(F.round(F.get(v, F.lit(0)).cast("double"), 6) + F.lit(0.0), F.lit(-9.0)))
     return out.select("p_partkey", "scalars", "scalars_valid", first.alias("first"), F.get("external", F.lit(0))["location"].alias("location"))
+
+
+DRAWN = f"""{D}, g AS (SELECT user_id, day, list(event_type ORDER BY event_id) || ['SEP'] AS t, ['u' || user_id % 3, 'v'] AS s FROM v GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM g, (SELECT unnest([true, false]) AS every)),
+h AS (SELECT o.*, floor({uniform_sql("4/start", "user_id")} * greatest((n - 1) // 2, 1)) AS a, n - 1 - floor({uniform_sql("4/stop", "user_id")} * greatest((n - 1) // 2, 1)) AS b FROM (SELECT user_id, day, t, s, every, row_number() OVER (PARTITION BY user_id, every ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY user_id, every) AS n FROM o) o),
+c AS (SELECT *, CASE WHEN every THEN s || t ELSE t END AS x, sum(CASE WHEN i >= a AND i < b THEN len(t) + CASE WHEN every THEN 2 ELSE 0 END ELSE 0 END) OVER (PARTITION BY user_id, every ORDER BY day DESC) AS total FROM h),
+k AS (SELECT user_id, every, ['CLS'] || CASE WHEN every THEN [] ELSE any_value(s) || ['SEP_STATIC'] END || coalesce(flatten(list(x ORDER BY day) FILTER (WHERE i >= a AND i < b AND total < 30)), []) AS t, any_value(CASE WHEN i = b THEN array_to_string(t, ' ') END) AS next FROM c GROUP BY 1, 2)"""
+
+
+@query(f"{DRAWN} SELECT user_id, every, array_to_string(list_transform(range(30), lambda i: coalesce(t[i + 1], 'PAD')), ' ') AS tokens, next FROM k")
+def sampled_trajectories(read):
+    visits = ev.sentences(daily(read), "user_id", "day", "event_type", "event_id").withColumn("static", F.array(F.concat(F.lit("u"), F.col("user_id") % 3), F.lit("v")))
+    parts = [ev.sampled_trajectory(visits, "user_id", "day", "tokens", 30, seed=4, static="static", in_all=x).withColumn("every", F.lit(x)) for x in (True, False)]
+    return parts[0].unionByName(parts[1]).select("user_id", "every", F.array_join("tokens", " ").alias("tokens"), F.array_join("next", " ").alias("next"))

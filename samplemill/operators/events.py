@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, digitize
+from ..functions.columns import col, digitize, uniform
 from ..functions.running import numbered, running
 from ..functions.storage import cut
 from ..metrics.base import join_groups
@@ -125,6 +125,29 @@ def trajectory(visits: DataFrame, key: str, time: str, tokens: str, length: int,
     return out.select(col(key), F.concat(F.array(*map(F.lit, first)), "k").alias("trajectory"), "next")
 
 
+def sampled_trajectory(visits: DataFrame, key: str, time: str, tokens: str, length: int, seed: object = None, static: str | None = None, in_all: bool = False, first: Sequence[str] = ("CLS",), static_end: str = "SEP_STATIC", pad: str = "PAD") -> DataFrame:
+    """(key, tokens, next): a drawn range of a key's visits as one sequence of `length` tokens, and the tokens of the visit after it.
+
+    With a seed the range begins in the first half of the visits but the last and ends in the second half, as drawn by the
+    seed and the key; without one it is all but the last. Of its visits the latest stay that together have under
+    `length` tokens. The tokens of the column `static` stand before every visit (in_all) or once at the
+    beginning, before `static_end`. Keys of fewer than three visits are not drawn from."""
+    order, back = Window.partitionBy(col(key)).orderBy(col(time)), Window.partitionBy(col(key)).orderBy(col(time).desc())
+    rows = visits.withColumns({"__i": F.row_number().over(order) - 1, "__all": F.count("*").over(Window.partitionBy(col(key)))})
+    half = F.greatest(F.floor((F.col("__all") - 1) / 2), F.lit(1))
+    drawn = lambda name: F.lit(0) if seed is None else F.floor(uniform(f"{seed}/{name}", key) * half)
+    rows = rows.withColumns({"__start": drawn("start"), "__stop": F.col("__all") - 1 - drawn("stop")})
+    own = F.coalesce(col(static), F.array().cast("array<string>")) if static else F.array().cast("array<string>")
+    rows = rows.withColumn("__v", F.concat(own, col(tokens)) if in_all else col(tokens))
+    inside = (F.col("__i") >= F.col("__start")) & (F.col("__i") < F.col("__stop"))
+    rows = rows.withColumns({"__in": inside, "__sum": F.sum(F.when(inside, F.size("__v")).otherwise(0)).over(back.rowsBetween(Window.unboundedPreceding, 0))})
+    kept = F.array_sort(F.collect_list(F.when(F.col("__in") & (F.col("__sum") < length), F.struct(F.col("__i").alias("i"), F.col("__v").alias("x")))))
+    out = rows.groupBy(col(key).alias(key)).agg(F.flatten(F.transform(kept, lambda v: v["x"])).alias("k"), F.max(F.when(F.col("__i") == F.col("__stop"), col(tokens))).alias("next"), F.first(own).alias("s"))
+    head = F.array(*map(F.lit, first))
+    head = head if in_all else F.concat(head, F.col("s"), F.array(F.lit(static_end)))
+    return out.select(col(key), fit(F.concat(head, F.col("k")), length, pad).alias("tokens"), "next")
+
+
 def multi_hot(tokens: Column, words: Sequence[str]) -> Column:
     return F.array(*(F.array_contains(tokens, w).cast("double") for w in words))
 
