@@ -129,3 +129,23 @@ def pick_slice(read):
     rows = pictures(read).withColumns({"mask": mask, "at": (F.col("vec_id") % 8).cast("int")})
     out = im.copies("m", 2)(im.pick_slice("m", "mask", "at", drop_blank=True)(rows))
     return out.select("vec_id", rounded_vector("crop_0"), rounded_vector("crop_1"))
+
+
+def _corner(o: str, m: int) -> tuple[str, str, str]:
+    at = f"({o} * 7 / {m - 1}e0)"
+    low = f"least(floor({at}), 6)"
+    return low, f"({low} + 1)", f"({at} - {low})"
+
+
+_YC, _XC = _corner("(k // 12)", 5), _corner("(k % 12)", 12)
+CORNERS = " + ".join(f"{pixel(_YC[a], _XC[b])} * {_YC[2] if a else f'(1 - {_YC[2]})'} * {_XC[2] if b else f'(1 - {_XC[2]})'}" for a in (0, 1) for b in (0, 1))
+
+
+@query(f"SELECT vec_id, {CELL.format(n=60, value=CORNERS)} FROM embeddings")
+def zoom_linear(read):
+    return flat(im.resize("m", (5, 12), method="corners")(pictures(read)))
+
+
+@query(f"SELECT vec_id, {CELL.format(n=60, value=pixel('floor(k // 12 * 7 / 4e0 + 0.5e0)', 'floor(k % 12 * 7 / 11e0 + 0.5e0)'))} FROM embeddings")
+def zoom_nearest(read):
+    return flat(im.resize("m", (5, 12), method="corners-nearest")(pictures(read)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, on_all, top_level
 from ..metrics import classification as mc
 from ..metrics import masks as mm
+from ..operators import batches as ob
 from ..operators import control as oc
 from ..operators import events as ev
 from ..operators import samples as so
@@ -17,7 +18,7 @@ from ..plans.evaluator import with_interval
 from ..plans.pipeline import described
 from ..streaming import incremental as inc
 from .base import S, predictions, query, rounded, rounded_vector, uniform_sql
-from .evaluation import CURVE, weighted
+from .evaluation import CURVE, MASK, masks, weighted
 from .sequences import D, daily
 
 
@@ -159,3 +160,23 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), 'n_chars', 'bigint', NULL, CAST(n_char
 def described_samples(read):
     rows = read("documents").select("doc_id", "lang", "n_chars", F.split("source", "r").alias("words"))
     return described(rows, "doc_id", ["lang", "n_chars", "words", "none"], 25)
+
+
+@query("SELECT vec_id // 8 AS batch, list(list_transform(embedding[1:5], lambda x: round(CAST(x AS DOUBLE), 6) + 0e0) ORDER BY vec_id)[1] AS first, CAST(sum(5) AS BIGINT) AS elements FROM embeddings GROUP BY 1")
+def crop_batch_like(read):
+    rows = read("embeddings").select(F.floor(F.col("vec_id") / 8).cast("long").alias("batch"), "vec_id", "embedding")
+    lists = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("l"))
+    lists = lists.select("batch", F.transform("l", lambda x: F.slice(x["embedding"], 1, 5)).alias("a"), F.transform("l", lambda x: x["embedding"]).alias("b"))
+    out = ob.crop_like("a", "b")(lists)
+    return out.select("batch", F.get("b", F.lit(0)).alias("first"), F.size(F.flatten("b")).cast("long").alias("elements")).select("batch", rounded_vector("first"), "elements")
+
+
+@query(f"{MASK}, d AS (SELECT label, avg(2 * b / (pp + tt)) AS dice FROM l GROUP BY label) SELECT round(sum(dice * CASE WHEN label = 1 THEN 0.25e0 ELSE 1.5e0 END) / count(*), 6) AS dice FROM d")
+def mask_average(read):
+    return rounded(mm.average(mm.mask_metric("dice", "vec_id", "p", "t"), "dice", {1: 0.25, 2: 1.5})(masks(read), []))
+
+
+@query("SELECT n_nationkey, CAST(CAST(n_regionkey AS VARCHAR) AS BIGINT) AS region, CAST(CAST(n_nationkey AS VARCHAR) || '7' AS BIGINT) AS seven FROM nation")
+def cast_like(read):
+    rows = read("nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.col("n_regionkey").cast("string").alias("region"), F.concat(F.col("n_nationkey").cast("string"), F.lit("7")).alias("seven"))
+    return so.cast_like(["region", "seven"], "n_nationkey")(rows)

@@ -90,12 +90,19 @@ def mirrored(i: np.ndarray, n: int) -> np.ndarray:
 def taps(n: int, m: int, method: str = "linear", smooth: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights), each m x taps: how the m elements of a resized axis come from its n.
 
-    nearest takes the element whose cell holds the new cell's middle. linear weighs the two elements around the
+    nearest takes the element whose cell holds the new cell's middle; corners and corners-nearest lay the first and last
+    elements of both axes on each other and weigh two neighbours, or take the nearer one. linear weighs the two elements around the
     middle, ends being mirrored; with `smooth`, a shrinking axis is first smoothed by a Gaussian of standard deviation
     (n / m - 1) / 2."""
     middle = (np.arange(m) + 0.5) * n / m
     if method == "nearest":
         return np.minimum(np.floor(middle), n - 1).astype(np.int64)[:, None], np.ones((m, 1))
+    if method in ("corners", "corners-nearest"):
+        place = np.arange(m) * (n - 1) / max(m - 1, 1)
+        if method == "corners-nearest":
+            return np.floor(place + 0.5).astype(np.int64)[:, None], np.ones((m, 1))
+        at = np.minimum(np.floor(place), max(n - 2, 0)).astype(np.int64)
+        return np.stack([at, np.minimum(at + 1, n - 1)], axis=1), np.stack([1 - place + at, place - at], axis=1)
     if method != "linear":
         raise ValueError(f"no resizing by {method!r}")
     at = np.floor(middle - 0.5)

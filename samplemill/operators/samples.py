@@ -137,6 +137,13 @@ def cast(df: DataFrame, keys: str | Sequence[str], to: str) -> DataFrame:
     return df.withColumns({k: col(k).cast(f"array<{kind}>" if isinstance(df.schema[k].dataType, ArrayType) else kind) for k in keys})
 
 
+@op(reads="keys like", writes="keys")
+def cast_like(df: DataFrame, keys: str | Sequence[str], like: str) -> DataFrame:
+    """The keys in the type of another key."""
+    kind = df.schema[like].dataType
+    return df.withColumns({k: col(k).cast(kind) for k in ([keys] if isinstance(keys, str) else keys)})
+
+
 @op(reads="key", writes="key")
 def byte_list(df: DataFrame, key: str) -> DataFrame:
     """The bytes of a binary value as numbers."""
