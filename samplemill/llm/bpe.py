@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .spark_io import arrow_stage, documents
+from .spark_io import arrow_stage, documents, kept_between_tasks
 
 #: Bytes of a leaf; words up to this length are one leaf.
 LEAF = 64
@@ -261,10 +261,13 @@ class Vocabulary:
 
 @lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
-    """One per worker."""
+    """One per worker, until it begins a stage without one."""
     return Vocabulary(path)
 
 
+kept_between_tasks(vocabulary.cache_clear)
+
+
 def default_path() -> str:
     """The public tokenizer of the queries; looked up where it is called."""
     import public_tokenizers
@@ -284,7 +287,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids, at = vocabulary(path or default_path()).encode(data, offs)
             yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return arrow_stage(documents(docs), each, "doc_id long, ids array<int>")
+    return arrow_stage(documents(docs), each, "doc_id long, ids array<int>", keeps=True)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -296,7 +299,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
         yield pa.record_batch([batch.column(0), vocabulary(path or default_path()).decode(ids, np.append(0, np.cumsum(counts)))], ["doc_id", "text"])
 
-    return arrow_stage(encoded.select(encoded["doc_id"].cast("long"), encoded["ids"]), each, "doc_id long, text string")
+    return arrow_stage(encoded.select(encoded["doc_id"].cast("long"), encoded["ids"]), each, "doc_id long, text string", keeps=True)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -316,4 +319,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 pa.array([hashlib.sha256(shown[x:y]).hexdigest() for x, y in zip(places[:-1].tolist(), places[1:].tolist())]),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_stage(documents(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_stage(documents(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

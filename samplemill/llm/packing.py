@@ -159,4 +159,4 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, windows: tup
         packer.pack(last=True)
         yield packer.take()
 
-    return documents(docs).mapInArrow(released(each), SCHEMA)
+    return documents(docs).mapInArrow(released(each, keeps=True), SCHEMA)

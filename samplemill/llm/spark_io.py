@@ -72,10 +72,26 @@ def _give_back() -> None:
         pass
 
 
-def released(func: Callable) -> Callable:
-    """func for mapInArrow, after whose end its worker gives memory back."""
+#: What drops the large tables that some stages keep between their tasks.
+_KEPT: list[Callable[[], None]] = []
+
+
+def kept_between_tasks(drop: Callable[[], None]) -> None:
+    """Registers `drop`: a worker calls it when it begins a stage that does not keep the table."""
+    _KEPT.append(drop)
+
+
+def _drop_kept() -> None:
+    for drop in _KEPT:
+        drop()
+
+
+def released(func: Callable, keeps: bool = False) -> Callable:
+    """func for mapInArrow, after whose end its worker gives memory back. With `keeps`, tables that are kept between tasks stay."""
 
     def each(it):
+        if not keeps:
+            _drop_kept()
         try:
             yield from func(it)
         finally:
@@ -84,8 +100,8 @@ def released(func: Callable) -> Callable:
     return each
 
 
-def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | StructType, keeps: bool = False) -> DataFrame:
+    """mapInArrow with a function of one batch; `keeps` as in released()."""
 
     def each(it):
         for batch in it:
@@ -96,7 +112,7 @@ def arrow_stage(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.Reco
                 elif out is not None:
                     yield from out
 
-    return df.mapInArrow(released(each), schema)
+    return df.mapInArrow(released(each, keeps), schema)
 
 
 class KeyFilter:
