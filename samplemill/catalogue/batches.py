@@ -79,7 +79,8 @@ def pad_batch(read):
 def crop_padding(read):
     rows = ob.collate("o", "l_linenumber", ["v"])(read("lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", (F.col("l_partkey") + 1).cast("long").alias("v")))
     rows = rows.withColumns({"b": F.floor(F.col("o") / 8).cast("long"), "v": F.concat("v", F.array_repeat(F.lit(0).cast("long"), 12))})
-    cropped = ob.crop_padding("v", fill=0)(ob.collate("b", "o", ["v"])(rows))
+    # cropping takes padded vectors of one length
+    cropped = ob.crop_padding("v", fill=0)(ob.pad_batch("v", fill=0)(ob.collate("b", "o", ["v"])(rows)))
     return cropped.select("b", F.size(F.get("v", F.lit(0))).cast("long").alias("n"))
 
 
