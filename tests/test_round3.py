@@ -3,8 +3,11 @@
 import hashlib
 import math
 
+import __spark_entry__ as entry
+import duckdb
 import pytest
 from pyspark.sql import functions as F
+from samplemill.functions.columns import round_signed
 from samplemill.operators import control as oc
 
 
@@ -23,3 +26,32 @@ def test_failed_rows_take_the_next_good_bucket(spark):
     at = lambda b: next(first[(b + k) % 64] for k in range(64) if (b + k) % 64 in first)
     assert {r.id: r.v for r in out.collect()} == {i: 10 * (i if i % 3 == 0 else at(int(drawn("3/bad", i) * 64))) for i in range(200)}
     assert oc.replace_failed(F.lit(True), seed=3, key="id")(rows).count() == 0
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    values = [-1e-9, 1e-9, -0.0, 0.0, 0.0000005, -0.0000015, 1.2345675, -0.1, 12.0, None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", round_signed(F.col("x"), 6).alias("x")).sort("i").collect()
+    for r, v in zip(got, values, strict=True):
+        want = None if v is None else math.copysign(math.floor(abs(v * 1e6) + 0.5) / 1e6, v)
+        assert r.x == want and (v is None or math.copysign(1, r.x) == math.copysign(1, v))
+
+
+@pytest.mark.parametrize("name", ["array_ranges", "crop_flip_pad"])
+def test_tiny_negatives_round_as_in_sql(spark, tmp_path, name):
+    # element 3 is in `clipped`, 6 in `flipped`, 19 in `block`, 60 in `padded`
+    vector = [-2e-7 if i in (3, 6, 19, 60) else (i - 30) / 64 for i in range(64)]
+    spark.createDataFrame([(7, vector, 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = entry.queries()[name](spark, str(tmp_path)).toPandas().iloc[0]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    cursor = db.execute(entry.oracle_sql()[name])
+    want = dict(zip([c[0] for c in cursor.description], cursor.fetchall()[0], strict=True))
+    plain = lambda v: [plain(x) for x in v] if hasattr(v, "__len__") else repr(float(v))
+    assert {c: plain(got[c]) for c in want} == {c: plain(v) for c, v in want.items()}
+    assert "'-0.0'" in str(plain(got["clipped" if name == "array_ranges" else "padded"]))
+
+
+def test_a_short_first_order_does_not_cut_the_others_count(spark, tmp_path):
+    rows = [(8, 1, 5)] + [(9, i, i) for i in range(40)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in entry.queries()["crop_padding"](spark, str(tmp_path)).collect()] == [(1, 40)]
