@@ -345,8 +345,11 @@ def box_detection(read):
 
 @query("WITH r AS (SELECT l_orderkey AS b, l_partkey AS item, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2), k AS (SELECT b, item, row_number() OVER (PARTITION BY b ORDER BY q, item) AS rk FROM r), d AS (SELECT DISTINCT x.item AS low, y.item AS high FROM k x JOIN k y ON x.b = y.b AND x.rk < y.rk), s AS (SELECT high AS item, 1 AS s FROM d UNION ALL SELECT low, -1 FROM d) SELECT item, CAST(sum(s) AS BIGINT) AS score FROM s GROUP BY item")
 def aggregate_pair_scores(read):
-    rows = read("lineitem").groupBy(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("item")).agg(F.max("l_quantity").alias("q"))
-    return mk.pair_scores(rows.withColumn("rank", F.row_number().over(Window.partitionBy("batch").orderBy("q", "item"))))
+    lines = read("lineitem")
+    n = lines.count()
+    lines = lines.select(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("item"), "l_quantity").repartition(mk.parts_of(n), "batch")
+    rows = lines.groupBy("batch", "item").agg(F.max("l_quantity").alias("q"))
+    return mk.pair_scores(rows.withColumn("rank", F.row_number().over(Window.partitionBy("batch").orderBy("q", "item"))), n)
 
 
 BATCHED = f"""WITH i AS (SELECT p_partkey AS item, CAST(p_retailprice AS DOUBLE) AS v, count(*) OVER () AS n FROM part), d AS (SELECT item, v, r * round(n / 8) + floor({uniform_sql("5", "r", "item")} * round(n / 8)) AS batch FROM i, LATERAL (SELECT CAST(unnest(range(CAST(ceil(ceil(2 * i.n * log10(i.n)) / i.n) AS BIGINT))) AS BIGINT) AS r)),
