@@ -65,7 +65,8 @@ def placed(df: DataFrame, order: str, tie: str, by: Sequence[str] = ()) -> DataF
     for i, b in enumerate([*by, order]):
         cond &= col(b).eqNullSafe(F.col(f"__r_{i}"))
     start = start.select(*(col(b).alias(f"__r_{i}") for i, b in enumerate([*by, order])), "__start")
-    return rows.join(start, cond).select(*map(col, [*by, order, tie]), (F.col("__start") + F.col("__in")).alias("place"))
+    # both sides lie by the order's values already; the planner must not take a table of all values for a small one
+    return rows.join(start.hint("shuffle_hash"), cond).select(*map(col, [*by, order, tie]), (F.col("__start") + F.col("__in")).alias("place"))
 
 
 def mid_ranks(df: DataFrame, order: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
