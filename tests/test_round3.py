@@ -8,8 +8,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from samplemill.functions.columns import round_signed
+from samplemill.metrics import masks as mm
 from samplemill.metrics import ranking as mk
 from samplemill.operators import control as oc
+from samplemill.operators import tries as tr
 
 
 def drawn(seed, key):
@@ -66,3 +68,65 @@ def test_joins_of_rankings_are_dealt(spark):
     ranked = items.select((F.col("item") % 7).alias("batch"), "item", F.col("v").alias("rank"))
     assert "BroadcastHashJoin" not in plan(mk.pair_scores(ranked))
     assert {tuple(r) for r in mk.pair_scores(ranked).collect()} == {tuple(r) for r in mk.pair_scores(ranked, 10**6).collect()}
+
+
+def plain_rle(mask):
+    out, last = [0], 0
+    for x in mask:
+        if x != last:
+            out.append(0)
+            last = x
+        out[-1] += 1
+    return out
+
+
+def test_run_lengths_of_arrays(spark):
+    masks = [[1, 1, 0], [], None, [0], [1], [0, 0, 1, 1, 1, 0, 1], [0, 1], [1, 0]]
+    rows = spark.createDataFrame(list(enumerate(masks)), "i int, m array<int>").select("i", "m", mm.mask_rle(F.col("m")).alias("r"))
+    rows = rows.withColumns({"back": mm.rle_mask(F.col("r")), "iou": mm.vector_iou(F.col("m"), F.reverse("m"))}).coalesce(1)
+    # by arrays of many rows, not element by element
+    assert "lambda" not in rows.select("r", "back")._jdf.queryExecution().optimizedPlan().toString()
+    got = rows.sort("i").collect()
+    assert [r.r for r in got] == [m if m is None else plain_rle(m) for m in masks] and [r.back for r in got] == masks
+    assert [round(r.iou, 6) for r in got] == [round(1 / 3, 6), 0, 0, 0, 1, 0.6, 0, 0]
+
+
+def test_polygons_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(mm, "TESTS", 64)
+    square, triangle = [(1.0, 1.0), (4.0, 1.0), (4.0, 3.0), (1.0, 3.0)], [(0.0, 0.0), (5.0, 0.0), (0.0, 5.0)]
+    shapes = [square, None, [], triangle, square]
+    rows = spark.createDataFrame(list(enumerate(shapes)), "i int, p array<struct<x:double,y:double>>").coalesce(1).select("i", mm.polygon_mask(F.col("p"), 4, 5).alias("m"))
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.m for r in rows.sort("i").collect()]
+    box = [int(1 < x + 0.5 < 4 and 1 < y + 0.5 < 3) for y in range(4) for x in range(5)]
+    assert got == [box, None, [0] * 20, [int(x + y + 1 < 5) for y in range(4) for x in range(5)], box]
+
+
+def test_masks_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mm, "BLOCK", 16)
+    mask = lambda k: [(k >> b) & 1 for b in range(4)]
+    preds = spark.createDataFrame([(i % 2, mask(i * 7 % 16)) for i in range(40)] + [(0, None), (5, mask(3))], "image int, mask array<int>")
+    held = [(i % 3, i, mask(i % 16), i % 4 == 0) for i in range(60)] + [(0, 60, None, False), (0, 61, [1] * 9, False)]
+    targets = spark.createDataFrame(held, "image int, target_id int, mask array<int>, crowd boolean")
+
+    def best(image, t, crowd):
+        out = [0.0]
+        for i in range(40) if t is not None and len(t) == 4 else []:
+            p = mask(i * 7 % 16)
+            both = sum(a * b for a, b in zip(p, t, strict=True))
+            of = sum(p) if crowd else sum(p) + sum(t) - both
+            out.append(both / of if i % 2 == image and of else 0.0)
+        return max(out)
+
+    found = mm.mask_matches(preds, targets)
+    assert {r.target_id: round(r.iou, 9) for r in found.collect()} == {k: round(best(i, t, c), 9) for i, k, t, c in held}
+    # a block holds a bounded number of elements
+    assert max(len(r.rows) for r in mm._mask_blocks(preds.where("mask is not null")).collect()) <= 16
+
+
+def test_injected_numbers_are_bound_once(spark):
+    rows = spark.createDataFrame([(1, [3, 4], [2])], "k int, ids array<long>, segment_sizes array<long>")
+    rows = rows.withColumn("segments", F.array(F.struct(F.lit(tr.LITERALS).alias("kind"), F.lit("7,8").alias("text"))))
+    vectors = spark.createDataFrame([], "model string, name string, at long, vector array<float>")
+    plan = tr.inject(rows, "k", "segments", vectors).select("scalars")
+    assert plan.first().scalars == [7.0, 8.0]
