@@ -206,13 +206,15 @@ def inject(df: DataFrame, key: str, segments: str, vectors: DataFrame, values: d
         return F.struct(F.get(parts, F.lit(0)).alias("model"), F.get(parts, F.lit(1)).alias("name"), x["p"].alias("location"), x["c"].alias("length"))
 
     made = F.flatten(F.transform(pairs, numbers))
-    fitted = F.transform(F.col("ids"), lambda _, i: F.get(made, i))
+    # bound once for all ids, not computed anew at each
+    fitted = F.get(F.transform(F.array(made), lambda m: F.transform(F.col("ids"), lambda _, i: F.get(m, i))), F.lit(0))
     out = df.withColumns({"scalars_valid": F.transform(fitted, lambda x: x.isNotNull()), "scalars": F.transform(fitted, lambda x: F.coalesce(x, F.lit(default)))})
     out = out.withColumn("external", F.transform(F.filter(pairs, lambda x: x["s"]["kind"] == EXTERNAL), external))
     wanted = out.select(col(key).alias("__k"), n.alias("__n"), F.explode("external").alias("e")).select("__k", "__n", "e.*")
-    joined = wanted.join(vectors.select("model", "name", "at", "vector"), ["model", "name"])
+    joined = wanted.join(vectors.select("model", "name", "at", "vector").hint("merge"), ["model", "name"])
     # a vector's place is that of its rank among the name's; ranks come with `at`, which counts from 0
     laid = joined.withColumn("i", F.col("location") + F.col("at")).where("at >= 0 and at < length and i < __n")
     laid = laid.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("i", "vector"))).alias("__v"))
-    out = out.join(laid, col(key) == F.col("__k"), "left").drop("__k")
+    # neither side is small: the planner must not send one to all tasks
+    out = out.join(laid.hint("shuffle_hash"), col(key) == F.col("__k"), "left").drop("__k")
     return out.withColumn("embeddings", F.transform("ids", lambda _, i: F.try_element_at("__v", i.cast("long")))).drop("__v")
