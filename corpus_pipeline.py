@@ -54,9 +54,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of runs of more than 50 words that stand elsewhere too."""
+    """Texts without the bytes of strings of suffix.LENGTH bytes and without the words of runs of more than 50 words that stand elsewhere too."""
     renamed, names = carry(docs)
-    return _rewritten(suffix.deduplicate_words(renamed, keep=tuple(names)), F.make_valid_utf8(F.col("kept").cast("string")), names)
+    return _rewritten(suffix.deduplicate_words(renamed, keep=tuple(names), length=suffix.LENGTH), F.make_valid_utf8(F.col("kept").cast("string")), names)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

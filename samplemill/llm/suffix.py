@@ -688,13 +688,26 @@ def word_codes(column: pa.Array) -> pa.Array:
     return pa.concat_arrays(out).cast(pa.string()) if out else pa.array([], pa.string())
 
 
-def deduplicate_words(docs: DataFrame, words: int = RUN_WORDS, anchor: int = ANCHOR_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def _with_repeats(docs: DataFrame, length: int, *keep: str) -> DataFrame:
+    """(doc_id, text, *keep, wide): the repeats of `length` bytes beside each text; only texts that have some are moved."""
+    found = cut(spans(docs, length).select("k1", "k2", F.col("spans").alias("wide")))
+    key = F.xxhash64("k1", "k2")
+    keyed = _keyed(docs, *keep).withColumn("__some", within(key_filter(found.select(key.alias("key"))), key))
+    rows = keyed.where("__some").join(found, ["k1", "k2"], "left").select("doc_id", "text", *keep, "wide")
+    return rows.unionByName(keyed.where("not __some").select("doc_id", "text", *keep, F.lit(None).cast(found.schema["wide"].dataType).alias("wide")))
+
+
+def deduplicate_words(docs: DataFrame, words: int = RUN_WORDS, anchor: int = ANCHOR_WORDS, keep: tuple[str, ...] = (), length: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept binary, *keep) of every document.
 
     Each word in a run of `words` words that also starts anywhere else, in this text or another,
     is removed with the white space up to the next word; words compare byte by byte, white
-    space between them does not count. Rows equal in id and words are repeats of each other. Null
-    and empty texts lose nothing."""
+    space between them does not count. Rows equal in id and words are repeats of each other. With `length`,
+    each byte under a string of so many bytes that also starts anywhere else goes too, as in `deduplicate`; both are judged on
+    the texts as given. Null and empty texts lose nothing."""
+    if length is not None:
+        docs = _with_repeats(docs, length, *keep)
+        keep = (*keep, "wide")
     types = dict(docs.dtypes)
     more = [f"`{c}` {types[c]}" for c in keep]
 
@@ -711,19 +724,22 @@ def deduplicate_words(docs: DataFrame, words: int = RUN_WORDS, anchor: int = ANC
         both = np.stack([flat.field("start").to_numpy(zero_copy_only=False), flat.field("end").to_numpy(zero_copy_only=False)], axis=1) if len(flat) else np.zeros((0, 2), np.int64)
         at = np.append(0, np.cumsum([x or 0 for x in lists.value_lengths().to_pylist()])).astype(np.int64)
         both = both // CODE
+        wide, wide_at = _lists(batch.column(batch.num_columns - 1)) if length is not None else (None, None)
         out: list[tuple] = []
         for a, b, data, offs in tv.batches(batch.column(1)):
             starts, _, first = word_places(data, offs)
             for i in range(b - a):
                 text, place = data[offs[i] : offs[i + 1]], starts[first[i] : first[i + 1]] - offs[i]
                 gone = _merged(both[at[a + i] : at[a + i + 1]])
-                if len(gone):
+                cuts = _merged(wide[wide_at[a + i] : wide_at[a + i + 1]]) if length is not None else gone[:0]
+                if len(gone) or len(cuts):
                     place = np.append(place, len(text))
                     stays = np.ones(len(text), dtype=bool)
-                    for x, y in gone.tolist():
-                        stays[place[x] : place[y]] = False
+                    for x, y in [*((place[x], place[y]) for x, y in gone.tolist()), *cuts.tolist()]:
+                        stays[x:y] = False
                     text = text[stays]
                 out.append((int(first[i + 1] - first[i]), int((gone[:, 1] - gone[:, 0]).sum()) if len(gone) else 0, text.tobytes()))
         yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept", *keep])
 
-    return arrow_stage(rows, each, ", ".join(["doc_id long, n_words long, n_removed long, kept binary", *more]))
+    out = arrow_stage(rows, each, ", ".join(["doc_id long, n_words long, n_removed long, kept binary", *more]))
+    return out if length is None else out.drop("wide")
