@@ -159,4 +159,5 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, windows: tup
         packer.pack(last=True)
         yield packer.take()
 
-    return documents(docs).mapInArrow(released(each, keeps=True), SCHEMA)
+    # a task loads the tokenizer anew (half a second): idle workers of an executor would each hold its tables
+    return documents(docs).mapInArrow(released(each), SCHEMA)

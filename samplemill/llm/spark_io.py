@@ -87,7 +87,8 @@ def _drop_kept() -> None:
 
 
 def released(func: Callable, keeps: bool = False) -> Callable:
-    """func for mapInArrow, after whose end its worker gives memory back. With `keeps`, tables that are kept between tasks stay."""
+    """func for mapInArrow, after whose end its worker gives memory back. With `keeps`, tables that are kept between tasks stay;
+    else they go before and after, so that only workers at work hold them."""
 
     def each(it):
         if not keeps:
@@ -95,6 +96,8 @@ def released(func: Callable, keeps: bool = False) -> Callable:
         try:
             yield from func(it)
         finally:
+            if not keeps:
+                _drop_kept()
             _give_back()
 
     return each
