@@ -278,25 +278,22 @@ def _decisions(u: Units):
         yield [h[some] for h in by_shape], 1 << j | (shape >> (4 - j)), shape >> (3 - j) & 1, 3, some
 
 
-def flow_learn(m: Mixer, u: Units, curve: np.ndarray, turn: int = 0) -> int:
+def flow_learn(m: Mixer, u: Units, curve: np.ndarray) -> None:
     """Online steps over some units: predict from the counts so far, correct, then count. All
-    is counted; the weights of every third decision, in turn, are corrected. Returns the next turn."""
+    is counted, and the weights of every decision are corrected."""
     decisions = list(_decisions(u))
     for a in range(0, len(u.cls), STEP):
-        for j, (base, node, bit, step, some) in enumerate(decisions):
+        for base, node, bit, step, some in decisions:
             x, y = np.searchsorted(some, (a, a + STEP))
             if x == y:
                 continue
             slots = m.slots([h[x:y] for h in base], node[x:y])
             b = bit[x:y]
-            if (turn + j) % 3 == 0:
-                x, gate = m.stretched(slots, step)
-                m.correct(x, gate, b, None, curve)
+            x, gate = m.stretched(slots, step)
+            m.correct(x, gate, b, None, curve)
             for t, s in zip(m.tables, slots, strict=True):
                 np.add.at(t.reshape(-1), s * 2 + b, np.float32(1))
         curve *= MEMORY
-        turn += 1
-    return turn
 
 
 def flow_log10(m: Frozen, u: Units) -> np.ndarray:
@@ -385,14 +382,13 @@ def spelling_count(m: Mixer, e: Edges, weight: np.ndarray) -> None:
             np.add.at(t.reshape(-1), s * 2 + bit, weight.astype(np.float32))
 
 
-def spelling_learn(m: Mixer, e: Edges, weight: np.ndarray, known: list, curve: np.ndarray, turn: int = 0) -> None:
+def spelling_learn(m: Mixer, e: Edges, weight: np.ndarray, known: list, curve: np.ndarray) -> None:
     order = np.argsort(e.node * np.uint64(0x9E3779B97F4A7C15), kind="stable")
     order = order[weight[order] > 0]
     for a in range(0, len(order), STEP):
         mine = order[a : a + STEP]
         base, place, w = [h[mine] for h in e.base], np.minimum(e.place[mine], GATES[1] - 1), weight[mine]
-        # every third bit in turn
-        for j in range((a // STEP + turn) % 3, 8, 3):
+        for j in range(8):
             node, bit = _bit(e.byte[mine], j)
             x, gate = m.stretched(m.slots(base, node), place, tuple(k[mine] for k in known[j]), bit)
             m.correct(x, gate, bit, w, curve)
@@ -632,10 +628,10 @@ def fit_flow(rows: DataFrame) -> Mixer:
 
     def each(it):
         m = flow_mixer()
-        curve, turn = np.zeros(m.weights.shape), 0
+        curve = np.zeros(m.weights.shape)
         for batch in it:
             for _, _, data, offs in tv.batches(batch.column(1)):
-                turn = flow_learn(m, units(data, offs), curve, turn)
+                flow_learn(m, units(data, offs), curve)
         yield from _sent(m, curve, True)
 
     return _summed(flow_mixer(), rows.where("train").mapInArrow(released(each), PARTS))
@@ -662,8 +658,8 @@ def fit_spelling(blocks: DataFrame, spanning) -> Mixer:
         for batch in it:
             for *_, e, weight in _edge_blocks(batch):
                 known = so_far_counts(e, weight, wide.value)
-                for turn in range(5):
-                    spelling_learn(m, e, weight, known, curve, turn)
+                for _ in range(2):
+                    spelling_learn(m, e, weight, known, curve)
         yield from _sent(m, curve, False)
 
     learned = _summed(counted, blocks.mapInArrow(released(learn), PARTS))

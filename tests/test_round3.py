@@ -4,10 +4,13 @@ import hashlib
 import math
 
 import __spark_entry__ as entry
+import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from samplemill.functions.columns import round_signed
+from samplemill.llm import bpe, lm, spark_io
 from samplemill.metrics import masks as mm
 from samplemill.metrics import ranking as mk
 from samplemill.operators import control as oc
@@ -130,3 +133,26 @@ def test_injected_numbers_are_bound_once(spark):
     vectors = spark.createDataFrame([], "model string, name string, at long, vector array<float>")
     plan = tr.inject(rows, "k", "segments", vectors).select("scalars")
     assert plan.first().scalars == [7.0, 8.0]
+
+
+def test_repeated_bytes_of_few_words_go_too(spark, tmp_path):
+    passage = " ".join(c * 43 for c in "abcdefghij")
+    rows = [(1, f"start1 {passage} end1.", "e"), (2, f"start2 {passage} end2.", "e"), (3, None, "e"), (4, passage[:399], "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.drop_repeats(spark, docs, str(tmp_path))
+    assert {r.doc_id: (r.text, r.lang) for r in out.collect()} == {1: ("start11.", "e"), 2: ("start22.", "e"), 3: ("", "e"), 4: (passage[:399], "e")}
+
+
+def test_every_decision_corrects_the_weights(monkeypatch):
+    m, seen = lm.flow_mixer(), []
+    monkeypatch.setattr(lm.Mixer, "correct", lambda self, x, gate, bit, weight, curve: seen.append(len(bit)))
+    text = np.frombuffer(("The quick brown fox jumps over the lazy dog.\n" * 3).encode(), np.uint8)
+    u = lm.units(text, np.array([0, len(text)]))
+    lm.flow_learn(m, u, np.zeros(m.weights.shape))
+    assert sum(seen) == sum(len(some) for *_, some in lm._decisions(u))
+
+
+def test_idle_workers_hold_no_tokenizer():
+    bpe.vocabulary(bpe.default_path())
+    assert list(spark_io.released(lambda it: (bpe.vocabulary(bpe.default_path()) and x for x in it))([1])) == [1]
+    assert bpe.vocabulary.cache_info().currsize == 0
