@@ -41,7 +41,7 @@ LENGTH, ANCHOR = 400, 128
 #: Bytes of a word's code; words of a run that repeats (more than 50); words of an anchor then.
 CODE, RUN_WORDS, ANCHOR_WORDS = 6, 51, 16
 #: Ranges of one anchor hash that a shard takes whole; bytes of a shard beyond which it takes no further hash.
-BLOCK, SHARD_BYTES = 4096, 1 << 21
+BLOCK, SHARD_BYTES = 4096, 1 << 19
 #: A byte that no UTF-8 text holds stands between a shard's ranges.
 GAP = 0xFF
 RANGES = "anchor long, whole long, k1 long, k2 long, span long, owned long, at int"
@@ -688,13 +688,16 @@ def word_codes(column: pa.Array) -> pa.Array:
     return pa.concat_arrays(out).cast(pa.string()) if out else pa.array([], pa.string())
 
 
-def _with_repeats(docs: DataFrame, length: int, *keep: str) -> DataFrame:
-    """(doc_id, text, *keep, wide): the repeats of `length` bytes beside each text; only texts that have some are moved."""
-    found = cut(spans(docs, length).select("k1", "k2", F.col("spans").alias("wide")))
+def _both_repeats(docs: DataFrame, coded: DataFrame, length: int | None, unit_length: int, anchor: int) -> DataFrame:
+    """(k1, k2, spans, wide) of the texts (by their own keys) that have runs of words, or repeats of `length` bytes. Only keys
+    and places are joined here; `coded` has (doc_id, text, own), the words' codes and the key of the text itself."""
+    found = cut(spans(coded.select("doc_id", "text"), unit_length, anchor, CODE))
     key = F.xxhash64("k1", "k2")
-    keyed = _keyed(docs, *keep).withColumn("__some", within(key_filter(found.select(key.alias("key"))), key))
-    rows = keyed.where("__some").join(found, ["k1", "k2"], "left").select("doc_id", "text", *keep, "wide")
-    return rows.unionByName(keyed.where("not __some").select("doc_id", "text", *keep, F.lit(None).cast(found.schema["wide"].dataType).alias("wide")))
+    names = _keyed(coded, "own").where(within(key_filter(found.select(key.alias("key"))), key)).select("k1", "k2", "own").distinct()
+    runs = names.join(found, ["k1", "k2"]).select(F.col("own").alias("k1"), "k2", "spans")
+    if length is None:
+        return cut(runs.withColumn("wide", F.lit(None).cast(found.schema["spans"].dataType)))
+    return cut(runs.join(spans(docs, length, min(ANCHOR, length // 2)).withColumnRenamed("spans", "wide"), ["k1", "k2"], "full"))
 
 
 def deduplicate_words(docs: DataFrame, words: int = RUN_WORDS, anchor: int = ANCHOR_WORDS, keep: tuple[str, ...] = (), length: int | None = None) -> DataFrame:
@@ -705,33 +708,32 @@ def deduplicate_words(docs: DataFrame, words: int = RUN_WORDS, anchor: int = ANC
     space between them does not count. Rows equal in id and words are repeats of each other. With `length`,
     each byte under a string of so many bytes that also starts anywhere else goes too, as in `deduplicate`; both are judged on
     the texts as given. Null and empty texts lose nothing."""
-    if length is not None:
-        docs = _with_repeats(docs, length, *keep)
-        keep = (*keep, "wide")
     types = dict(docs.dtypes)
     more = [f"`{c}` {types[c]}" for c in keep]
 
     def code(batch):
-        yield pa.record_batch([batch.column(0), batch.column(1), word_codes(batch.column(1)), *batch.columns[2:]], ["doc_id", "raw", "text", *keep])
+        yield pa.record_batch([batch.column(0), batch.column(2), word_codes(batch.column(1))], ["doc_id", "own", "text"])
 
-    coded = arrow_stage(documents(docs, *keep), code, ", ".join(["doc_id long, raw string, text string", *more]))
-    found = spans(coded.select("doc_id", "text"), words * CODE, anchor * CODE, CODE)
-    rows = _keyed(coded, "raw", *keep).drop("text").join(found, ["k1", "k2"], "left").select("doc_id", "raw", "spans", *keep)
+    coded = arrow_stage(documents(docs).withColumn("own", F.xxhash64("text")), code, "doc_id long, own long, text string")
+    found = _both_repeats(docs, coded, length, words * CODE, anchor * CODE)
+    key = F.xxhash64("k1", "k2")
+    keyed = _keyed(docs, *keep).withColumn("__some", within(key_filter(found.select(key.alias("key"))), key))
+    lists = [found.schema[c].dataType for c in ("spans", "wide")]
+    # texts without repeats stay where they are
+    rows = keyed.where("__some").join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans", "wide", *keep)
+    rows = rows.unionByName(keyed.where("not __some").select("doc_id", "text", *(F.lit(None).cast(t).alias(c) for c, t in zip(("spans", "wide"), lists, strict=True)), *keep))
 
     def each(batch):
-        lists = batch.column(2)
-        flat = lists.flatten()
-        both = np.stack([flat.field("start").to_numpy(zero_copy_only=False), flat.field("end").to_numpy(zero_copy_only=False)], axis=1) if len(flat) else np.zeros((0, 2), np.int64)
-        at = np.append(0, np.cumsum([x or 0 for x in lists.value_lengths().to_pylist()])).astype(np.int64)
-        both = both // CODE
-        wide, wide_at = _lists(batch.column(batch.num_columns - 1)) if length is not None else (None, None)
+        both, at = _lists(batch.column(2))
+        both = both[:, :2] // CODE
+        wide, wide_at = _lists(batch.column(3))
         out: list[tuple] = []
         for a, b, data, offs in tv.batches(batch.column(1)):
             starts, _, first = word_places(data, offs)
             for i in range(b - a):
                 text, place = data[offs[i] : offs[i + 1]], starts[first[i] : first[i + 1]] - offs[i]
                 gone = _merged(both[at[a + i] : at[a + i + 1]])
-                cuts = _merged(wide[wide_at[a + i] : wide_at[a + i + 1]]) if length is not None else gone[:0]
+                cuts = _merged(wide[wide_at[a + i] : wide_at[a + i + 1]])
                 if len(gone) or len(cuts):
                     place = np.append(place, len(text))
                     stays = np.ones(len(text), dtype=bool)
@@ -739,7 +741,6 @@ def deduplicate_words(docs: DataFrame, words: int = RUN_WORDS, anchor: int = ANC
                         stays[x:y] = False
                     text = text[stays]
                 out.append((int(first[i + 1] - first[i]), int((gone[:, 1] - gone[:, 0]).sum()) if len(gone) else 0, text.tobytes()))
-        yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept", *keep])
+        yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)), *batch.columns[4:]], ["doc_id", "n_words", "n_removed", "kept", *keep])
 
-    out = arrow_stage(rows, each, ", ".join(["doc_id long, n_words long, n_removed long, kept binary", *more]))
-    return out if length is None else out.drop("wide")
+    return arrow_stage(rows, each, ", ".join(["doc_id long, n_words long, n_removed long, kept binary", *more]))

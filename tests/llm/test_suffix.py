@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -191,3 +192,58 @@ def test_both_rules_on_edited_copies(spark, seed):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, k1 int").repartition(3)
     assert got_both(suffix.deduplicate_both(docs, rules)) == (brute(rows, 60), brute_both(rows, rules))
     assert suffix.deduplicate_both(docs.limit(0)).count() == 0
+
+
+def brute_words_and_strings(rows, n, length):
+    """What deduplicate_words gives with a length: runs of words without their white space, and strings of bytes."""
+    runs, out = brute_words(rows, n), []
+    raw = [(t or "").encode() for _, t in rows]
+    count = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    split = [list(re.finditer(rb"[^\x20\x09-\x0D]+", b)) for b in raw]
+    words = Counter(tuple(m[0] for m in w[k : k + n]) for w in split for k in range(len(w) - n + 1))
+    for (d, _), b, w in zip(rows, raw, split, strict=True):
+        stays = np.ones(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                stays[i : i + length] = False
+        edges = [m.start() for m in w] + [len(b)]
+        for k in range(len(w) - n + 1):
+            if words[tuple(m[0] for m in w[k : k + n])] > 1:
+                stays[edges[k] : edges[k + n]] = False
+        out.append((d, next(x[1:3] for x in runs if x[0] == d), np.frombuffer(b, np.uint8)[stays].tobytes()))
+    return sorted(((d, *counts, kept) for d, counts, kept in out), key=str)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_runs_of_words_and_strings_together(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = [f"{'äb'[x % 2]}{x * 'c'}" for x in rng.integers(0, 6, 200)]
+    solid = "".join(chr(97 + x) for x in rng.integers(0, 4, 400))
+    joints = [" ", " ", "\n", "  "]
+    rows = [(i, "".join(w + joints[rng.integers(0, 4)] for w in [*base[: rng.integers(0, 150)], f"X{i % 9}", *base[rng.integers(0, 150) :]])) for i in range(20)]
+    rows += [(40 + i, solid[: rng.integers(0, 400)] + chr(65 + i) + solid[rng.integers(0, 400) :]) for i in range(12)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, "a " * 60), (7, " " + " ".join(base[5:])), (104, "nothing of this stands elsewhere")]
+    rows = [(i, t) for i, t in dict(rows).items()]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, k1 int").repartition(3)
+    assert got_words(suffix.deduplicate_words(docs, words=12, anchor=5, length=60)) == brute_words_and_strings(rows, 12, 60)
+    assert suffix.deduplicate_words(docs.limit(0), length=60).count() == 0
+
+
+def test_texts_without_repeats_are_not_moved(spark):
+    # all texts were moved to be cut, and those with repeats of bytes again by each reading of the words
+    docs = spark.createDataFrame([(i, f"{i} stands alone " * 3) for i in range(40)] + [(50 + i, "the same " * 60) for i in range(2)], "doc_id long, text string")
+    plan = suffix.deduplicate_words(docs, length=60)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and plan.split("Union")[1].count("Join") == 1
+
+
+def test_memory_of_a_full_shard():
+    # 224 MB of arrays and lists at a shard of 2 MB, 56 at half of one; each task of an executor has one
+    rng = np.random.default_rng(0)
+    text = " ".join(f"{'word' * (x % 3)}{x}" for x in rng.zipf(1.3, suffix.SHARD_BYTES // 4) % 5000).encode()[: suffix.SHARD_BYTES]
+    s = np.frombuffer(text, np.uint8).copy()
+    s[600::600] = suffix.GAP
+    tracemalloc.start()
+    suffix.repeated_starts(s, suffix.LENGTH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(s) > suffix.SHARD_BYTES * 0.9 and peak < 120e6
