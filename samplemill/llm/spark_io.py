@@ -62,7 +62,7 @@ def carry(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*(own.get(c, c) for c in docs.columns)), names
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: idle workers keep it otherwise."""
     tv.forget()
     pa.default_memory_pool().release_unused()
@@ -98,7 +98,7 @@ def released(func: Callable, keeps: bool = False) -> Callable:
         finally:
             if not keeps:
                 _drop_kept()
-            _give_back()
+            give_back()
 
     return each
 
